@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
+from .shared import Scratch, materialize
 from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
-BLOCK_CLASSES = 1024  # classes of a bucket that one task compares with as many others
+BLOCK_CLASSES = 512  # classes of a bucket that one task compares with as many others
 BLOCK_SHINGLES = 2_000_000  # the same as a limit on the size of their sets
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -124,20 +124,43 @@ def _blocks(df: DataFrame, stats: DataFrame) -> DataFrame:
     return out.select(*df.columns, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
-def _partners(sketches: np.ndarray, keys: np.ndarray, own: np.ndarray, lo: int, hi: int, band: int, least: float) -> np.ndarray:
-    """Which rows of a block pair have a partner whose estimate reaches ``least`` and whose first shared band is this one."""
-    found = np.zeros(len(own), bool)
-    right = np.flatnonzero(own == hi)
-    left = right if lo == hi else np.flatnonzero(own == lo)
-    for i in left:
-        js = right[right > i] if lo == hi else right
-        js = js[np.count_nonzero(sketches[js] == sketches[i], axis=1) >= least * sketches.shape[1]]
-        if band and len(js):
-            js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
-        if len(js):
-            found[i] = True
-            found[js] = True
-    return found
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where each tile (bucket, lo, hi) of sorted rows begins."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for c in range(3):
+        x = batch.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _sifted(batch: pa.RecordBatch, starts: np.ndarray, least: float) -> pa.RecordBatch:
+    """The rows of whole tiles that have a partner whose estimate reaches ``least`` and whose first shared band is the tile's.
+
+    All tiles go together: step s compares every row with the one s places on.
+    """
+    n = batch.num_rows
+    found = np.zeros(n, bool)
+    if n:
+        lo, hi, own, band = (batch.column(c).to_numpy() for c in (1, 2, 3, 5))
+        keys = batch.column(6).flatten().to_numpy().reshape(n, -1)
+        raw = batch.column(7)
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + n + 1]
+        sketches = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
+        ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+        before = np.arange(keys.shape[1])[None, :]
+        left = np.arange(n)
+        step = 0
+        while len(left):
+            step += 1
+            left = left[left + step < ends[left]]
+            for part in np.array_split(left, max(1, len(left) // 20_000)):
+                i = part[(lo[part] == hi[part]) | (own[part] != own[part + step])]
+                i = i[np.count_nonzero(sketches[i] == sketches[i + step], axis=1) >= least * sketches.shape[1]]
+                i = i[~((keys[i] == keys[i + step]) & (before < band[i][:, None])).any(axis=1)]
+                found[i] = True
+                found[i + step] = True
+    return batch.select(["bucket", "lo", "hi", "own", "k"]).filter(pa.array(found))
 
 
 def _forest(sets: list[np.ndarray], own: np.ndarray, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
@@ -162,13 +185,13 @@ def _forest(sets: list[np.ndarray], own: np.ndarray, lo: int, hi: int, percent:
     return links
 
 
-def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int) -> DataFrame:
     """(a, b): links between classes, enough of them to connect whatever is similar."""
     size = 4 * rows
     band = reps.select("k", "n_shingles", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * size, size)) for i in range(bands)])).alias("band", "bucket"))
     stats = band.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
     # the sketch: the lowest byte of each minimum, then four bytes of each band's bucket
-    signed = materialize(
+    signed = scratch.table(
         reps.select(
             "k",
             F.array(*[F.hash(F.substring("sig", 1 + i * size, size)) for i in range(bands)]).alias("keys"),
@@ -181,14 +204,20 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: i
     p = percent / 100
     least = p + (1 - p) / 256 - 4.5 * (p * (1 - p) / (bands * rows)) ** 0.5
 
-    def sift(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, lo, hi = key
-        pdf = pdf.sort_values("k", ignore_index=True)
-        sketches = np.frombuffer(b"".join(pdf.sketch), np.uint8).reshape(len(pdf), -1)
-        found = _partners(sketches, np.stack(pdf["keys"].to_list()), pdf.own.to_numpy(), lo, hi, int(pdf.band[0]), least)
-        return pdf.loc[found, ["bucket", "lo", "hi", "own", "k"]]
-
-    tiles = materialize(rows_of.groupBy("bucket", "lo", "hi").applyInPandas(sift, "bucket long, lo int, hi int, own int, k long"), "tiles")
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            batch = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
+            if batch is None:
+                continue
+            at = _starts(batch)
+            yield _sifted(batch.slice(0, at[-1]), at[:-1], least)
+            held = batch.slice(at[-1])  # the last tile may go on in the next batch
+        if held is not None and held.num_rows:
+            yield _sifted(held, np.zeros(1, np.int64), least)
+
+    dealt = rows_of.select("bucket", "lo", "hi", "own", "k", "band", "keys", "sketch").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    tiles = scratch.table(dealt.mapInArrow(sift, "bucket long, lo int, hi int, own int, k long"), "tiles")
 
     # full sets of the classes that may have a partner, from whole texts once more
     wanted = tiles.select("k").distinct().join(reps.select("k", "rep"), "k").select(F.col("rep").alias("wanted"), "k")
@@ -203,7 +232,7 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: i
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["k", "members"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("wanted"), F.col(text_col).cast("string").alias("text")).join(wanted, "wanted").select("text", "k")
-    full = materialize(texts.mapInArrow(sets, "k long, members binary"), "sets")
+    full = scratch.table(texts.mapInArrow(sets, "k long, members binary"), "sets")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, lo, hi = key
@@ -235,7 +264,9 @@ def near_duplicates(
     """
     signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
     reps = materialize(signed.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    linked = components(links(docs, reps, id_col, text_col, width, bands, rows, percent))
+    scratch = Scratch(docs.sparkSession)
+    linked = components(links(docs, reps, scratch, id_col, text_col, width, bands, rows, percent))
+    scratch.clear()
     groups = reps.select("k", "rep").join(linked.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("component", "k").alias("component"))
     least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = groups.join(least, "component").select("k", "component_id")
