@@ -27,8 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest id."""
-    kept = near_duplicates(docs).where("kept or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id"])
+    found = materialize(near_duplicates(docs).select("doc_id", "kept", "component_id"), "near-duplicates")
+    kept = found.where("kept or component_id is null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    out = docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # rows that repeat an id are the rare case: only then are whole rows compared
+    return out if kept.where("rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
