@@ -28,6 +28,7 @@ from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
 BLOCK_CLASSES = 512  # classes of a bucket that one task compares with as many others
 BLOCK_SHINGLES = 2_000_000  # the same as a limit on the size of their sets
+NO_ID = (1 << 63) - 1  # stands for a null id, behind all others
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -186,7 +187,7 @@ def _forest(sets: list[np.ndarray], own: np.ndarray, lo: int, hi: int, percent:
 
 
 def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int) -> DataFrame:
-    """(a, b): links between classes, enough of them to connect whatever is similar."""
+    """(a, b): links between classes, enough of them to connect whatever is similar; an end is (rep, k), the least id and the key of a class."""
     size = 4 * rows
     band = reps.select("k", "n_shingles", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * size, size)) for i in range(bands)])).alias("band", "bucket"))
     stats = band.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
@@ -224,24 +225,28 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys = [], []
-            for want, s in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0), width), strict=True):
+            found, keys, reps_of = [], [], []
+            for rep, want, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(0), width), strict=True):
                 if len(s) and _digest(s) == want:  # another text may carry the same id
                     found.append(s.tobytes())
                     keys.append(want)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["k", "members"])
+                    reps_of.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(reps_of, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["rep", "k", "members"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("wanted"), F.col(text_col).cast("string").alias("text")).join(wanted, "wanted").select("text", "k")
-    full = scratch.table(texts.mapInArrow(sets, "k long, members binary"), "sets")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    texts = docs.select(own.alias("wanted"), F.col(text_col).cast("string").alias("text")).join(wanted, "wanted").select("text", F.col("wanted").alias("rep"), "k")
+    full = scratch.table(texts.mapInArrow(sets, "rep long, k long, members binary"), "sets")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, lo, hi = key
         pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)
         got = _forest([np.frombuffer(x, np.uint64) for x in pdf.members], pdf.own.to_numpy(), lo, hi, percent)
-        k = pdf.k.to_numpy()
-        return pd.DataFrame({"a": [k[i] for i, _ in got], "b": [k[j] for _, j in got]}, dtype="int64")
+        a, b = (pdf[["rep", "k"]].iloc[[x[end] for x in got]].reset_index(drop=True) for end in (0, 1))
+        return pd.concat([a.set_axis(["a_rep", "a_k"], axis=1), b.set_axis(["b_rep", "b_k"], axis=1)], axis=1)
 
-    return tiles.join(full, "k").groupBy("bucket", "lo", "hi").applyInPandas(verify, "a long, b long")
+    verified = tiles.join(full, "k").groupBy("bucket", "lo", "hi").applyInPandas(verify, "a_rep long, a_k long, b_rep long, b_k long")
+    end = lambda x: F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_k").alias("k")).alias(x)
+    return verified.select(end("a"), end("b"))
 
 
 def near_duplicates(
@@ -263,13 +268,13 @@ def near_duplicates(
     are ignored. An empty table gives an empty result.
     """
     signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
-    reps = materialize(signed.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    reps = materialize(signed.where("k is not null").groupBy("k").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     scratch = Scratch(docs.sparkSession)
     linked = components(links(docs, reps, scratch, id_col, text_col, width, bands, rows, percent))
     scratch.clear()
-    groups = reps.select("k", "rep").join(linked.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("component", "k").alias("component"))
-    least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = groups.join(least, "component").select("k", "component_id")
+    # nodes are ordered by id, so the least node of a component has its id
+    linked = linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"))
+    ids = reps.select("k", "rep").join(linked, "k", "left").select("k", F.nullif(F.coalesce("least", "rep"), F.lit(NO_ID)).alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k").join(ids, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
