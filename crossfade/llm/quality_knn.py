@@ -53,7 +53,7 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _N = int(_CLASS.max()) + 1
-TERMS = _N * _N + 3 * _BINS
+TERMS = _N * _N + 4 * _BINS
 
 
 def _bins(share: np.ndarray) -> np.ndarray:
@@ -80,6 +80,13 @@ def _repeated(hashes: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _stuttered(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per document: the share of its words that repeat the word before."""
+    same = np.concatenate([[0], np.cumsum(np.concatenate([[False], hashes[1:] == hashes[:-1]]))]) if len(hashes) else np.zeros(1, np.int64)
+    lo, hi = np.minimum(bounds[:-1] + 1, bounds[1:]), bounds[1:]
+    return (same[hi] - same[lo]) / np.maximum(np.diff(bounds) - 1, 1)
+
+
 def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
     """Rows of term weights before idf, a block of documents at a time; a text without bytes is a row of zeros."""
     data, offsets = buffers(column)
@@ -102,7 +109,7 @@ def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
         words, bounds = scan_words(data, part, BLANK_SPLIT)
         some = (np.diff(bounds) > 0)[:, None]
         upper = counts.reshape(j - i, _N, _N)[:, 26, :].sum(1) / np.maximum(counts.reshape(j - i, -1).sum(1), 1)
-        extra = np.hstack([_bins(_repeated(words, bounds, 1)), _bins(_repeated(words, bounds, 3)), _bins(upper)]) * some
+        extra = np.hstack([_bins(_repeated(words, bounds, 1)), _bins(_repeated(words, bounds, 3)), _bins(_stuttered(words, bounds)), _bins(upper)]) * some
         yield np.hstack([tf, 0.35 * extra])
         i = j
 
@@ -137,6 +144,16 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def _axes(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """The first k right singular vectors of x, by subspace iteration: no square matrix of terms is made."""
+    k = min(k, *x.shape)
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 8, *x.shape))).astype(x.dtype)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ turn.T)[:, :k]
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL, axes: int = AXES, neighbours: int = NEIGHBOURS) -> Model:
     """Fit on at most ``per_label`` labelled documents of each label, taken in the order of a hash of their id.
 
@@ -167,12 +184,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = rows.sort_values(["i", "terms"], ignore_index=True)
     if rows.empty:
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, neighbours)
-    x = np.frombuffer(b"".join(rows.terms), np.float32).reshape(len(rows), TERMS).astype(np.float64)
+    x = np.frombuffer(b"".join(rows.pop("terms")), np.float32).reshape(len(rows), TERMS)
     y = rows.y.to_numpy(np.float64)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-    weighted = x * idf
-    values, vectors = np.linalg.eigh(weighted.T @ weighted)
-    model = Model(idf, vectors[:, ::-1][:, :axes].copy(), np.zeros((0, axes)), y, float(y.mean()), neighbours)
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    model = Model(idf, _axes(x * idf, axes), np.zeros((0, axes)), y, float(y.mean()), neighbours)
     model.vectors = model.project(x)
     return model
 
