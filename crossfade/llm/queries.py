@@ -79,6 +79,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = rollup.ledger().where(F.col("version") == "byte-bpe-50k")
     rollup.commit("end-of-text", ended.select(F.lit("revise").alias("op"), "doc_id", "version", "source", "lang", (F.col("n_tokens") + 1).alias("n_tokens")))
     first = counts.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("copy", "first")
+    # as a table of its own, so that a join on a hot copy can be split
+    first = materialize(first, "first-copies")
     copies = counts.join(first, "copy").where("doc_id <> first")
     rollup.commit("copies", copies.select(F.lit("delete").alias("op"), "doc_id", "version", "source", "lang", "n_tokens"))
     return rollup.totals()
