@@ -32,13 +32,15 @@ def _without(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 
 def eligible(min_popularity: float | None = None, max_popularity: float | None = None, year_range: tuple[int, int] | None = None) -> Column:
     """Bounds on popularity (null: 0 for the lower, 100 for the upper) and release year (null fails)."""
+    # plain comparisons, which the scan can take over; what a null stands for decides whether it passes
     out = F.lit(True)
+    pop = F.col("popularity")
     if min_popularity is not None:
-        out &= F.coalesce(F.col("popularity"), F.lit(0)) >= min_popularity
+        out &= pop >= min_popularity if min_popularity > 0 else pop.isNull() | (pop >= min_popularity)
     if max_popularity is not None:
-        out &= F.coalesce(F.col("popularity"), F.lit(100)) <= max_popularity
+        out &= pop <= max_popularity if max_popularity < 100 else pop.isNull() | (pop <= max_popularity)
     if year_range is not None:
-        out &= F.coalesce(F.col("release_year").between(*year_range), F.lit(False))
+        out &= (F.col("release_year") >= year_range[0]) & (F.col("release_year") <= year_range[1])
     return out
 
 
@@ -123,12 +125,14 @@ def prepare(
     ids = ordered_distinct([r.track_id for r in known] + list(exclude_ids or ()))
     artists = [r.artist_primary_canon for r in known] if same_artist_exclusion else None
 
-    def pool(bound: float | None) -> DataFrame:
-        return bounded_sample(filter_candidates(catalog, ids, artists, bound, None, year_range), limit)
+    def pool(bound: float | None) -> tuple[DataFrame, int]:
+        found = filter_candidates(catalog, ids, artists, bound, None, year_range)
+        # the size needs no order: a count of the filter alone
+        return bounded_sample(found, limit), min(found.count(), limit)
 
-    candidates, bound = pool(min_popularity), min_popularity
-    size = candidates.count()
+    bound = min_popularity
+    candidates, size = pool(bound)
     if bound is not None and size < top_n:
-        candidates, bound = pool(None), None
-        size = candidates.count()
+        bound = None
+        candidates, size = pool(bound)
     return Prepared(candidates, candidates if fit_on == "candidates" else catalog, bound, size)

@@ -406,6 +406,8 @@ SELECT row_number() OVER (ORDER BY r)::INTEGER AS rank, track_id, {r6('score')}
         "diagnostics": f"""{cat}, {MEMBERSHIPS} SELECT playlist_id, {r6('count(*) / 10')} AS fill_rate, {r6('count(DISTINCT artist_primary_canon) / count(*)')} AS artist_diversity,
             {r6('1 - count(DISTINCT artist_primary_canon) / count(*)')} AS artist_duplication_rate, {r6('avg(energy)')} AS avg_similarity, {r6('avg(popularity)')} AS avg_recommendation_popularity
           FROM memberships JOIN catalog ON track_id = catalog_track_id GROUP BY 1""",
+        "hourly_events": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, {r6('sum(value)')} AS value FROM events GROUP BY 1, 2",
+        "first_shown": "SELECT user_id::VARCHAR AS user_id, json_extract_string(props, '$.k') AS track_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_shown FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2",
         "embedding_cosine": """WITH e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label AS l, i, avg(x) AS m FROM e GROUP BY 1, 2),
           c AS (SELECT vec_id, l, CASE WHEN sum(x * x) * sum(m * m) > 0 THEN round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) ELSE 0 END AS cosine FROM e JOIN m USING (i) GROUP BY 1, 2)
           SELECT vec_id, l AS label, cosine + 0.0::DOUBLE AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, l) = 1""",

@@ -16,6 +16,7 @@ from ..operators import retrieve as C
 from ..operators.pca import fit_pca
 from ..schema import DEFAULT_WEIGHTS, DEPLOYED_TYPES, FEATURES
 from ..sources import fixtures as S
+from ..streaming import exposure as E
 from . import benchmark as B
 from .policy import DEFAULT_STRATEGIES, BenchmarkConfig, Policy
 from .recommend import recommend, recommend_prepared, scored
@@ -476,6 +477,16 @@ def embedding_cosine(spark, d):
     return both.groupBy("vec_id").agg(F.max_by(F.struct("of", "cosine"), F.struct("cosine", -F.col("of"))).alias("b")).select("vec_id", F.col("b.of").alias("label"), (F.col("b.cosine") + 0.0).alias("cosine"))
 
 
+def hourly_events(spark, d):
+    out = E.hourly(S.table(spark, d, "events"))
+    return out.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", r6("value").alias("value"))
+
+
+def first_shown(spark, d):
+    rows = E.shown(S.table(spark, d, "events"))
+    return rows.groupBy("user_id", "track_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_shown"))
+
+
 NAMES = (
     catalog_scan, typed_projection, filter_candidates, count_candidates, bounded_sample, load_tracks_ordered, point_lookup, fallback_candidates, exclude_same_artist, seen_exclusion,
     canon_title, canon_title_edges, canon_artist, parse_artists, parse_bool, playlist_id_extract, artist_display, track_uris, setting_scale, source_identity,
@@ -484,7 +495,7 @@ NAMES = (
     special_transforms, scaler_stats, impute_medians, scaled_features, weighted_features, profile_median, profile_mean,
     cosine_unweighted, cosine_weighted, cosine_pca_full_rank, cosine_pca5, pca_2d, steered_rerank, explanations, recommend_weighted, recommend_deployed, topn_popularity, topn_random, topn_weighted_sample,
     seed_split, split_requests, skipped_requests, playlist_partition, benchmark_recommendations, benchmark_per_split, benchmark_summary, exposure_summary, playlist_means, bootstrap_ci, trial_selection,
-    target_distance, diagnostics, embedding_cosine,
+    target_distance, diagnostics, embedding_cosine, hourly_events, first_shown,
 )
 
 
