@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, new_path
+from .shared import Scratch, drop_path, new_path
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    # as a table of its own, so that the join on a hub can be split
+    least = scratch.table(least, "least")
     # only larger neighbours are moved: exactly the stored edges, seen from their smaller end
     return edges.join(least, edges.v == least.c).select("u", F.col("m").alias("v")).where("u > v")
 
@@ -54,8 +56,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        nxt, new, now = write(_small_star(_large_star(cur).distinct()).distinct())
+        scratch = Scratch(spark)
+        nxt, new, now = write(_small_star(_large_star(cur, scratch).distinct()).distinct())
         drop_path(spark, path)
+        scratch.clear()
         cur, path, before, mark = nxt, new, mark, now
         if now == before:
             break

@@ -5,10 +5,12 @@
    goes on as one row, so that exact copies cost nothing further.
 2. ``bands * rows`` minima under multiply-add-shift hash functions (a universal
    family) form the signature; each band of minima gives one bucket.
-3. Classes that share a bucket are compared there in blocks of bounded size:
-   first by their short sketches, in the first bucket that the pair shares,
-   then, for the classes that may have a partner, on full sets. A block emits
-   a spanning forest of its verified links, never all its pairs.
+3. Each class is compared with one leader, the least class of its buckets, and
+   what is linked becomes components. Buckets that still hold several of them
+   are then compared in full, across components, in blocks of bounded size.
+   Either way short sketches come first, in the first bucket that a pair
+   shares, and full sets confirm. A block emits a spanning forest of its
+   verified links, never all its pairs.
 4. Connected components by alternating large-star and small-star.
 """
 
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bittable import build, sift
 from .components import components
 from .shared import Scratch, materialize
 from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
-BLOCK_CLASSES = 512  # classes of a bucket that one task compares with as many others
+BLOCK_CLASSES = 2048  # classes of a bucket that one task compares with as many others
 BLOCK_SHINGLES = 2_000_000  # the same as a limit on the size of their sets
 NO_ID = (1 << 63) - 1  # stands for a null id, behind all others
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -117,14 +120,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     )
 
 
-def _blocks(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Copies of each bucket's rows for the pairs of blocks (lo <= hi) that they belong to; own: the block of the row."""
-    n = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK_CLASSES), F.col("weight") / F.lit(BLOCK_SHINGLES))).cast("int")
-    out = df.join(stats, "bucket").withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select(*df.columns, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-
 def _starts(batch: pa.RecordBatch) -> np.ndarray:
     """Where each tile (bucket, lo, hi) of sorted rows begins."""
     new = np.zeros(batch.num_rows, bool)
@@ -136,16 +131,16 @@ def _starts(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sifted(batch: pa.RecordBatch, starts: np.ndarray, least: float) -> pa.RecordBatch:
-    """The rows of whole tiles that have a partner whose estimate reaches ``least`` and whose first shared band is the tile's.
+    """The rows of whole tiles that have a partner in another component whose estimate reaches ``least`` and whose first shared band is the tile's.
 
     All tiles go together: step s compares every row with the one s places on.
     """
     n = batch.num_rows
     found = np.zeros(n, bool)
     if n:
-        lo, hi, own, band = (batch.column(c).to_numpy() for c in (1, 2, 3, 5))
-        keys = batch.column(6).flatten().to_numpy().reshape(n, -1)
-        raw = batch.column(7)
+        lo, hi, own, c, band = (batch.column(i).to_numpy() for i in (1, 2, 3, 5, 6))
+        keys = batch.column(7).flatten().to_numpy().reshape(n, -1)
+        raw = batch.column(8)
         offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + n + 1]
         sketches = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
         ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
@@ -156,21 +151,21 @@ def _sifted(batch: pa.RecordBatch, starts: np.ndarray, least: float) -> pa.Recor
             step += 1
             left = left[left + step < ends[left]]
             for part in np.array_split(left, max(1, len(left) // 20_000)):
-                i = part[(lo[part] == hi[part]) | (own[part] != own[part + step])]
+                i = part[((lo[part] == hi[part]) | (own[part] != own[part + step])) & (c[part] != c[part + step])]
                 i = i[np.count_nonzero(sketches[i] == sketches[i + step], axis=1) >= least * sketches.shape[1]]
                 i = i[~((keys[i] == keys[i + step]) & (before < band[i][:, None])).any(axis=1)]
                 found[i] = True
                 found[i + step] = True
-    return batch.select(["bucket", "lo", "hi", "own", "k"]).filter(pa.array(found))
+    return batch.select(["bucket", "lo", "hi", "own", "k", "c"]).filter(pa.array(found))
 
 
-def _forest(sets: list[np.ndarray], own: np.ndarray, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+def _forest(sets: list[np.ndarray], own: np.ndarray, components: np.ndarray, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
     """Verified links of a block pair, less those between members that are linked already."""
     sizes = np.array([len(s) for s in sets])
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     marked = np.zeros(len(values), np.int64)
-    root = np.arange(len(sets))
+    root = np.unique(components, return_inverse=True)[1]
     links = []
     right = own == hi
     for i in np.flatnonzero(own == lo):
@@ -186,67 +181,127 @@ def _forest(sets: list[np.ndarray], own: np.ndarray, lo: int, hi: int, percent:
     return links
 
 
-def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int) -> DataFrame:
-    """(a, b): links between classes, enough of them to connect whatever is similar; an end is (rep, k), the least id and the key of a class."""
+class _Confirm:
+    """From the rows of tiles to verified links."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, sketches: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, percent: int, hashes: int) -> None:
+        self.reps, self.sketches, self.scratch, self.width, self.percent = reps, sketches, scratch, width, percent
+        own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+        self.texts = docs.select(own.alias("wanted"), F.col(text_col).cast("string").alias("text"))
+        # an estimate this far below the threshold is off by 4.5 standard deviations of the signature
+        p = percent / 100
+        self.least = p + (1 - p) / 256 - 4.5 * (p * (1 - p) / hashes) ** 0.5
+
+    def links(self, rows: DataFrame) -> DataFrame:
+        """``rows``: bucket, lo, hi, own, k, c, band. A tile compares its blocks lo and hi, and members of different components c alone."""
+        least, width, percent = self.least, self.width, self.percent
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                batch = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
+                if batch is None:
+                    continue
+                at = _starts(batch)
+                yield _sifted(batch.slice(0, at[-1]), at[:-1], least)
+                held = batch.slice(at[-1])  # the last tile may go on in the next batch
+            if held is not None and held.num_rows:
+                yield _sifted(held, np.zeros(1, np.int64), least)
+
+        dealt = rows.join(self.sketches, "k").select("bucket", "lo", "hi", "own", "k", "c", "band", "keys", "sketch")
+        dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        tiles = self.scratch.table(dealt.mapInArrow(pick, "bucket long, lo int, hi int, own int, k long, c long"), "tiles")
+        full = self._sets(tiles)
+
+        def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            _, lo, hi = key
+            pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)
+            got = _forest([np.frombuffer(x, np.uint64) for x in pdf.members], pdf.own.to_numpy(), pdf.c.to_numpy(), lo, hi, percent)
+            a, b = (pdf[["rep", "k"]].iloc[[x[end] for x in got]].reset_index(drop=True) for end in (0, 1))
+            return pd.concat([a.set_axis(["a_rep", "a_k"], axis=1), b.set_axis(["b_rep", "b_k"], axis=1)], axis=1)
+
+        verified = tiles.join(full, "k").groupBy("bucket", "lo", "hi").applyInPandas(verify, "a_rep long, a_k long, b_rep long, b_k long")
+        end = lambda x: F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_k").alias("k")).alias(x)
+        return verified.select(end("a"), end("b"))
+
+    def _sets(self, tiles: DataFrame) -> DataFrame:
+        """Full sets of the classes in ``tiles``, from whole texts once more; a bit table keeps most other texts from the shuffle."""
+        width = self.width
+        wanted = self.scratch.table(tiles.select("k").distinct().join(self.reps.select("k", "rep"), "k").select(F.col("rep").alias("wanted"), "k"), "wanted")
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                reps_of, keys, found = [], [], []
+                for rep, want, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(0), width), strict=True):
+                    if len(s) and _digest(s) == want:  # another text may carry the same id
+                        reps_of.append(rep)
+                        keys.append(want)
+                        found.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(reps_of, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["rep", "k", "members"])
+
+        # merged at any size, so that what is shuffled follows the input
+        texts = sift(self.texts, "wanted", build(wanted, "wanted"), True).join(wanted.hint("merge"), "wanted").select("text", F.col("wanted").alias("rep"), "k")
+        return self.scratch.table(texts.mapInArrow(sets, "rep long, k long, members binary"), "sets")
+
+
+def _parts(size: str, weight: str):
+    """Into how many blocks so many classes with so many shingles go."""
+    return F.greatest(F.ceil(F.greatest(F.col(size) / F.lit(BLOCK_CLASSES), F.col(weight) / F.lit(BLOCK_SHINGLES))), F.lit(1)).cast("int")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Tiles that compare every class with one leader: the least class of any of its buckets."""
+    led = rows.where("k <> leader").groupBy("k").agg(F.min("leader").alias("leader"), F.first("n_shingles").alias("n_shingles"))
+    counts = led.groupBy("leader").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).select("leader", _parts("size", "weight").alias("parts"))
+    block = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int") + 1
+    members = led.join(counts, "leader").select(F.col("leader").alias("bucket"), F.lit(0).alias("lo"), block.alias("hi"), block.alias("own"), "k")
+    leaders = counts.select(F.col("leader").alias("bucket"), F.lit(0).alias("lo"), F.explode(F.sequence(F.lit(1), "parts")).alias("hi"), F.lit(0).alias("own"), F.col("leader").alias("k"))
+    return members.unionByName(leaders).select("*", F.col("k").alias("c"), F.lit(0).alias("band"))
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Tiles of the buckets that hold several components: of each, all others against all, but its largest component not against itself."""
+    counts = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    open_ = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max(F.struct("n", "c", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("components"))
+    open_ = open_.where("components > 1").select("bucket", "main", "n", "w", F.col("m.n").alias("n_main"), F.col("m.w").alias("w_main"))
+    open_ = open_.withColumns({"n_rest": F.col("n") - F.col("n_main"), "w_rest": F.col("w") - F.col("w_main")})
+    whole = _parts("n", "w") == 1
+    open_ = open_.select("bucket", "main", F.when(whole, 1).otherwise(_parts("n_rest", "w_rest")).alias("rest"), F.when(whole, 0).otherwise(_parts("n_main", "w_main")).alias("mains"))
+    out = rows.join(open_, "bucket")
+    in_main = (F.col("mains") > 0) & (F.col("c") == F.col("main"))
+    h = F.xxhash64("k")
+    own = F.when(in_main, F.col("rest") + F.pmod(h, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    others = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains"))
+    out = out.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return out.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "c", "band")
+
+
+def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others; both are (rep, k), the least id and the key of a class.
+
+    First each class is compared with one leader, which settles most of a large
+    group in proportion to its size. Then the buckets that still hold several
+    components are compared in full, across components only.
+    """
     size = 4 * rows
-    band = reps.select("k", "n_shingles", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * size, size)) for i in range(bands)])).alias("band", "bucket"))
-    stats = band.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
-    # the sketch: the lowest byte of each minimum, then four bytes of each band's bucket
-    signed = scratch.table(
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * size, size)) for i in range(bands)])
+    band = reps.select("k", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
+    stats = band.groupBy("bucket").agg(F.min("k").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
+    shared = scratch.table(band.join(stats, "bucket"), "buckets")
+    # the sketch: the lowest byte of each minimum; beside it four bytes of each band
+    sketches = scratch.table(
         reps.select(
             "k",
             F.array(*[F.hash(F.substring("sig", 1 + i * size, size)) for i in range(bands)]).alias("keys"),
             F.concat(*[F.substring("sig", 1 + 4 * i, 1) for i in range(bands * rows)]).alias("sketch"),
-        ),
+        ).join(shared.select("k").distinct(), "k", "left_semi"),
         "sketches",
     )
-    rows_of = _blocks(band.select("bucket", "band", "k"), stats).join(signed, "k")
-    # an estimate this far below the threshold is off by 4.5 standard deviations of the signature
-    p = percent / 100
-    least = p + (1 - p) / 256 - 4.5 * (p * (1 - p) / (bands * rows)) ** 0.5
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            batch = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
-            if batch is None:
-                continue
-            at = _starts(batch)
-            yield _sifted(batch.slice(0, at[-1]), at[:-1], least)
-            held = batch.slice(at[-1])  # the last tile may go on in the next batch
-        if held is not None and held.num_rows:
-            yield _sifted(held, np.zeros(1, np.int64), least)
-
-    dealt = rows_of.select("bucket", "lo", "hi", "own", "k", "band", "keys", "sketch").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    tiles = scratch.table(dealt.mapInArrow(sift, "bucket long, lo int, hi int, own int, k long"), "tiles")
-
-    # full sets of the classes that may have a partner, from whole texts once more
-    wanted = tiles.select("k").distinct().join(reps.select("k", "rep"), "k").select(F.col("rep").alias("wanted"), "k")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, keys, reps_of = [], [], []
-            for rep, want, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(0), width), strict=True):
-                if len(s) and _digest(s) == want:  # another text may carry the same id
-                    found.append(s.tobytes())
-                    keys.append(want)
-                    reps_of.append(rep)
-            yield pa.RecordBatch.from_arrays([pa.array(reps_of, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["rep", "k", "members"])
-
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    texts = docs.select(own.alias("wanted"), F.col(text_col).cast("string").alias("text")).join(wanted, "wanted").select("text", F.col("wanted").alias("rep"), "k")
-    full = scratch.table(texts.mapInArrow(sets, "rep long, k long, members binary"), "sets")
-
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, lo, hi = key
-        pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)
-        got = _forest([np.frombuffer(x, np.uint64) for x in pdf.members], pdf.own.to_numpy(), lo, hi, percent)
-        a, b = (pdf[["rep", "k"]].iloc[[x[end] for x in got]].reset_index(drop=True) for end in (0, 1))
-        return pd.concat([a.set_axis(["a_rep", "a_k"], axis=1), b.set_axis(["b_rep", "b_k"], axis=1)], axis=1)
-
-    verified = tiles.join(full, "k").groupBy("bucket", "lo", "hi").applyInPandas(verify, "a_rep long, a_k long, b_rep long, b_k long")
-    end = lambda x: F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_k").alias("k")).alias(x)
-    return verified.select(end("a"), end("b"))
+    confirm = _Confirm(docs, reps, sketches, scratch, id_col, text_col, width, percent, bands * rows)
+    first = components(confirm.links(_stars(shared)))
+    known = first.select(F.col("node.k").alias("k"), F.col("component.k").alias("c"))
+    placed = shared.join(known, "k", "left").select("bucket", "band", "k", "n_shingles", F.coalesce("c", "k").alias("c"))
+    more = confirm.links(_rest(placed))
+    return components(more.union(first.where("node <> component")))
 
 
 def near_duplicates(
@@ -270,11 +325,13 @@ def near_duplicates(
     signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
     reps = materialize(signed.where("k is not null").groupBy("k").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     scratch = Scratch(docs.sparkSession)
-    linked = components(links(docs, reps, scratch, id_col, text_col, width, bands, rows, percent))
+    linked = linked_classes(docs, reps, scratch, id_col, text_col, width, bands, rows, percent)
     scratch.clear()
     # nodes are ordered by id, so the least node of a component has its id
     linked = linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"))
     ids = reps.select("k", "rep").join(linked, "k", "left").select("k", F.nullif(F.coalesce("least", "rep"), F.lit(NO_ID)).alias("component_id"))
+    # as a table of its own, so that a join on a large class of copies can be split
+    ids = materialize(ids, "components-of-classes")
     out = signed.select("doc_id", "n_shingles", "k").join(ids, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
