@@ -101,6 +101,10 @@ class Prepared:
     min_popularity: float | None
     pool_size: int
 
+    def release(self) -> None:
+        """Give back the pool's cached rows."""
+        self.candidates.unpersist()
+
 
 def prepare(
     catalog: DataFrame,
@@ -125,14 +129,16 @@ def prepare(
     ids = ordered_distinct([r.track_id for r in known] + list(exclude_ids or ()))
     artists = [r.artist_primary_canon for r in known] if same_artist_exclusion else None
 
-    def pool(bound: float | None) -> tuple[DataFrame, int]:
-        found = filter_candidates(catalog, ids, artists, bound, None, year_range)
-        # the size needs no order: a count of the filter alone
-        return bounded_sample(found, limit), min(found.count(), limit)
+    def pool(bound: float | None) -> DataFrame:
+        # at most ``limit`` rows, read by the count, the fits and the scores
+        return bounded_sample(filter_candidates(catalog, ids, artists, bound, None, year_range), limit).persist()
 
     bound = min_popularity
-    candidates, size = pool(bound)
+    candidates = pool(bound)
+    size = candidates.count()
     if bound is not None and size < top_n:
+        candidates.unpersist()
         bound = None
-        candidates, size = pool(bound)
+        candidates = pool(bound)
+        size = candidates.count()
     return Prepared(candidates, candidates if fit_on == "candidates" else catalog, bound, size)
