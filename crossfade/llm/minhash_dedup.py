@@ -287,15 +287,13 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     band = reps.select("k", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
     stats = band.groupBy("bucket").agg(F.min("k").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
     shared = scratch.table(band.join(stats, "bucket"), "buckets")
-    # the sketch: the lowest byte of each minimum; beside it four bytes of each band
-    sketches = scratch.table(
-        reps.select(
-            "k",
-            F.array(*[F.hash(F.substring("sig", 1 + i * size, size)) for i in range(bands)]).alias("keys"),
-            F.concat(*[F.substring("sig", 1 + 4 * i, 1) for i in range(bands * rows)]).alias("sketch"),
-        ).join(shared.select("k").distinct(), "k", "left_semi"),
-        "sketches",
+    # the sketch: the lowest byte of each minimum; beside it four bytes of each band; of few classes that share no bucket besides
+    sketches = reps.select(
+        "k",
+        F.array(*[F.hash(F.substring("sig", 1 + i * size, size)) for i in range(bands)]).alias("keys"),
+        F.concat(*[F.substring("sig", 1 + 4 * i, 1) for i in range(bands * rows)]).alias("sketch"),
     )
+    sketches = scratch.table(sift(sketches, "k", build(scratch.table(shared.select("k").distinct(), "sharing"), "k"), True), "sketches")
     confirm = _Confirm(docs, reps, sketches, scratch, id_col, text_col, width, percent, bands * rows)
     first = components(confirm.links(_stars(shared)))
     known = first.select(F.col("node.k").alias("k"), F.col("component.k").alias("c"))
