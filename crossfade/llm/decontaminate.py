@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .textcols import ALNUM_SPLIT, ALNUM_TRANSLATE, buffers, chunks, mix, scan_words
 
-BROADCAST_BYTES = 16 << 20  # benchmark text in one broadcast; more goes in slices
+BROADCAST_BYTES = 2 << 20  # benchmark text in one broadcast, some 100 MB of windows in a worker; more goes in slices
 _STEP = np.uint64(0xA0761D6478BD642F)
 _BITS = 22
 
