@@ -73,6 +73,15 @@ def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _compact(minima: np.ndarray, bands: int) -> list[bytes]:
+    """Of each signature an 8-byte hash of every band, then the lowest byte of every minimum (the sketch)."""
+    banded = minima.reshape(len(minima), bands, -1).astype(np.uint64)
+    keys = np.zeros((len(minima), bands), np.uint64)
+    for r in range(banded.shape[2]):
+        keys = mix(keys * _STEP + banded[:, :, r] + np.uint64(1))
+    return [k.tobytes() + s.tobytes() for k, s in zip(keys, minima.astype(np.uint8), strict=True)]
+
+
 def _digest(s: np.ndarray) -> int:
     """Of a whole set: equal sets have equal digests, others differ but for a chance of 2**-64."""
     size = np.full(1, len(s), np.uint64)
@@ -81,7 +90,7 @@ def _digest(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, k: set digest or null, sig: minima as bytes or null), one row per input row."""
+    """(doc_id, n_shingles, k: set digest or null, sig: band hashes and sketch as bytes, or null), one row per input row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(bands * rows, seed)
@@ -90,7 +99,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
             def flush() -> None:
                 if sets:
-                    sigs.extend(r.tobytes() for r in _minima(sets, a, b))
+                    sigs.extend(_compact(_minima(sets, a, b), bands))
                     sets.clear()
 
             order, held = [], 0
@@ -282,16 +291,15 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     group in proportion to its size. Then the buckets that still hold several
     components are compared in full, across components only.
     """
-    size = 4 * rows
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * size, size)) for i in range(bands)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 8 * i, 8)) for i in range(bands)])
     band = reps.select("k", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
     stats = band.groupBy("bucket").agg(F.min("k").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
     shared = scratch.table(band.join(stats, "bucket"), "buckets")
-    # the sketch: the lowest byte of each minimum; beside it four bytes of each band; of few classes that share no bucket besides
+    # the sketch, and four bytes of each band; of few classes that share no bucket besides
     sketches = reps.select(
         "k",
-        F.array(*[F.hash(F.substring("sig", 1 + i * size, size)) for i in range(bands)]).alias("keys"),
-        F.concat(*[F.substring("sig", 1 + 4 * i, 1) for i in range(bands * rows)]).alias("sketch"),
+        F.array(*[F.hash(F.substring("sig", 1 + 8 * i, 8)) for i in range(bands)]).alias("keys"),
+        F.substring("sig", 1 + 8 * bands, bands * rows).alias("sketch"),
     )
     sketches = scratch.table(sift(sketches, "k", build(scratch.table(shared.select("k").distinct(), "sharing"), "k"), True), "sketches")
     confirm = _Confirm(docs, reps, sketches, scratch, id_col, text_col, width, percent, bands * rows)
