@@ -1,6 +1,6 @@
-"""A broadcast bit table of ids, of bounded size, that keeps most rows out of a shuffle.
+"""A broadcast bit table of keys, of bounded size, that keeps most rows out of a shuffle.
 
-A row whose bit is not set is surely not among the ids; the others go through
+A row whose bit is not set surely has none of the keys; the others go through
 an exact join. Beyond the bound the table fills up and lets more rows pass to
 the join; results never depend on it.
 """
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name, give_back
+
 MAX_BITS = 1 << 26  # 8 MB
 
 
@@ -30,25 +32,44 @@ def build(ids: DataFrame, column: str):
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
-def sift(df: DataFrame, column: str, sent, found: bool) -> DataFrame:
-    """Rows of ``df`` whose bit is set (``found``), or isn't."""
+def sift(df: DataFrame, key: Column, sent, found: bool, always: Column | None = None) -> DataFrame:
+    """Rows of ``df`` whose key's bit is set (``found``), or isn't; rows where ``always`` holds count as not set."""
+    h = F.xxhash64(key)
+    hashed = h if always is None else F.when(~always, h)
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            h = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+            column = batch.column(batch.num_columns - 1)
+            h = column.fill_null(0).to_numpy().view(np.uint64)
             hit = (table[(h >> np.uint64(6)) & np.uint64(len(table) - 1)] >> (h & np.uint64(63))) & np.uint64(1)
-            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array((hit == 1) == found))
+            hit = (hit == 1) & column.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(hit == found))
 
-    return df.select("*", F.xxhash64(column).alias("_bit_hash")).mapInArrow(scan, df.schema)
+    return df.select("*", hashed.alias(free_name(df, "bit_hash"))).mapInArrow(scan, df.schema)
 
 
-def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose ``column`` is in ``gone`` (one column, the same type); a null stays.
+def settle(df: DataFrame, key: Column, marks: DataFrame, always: Column | None = None) -> DataFrame:
+    """``df`` after ``marks`` (mark, keep; one row per mark): of rows whose key is a mark none stay, or one with ``keep``.
 
-    Only rows that may be among them are shuffled, with the ids, for the exact answer.
+    Rows of other keys, or of none, stay as they are, as do those where
+    ``always`` holds. Only rows that may have a mark are shuffled, with the
+    marks, for the exact answer.
     """
-    sent = build(gone, gone.columns[0])
-    ids = gone.select(F.col(gone.columns[0]).alias("_gone"))
-    rest = sift(df, column, sent, True)
-    return sift(df, column, sent, False).unionByName(rest.join(ids, F.col(column) == F.col("_gone"), "left_anti"))
+    sent = build(marks, "mark")
+    mark = free_name(df, "mark")
+    keep = free_name(df, "keep")
+    marks = marks.select(F.col("mark").alias(mark), F.col("keep").alias(keep))
+    maybe = sift(df, key, sent, True, always).withColumn(mark, key)
+    out = sift(df, key, sent, False, always).unionByName(maybe.join(marks, mark, "left_anti").select(*df.columns))
+    kept = marks.where(keep)
+    if kept.isEmpty():
+        return out
+    # copies meet in part before the shuffle, however many there are
+    return out.unionByName(maybe.join(kept, mark).dropDuplicates([mark]).select(*df.columns))
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``column`` is in ``gone`` (one column of distinct values, the same type); a null stays."""
+    return settle(df, F.col(column), gone.select(F.col(gone.columns[0]).alias("mark"), F.lit(False).alias("keep")))

@@ -3,7 +3,8 @@
 Edges are kept as (u, v) with u > v. A large-star step links every larger
 neighbour of a node to the smallest of its neighbourhood; a small-star step
 does the same for the node itself and its smaller neighbours. At the fixed
-point every node points at the smallest node of its component.
+point every node points at the smallest node of its component. The minima of a
+step are a table of their own, so that the join on a hub can be split.
 """
 
 from __future__ import annotations
@@ -17,26 +18,26 @@ from .shared import Scratch, drop_path, new_path
 def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    # as a table of its own, so that the join on a hub can be split
     least = scratch.table(least, "least")
     # only larger neighbours are moved: exactly the stored edges, seen from their smaller end
     return edges.join(least, edges.v == least.c).select("u", F.col("m").alias("v")).where("u > v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    least = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), "least")
     moved = edges.join(least, edges.u == least.c).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return moved.union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node that has an edge; component is the least node.
 
     ``edges`` has two columns of one orderable type; rows with a null and self
     links are dropped, direction and repeats don't matter. Each round is
     written to the shared folder, so that the lineage stays short and a lost
     executor costs a task, not the rounds before it. Only a row count and a
-    hash sum reach the driver.
+    hash sum reach the driver. Rounds go on until the edges no longer change,
+    which they do after a number in the order of the logarithm of the nodes.
     """
     spark = edges.sparkSession
     a, b = edges.columns
@@ -53,18 +54,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return back, path, tuple(sums)
 
     cur, path, mark = write(cur)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    before = None
+    while mark[0] and mark != before:
         scratch = Scratch(spark)
-        nxt, new, now = write(_small_star(_large_star(cur, scratch).distinct()).distinct())
+        # written before its minima and its joins read it
+        moved = scratch.table(_large_star(cur, scratch).distinct(), "large-star")
+        nxt, new, now = write(_small_star(moved, scratch).distinct())
         drop_path(spark, path)
         scratch.clear()
         cur, path, before, mark = nxt, new, mark, now
-        if now == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -8,7 +8,6 @@ words. A benchmark beyond the broadcast bound is scanned in slices.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
 from .textcols import ALNUM_SPLIT, ALNUM_TRANSLATE, buffers, chunks, mix, scan_words
 
 BROADCAST_BYTES = 2 << 20  # benchmark text in one broadcast, some 100 MB of windows in a worker; more goes in slices
@@ -130,6 +130,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "
     """
 
     def scan_with(windows):
+        @give_back
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = windows.value
             for batch in batches:
@@ -190,6 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", n:
     at = docs.columns.index(text_col)
 
     def cut_with(windows):
+        @give_back
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = windows.value
             for batch in batches:
@@ -216,7 +218,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", n:
     for s in _slices(benchmark, item_id, item_text, n):
         out = out.mapInArrow(cut_with(s), docs.schema)
     return out
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bittable import build, sift
+from .bittable import build, settle, sift
 from .components import components
-from .shared import Scratch, materialize
+from .shared import Scratch, give_back, materialize
 from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
 BLOCK_CLASSES = 2048  # classes of a bucket that one task compares with as many others
@@ -90,8 +90,9 @@ def _digest(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, k: set digest or null, sig: band hashes and sketch as bytes, or null), one row per input row."""
+    """(doc_id, n_shingles, k: set digest or null, sig: band hashes and sketch as bytes, or null, row: digest of id and text), one row per input row."""
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(bands * rows, seed)
         for batch in batches:
@@ -120,13 +121,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
             for i, sig in zip(order, sigs, strict=True):
                 full[i] = sig
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(full, pa.binary())],
-                ["doc_id", "n_shingles", "k", "sig"],
+                [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(full, pa.binary()), batch.column(2)],
+                ["doc_id", "n_shingles", "k", "sig", "row"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        scan, "doc_id long, n_shingles long, k long, sig binary"
-    )
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _row(id_col, text_col).alias("row"))
+    return given.mapInArrow(scan, "doc_id long, n_shingles long, k long, sig binary, row long")
+
+
+def _row(id_col: str, text_col: str):
+    """A digest of a row's id and text: rows that agree in both are repeats of one another."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def _starts(batch: pa.RecordBatch) -> np.ndarray:
@@ -205,6 +210,7 @@ class _Confirm:
         """``rows``: bucket, lo, hi, own, k, c, band. A tile compares its blocks lo and hi, and members of different components c alone."""
         least, width, percent = self.least, self.width, self.percent
 
+        @give_back
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
@@ -237,6 +243,8 @@ class _Confirm:
         """Full sets of the classes in ``tiles``, from whole texts once more; a bit table keeps most other texts from the shuffle."""
         width = self.width
         wanted = self.scratch.table(tiles.select("k").distinct().join(self.reps.select("k", "rep"), "k").select(F.col("rep").alias("wanted"), "k"), "wanted")
+
+        @give_back
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 reps_of, keys, found = [], [], []
@@ -248,7 +256,7 @@ class _Confirm:
                 yield pa.RecordBatch.from_arrays([pa.array(reps_of, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["rep", "k", "members"])
 
         # merged at any size, so that what is shuffled follows the input
-        texts = sift(self.texts, "wanted", build(wanted, "wanted"), True).join(wanted.hint("merge"), "wanted").select("text", F.col("wanted").alias("rep"), "k")
+        texts = sift(self.texts, F.col("wanted"), self.scratch.broadcast(build(wanted, "wanted")), True).join(wanted.hint("merge"), "wanted").select("text", F.col("wanted").alias("rep"), "k")
         return self.scratch.table(texts.mapInArrow(sets, "rep long, k long, members binary"), "sets")
 
 
@@ -301,7 +309,8 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
         F.array(*[F.hash(F.substring("sig", 1 + 8 * i, 8)) for i in range(bands)]).alias("keys"),
         F.substring("sig", 1 + 8 * bands, bands * rows).alias("sketch"),
     )
-    sketches = scratch.table(sift(sketches, "k", build(scratch.table(shared.select("k").distinct(), "sharing"), "k"), True), "sketches")
+    sharing = scratch.broadcast(build(scratch.table(shared.select("k").distinct(), "sharing"), "k"))
+    sketches = scratch.table(sift(sketches, F.col("k"), sharing, True), "sketches")
     confirm = _Confirm(docs, reps, sketches, scratch, id_col, text_col, width, percent, bands * rows)
     first = components(confirm.links(_stars(shared)))
     known = first.select(F.col("node.k").alias("k"), F.col("component.k").alias("c"))
@@ -310,6 +319,20 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     return components(more.union(first.where("node <> component")))
 
 
+class _Found:
+    """Signed rows, classes of equal sets (k, rep, row: of the row to keep, n: their rows) and linked classes (k, least: the component's id, head: its class)."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int, seed: int) -> None:
+        self.scratch = Scratch(docs.sparkSession)
+        self.signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
+        own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "row")
+        classes = self.signed.where("k is not null").groupBy("k").agg(F.min(own).alias("own"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        self.reps = self.scratch.table(classes.select("k", "own.rep", "own.row", "n", "n_shingles", "sig"), "classes")
+        linked = linked_classes(docs, self.reps, self.scratch, id_col, text_col, width, bands, rows, percent)
+        # nodes are ordered by id, so the least node of a component has its id
+        self.linked = self.scratch.table(linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"), F.col("component.k").alias("head")), "linked")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, bands: int = 40, rows: int = 5, percent: int = 80, seed: int = 7
 ) -> DataFrame:
@@ -328,16 +351,36 @@ def near_duplicates(
     their own; those with one id are kept together. Other columns of ``docs``
     are ignored. An empty table gives an empty result.
     """
-    signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
-    reps = materialize(signed.where("k is not null").groupBy("k").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    scratch = Scratch(docs.sparkSession)
-    linked = linked_classes(docs, reps, scratch, id_col, text_col, width, bands, rows, percent)
-    scratch.clear()
-    # nodes are ordered by id, so the least node of a component has its id
-    linked = linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"))
-    ids = reps.select("k", "rep").join(linked, "k", "left").select("k", F.nullif(F.coalesce("least", "rep"), F.lit(NO_ID)).alias("component_id"))
+    found = _Found(docs, id_col, text_col, width, bands, rows, percent, seed)
+    ids = found.reps.select("k", "rep").join(found.linked.select("k", "least"), "k", "left").select("k", F.nullif(F.coalesce("least", "rep"), F.lit(NO_ID)).alias("component_id"))
     # as a table of its own, so that a join on a large class of copies can be split
     ids = materialize(ids, "components-of-classes")
-    out = signed.select("doc_id", "n_shingles", "k").join(ids, "k", "left")
+    found.scratch.clear()
+    out = found.signed.select("doc_id", "n_shingles", "k").join(ids, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, bands: int = 40, rows: int = 5, percent: int = 80, seed: int = 7
+) -> DataFrame:
+    """``docs``, with all its columns, of each group of near-duplicates one row.
+
+    Groups are those of ``near_duplicates``, but decided row by row: of a group
+    the row of the smallest id stays (a null id comes last), of several rows
+    with that id one text, and of rows that repeat both id and text any one.
+    Rows of one id whose texts fall into different groups are judged apart.
+    Null, empty and wordless texts belong to no group and all stay.
+    """
+    found = _Found(docs, id_col, text_col, width, bands, rows, percent, seed)
+    # of each class its row to keep, null where another class heads the component
+    heads = found.reps.select("k", "row", "n").join(found.linked.select("k", "head"), "k", "left")
+    heads = materialize(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays"), "n"), "heads")
+    lost = found.signed.where("k is not null").select("k", "row").join(heads.select("k", "stays"), "k").where("stays is null or row <> stays").select("row", F.lit(False).alias("keep"))
+    # the row to keep of a class with several may be there again
+    kept = heads.where("stays is not null and n > 1").select(F.col("stays").alias("row"), F.lit(True).alias("keep"))
+    marks = found.scratch.table(lost.unionByName(kept).groupBy(F.col("row").alias("mark")).agg(F.bool_or("keep").alias("keep")), "marks")
+    wordless = F.coalesce(F.translate(F.col(text_col).cast("string"), " \t\n\x0b\x0c\r", "") == "", F.lit(True))
+    out = settle(docs, _row(id_col, text_col), materialize(marks, "marks"), wordless)
+    found.scratch.clear()
+    return out

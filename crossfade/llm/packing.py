@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import give_back, materialize
 from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
 SHARD_PIECES = 4096  # about as many pieces are packed in one task
@@ -31,6 +31,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     duplicate cluster. Null and empty texts have no words and no cluster.
     """
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
 from .textcols import BLANK_SPLIT, buffers, mix, scan_words
 
 SAMPLE_PER_LABEL = 1500  # labelled rows of each label that are fitted on, at most
@@ -168,6 +169,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(chosen)  # 2 * per_label ids at most
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -196,6 +198,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """(doc_id, score) for every row; only the text is an input of a score. Null texts count as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [sent.value.score(t) for t in term_counts(batch.column(1))]
@@ -210,6 +213,7 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", least: f
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [sent.value.score(t) for t in term_counts(batch.column(at))]

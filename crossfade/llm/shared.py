@@ -1,21 +1,28 @@
-"""Where intermediate tables go, and checks of what may be broadcast."""
+"""Where intermediate tables go, what may be kept meanwhile, and giving it back."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (local tests).
+    A folder of our own is set only where the session names none and runs in
+    one process; on a cluster a session without one is refused, for its
+    machines would each write to a disk of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="crossfade-"))
     return sc.getCheckpointDir()
 
@@ -42,17 +49,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
-    """Tables of a computation that can go once its result is written."""
+    """Tables and broadcasts of a computation that go once its result is written."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.sent = spark, [], []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(new_path(self.spark, name))
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
+    def broadcast(self, sent):
+        """``sent``, destroyed with the tables."""
+        self.sent.append(sent)
+        return sent
+
     def clear(self) -> None:
+        while self.sent:
+            self.sent.pop().destroy()
         while self.paths:
             drop_path(self.spark, self.paths.pop())
+
+
+def give_back(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``scan``, after which a worker returns its freed memory to the machine: workers are used again and would keep their peak."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return run

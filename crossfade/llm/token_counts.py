@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import give_back, new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before merges, as the vocabulary's documentation gives it (fixed value).
@@ -46,6 +46,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, version: str = "
     and ``lang`` count as null.
     """
 
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(vocabulary)
         for batch in batches:

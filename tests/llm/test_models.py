@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_scans import ODD, rows_of, save
 
 from crossfade.llm.components import components
-from crossfade.llm.minhash_dedup import near_duplicates
+from crossfade.llm.minhash_dedup import drop_near_duplicates, near_duplicates
 from crossfade.llm.packing import best_fit, pack, pack_documents
 from crossfade.llm.quality_knn import fit_quality, held_out, keep_quality, score_quality
 from crossfade.llm.queries import op2_best_fit_packing, op4_token_counts, op5_quality_knn, op6_minhash_dedup, op7_kdtree_topk
@@ -101,6 +101,22 @@ def test_near_duplicates_without_ids_and_with_repeats(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_are_dropped_one_by_one(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "alone in the world of words"
+    rows = [(5, a, "x"), (3, a, "x"), (5, b, "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (7, c, "y"), (7, c, "z"), (None, None, "x"), (None, None, "x"), (8, "", "x"), (8, " \t\n", "x"), (9, a.upper(), "x")]
+    # an unrelated repeated id, and names that an operator might want for itself
+    df = spark.createDataFrame([*rows, (70, "far away", "x"), (70, "far off", "x")], "doc_id long, text string, bit_hash string")
+    df = df.select("*", *[F.lit("clash").alias(n) for n in ("_bit_hash", "_gone", "mark", "keep", "row", "k", "wanted", "kept", "rep")])
+    out = drop_near_duplicates(df)
+    assert out.schema == df.schema
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    want = [("3", a), ("5", b), ("7", c), ("None", None), ("None", None), ("8", ""), ("8", " \t\n"), ("70", "far away"), ("70", "far off")]
+    assert sorted(got, key=str) == sorted(((i, t) for i, t in want), key=str)
+    assert drop_near_duplicates(df.limit(0)).count() == 0
+    only = spark.createDataFrame([(None, a), (None, a), (None, a + " seven")], "doc_id long, text string")
+    assert [r.doc_id for r in drop_near_duplicates(only).collect()] == [None]
+
+
 # packing
 
 
