@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfade.llm.bittable import without
 from crossfade.llm.decontaminate import decontaminate
-from crossfade.llm.minhash_dedup import near_duplicates
+from crossfade.llm.minhash_dedup import drop_near_duplicates
 from crossfade.llm.packing import pack_documents
 from crossfade.llm.quality_knn import fit_quality, held_out, keep_quality
 from crossfade.llm.queries import LEAST_QUALITY, PACK_WORDS, table
@@ -27,12 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id. Rows without an id stay."""
-    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
-    found = materialize(found, "near-duplicates")
-    out = without(docs, "doc_id", found.where("not kept").select("doc_id"))
-    # rows that repeat an id are the rare case: only then are whole rows compared
-    return out if found.where("kept and rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates stays: the one of the smallest id, a null id last. Texts without words stay."""
+    return drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
