@@ -13,8 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """(doc_id, source, n_words, cluster): words split at blanks, and a digest of the lower-cased word sequence.
 
     Texts that differ only in blanks or in the case of A-Z fall into one
-    duplicate cluster. Null and empty texts have no words and no cluster.
+    duplicate cluster. Null and empty texts have no words and no cluster;
+    repeated rows are measured one by one; other columns are ignored.
     """
 
     @give_back
@@ -116,8 +117,9 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
     return bins, offsets
 
 
-def _codes(values: pd.Series) -> np.ndarray:
-    return pd.factorize(values, use_na_sentinel=True)[0]
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value, -1 for null."""
+    return pc.fill_null(pc.index_in(values, pc.unique(pc.drop_null(values))), -1).to_numpy().astype(np.int64)
 
 
 def pack(measured: DataFrame, capacity: int = 1024, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -126,33 +128,40 @@ def pack(measured: DataFrame, capacity: int = 1024, shard_pieces: int = SHARD_PI
     Returns doc_id, source, cluster, piece (from 0), start (first word of the
     piece), n_words, shard, bin (in its shard, from 0) and offset (in its bin).
     Pieces of a document conflict with one another. Rows of no words are
-    returned once, with a null bin. A null source and a null cluster conflict
-    with nothing; repeated rows conflict as copies do. Bins of different
-    shards never mix, so a document's place depends on its own shard only.
+    returned once, with a null bin; a null count is none. A null source and a
+    null cluster conflict with nothing; repeated rows conflict as copies do.
+    Bins of different shards never mix, so a document's place depends on its
+    own shard only. Rows are dealt by their place in the input, so that no
+    group of equal rows, however large, meets in one shard; the same table read
+    in other splits is dealt, and so packed, otherwise. Other columns are ignored.
     """
     kind = dict(measured.dtypes)["doc_id"]
-    n = F.greatest(F.ceil(F.col("n_words") / F.lit(capacity)), F.lit(1)).cast("int")
-    pieces = measured.select("doc_id", "source", "cluster", F.col("n_words").alias("total"), F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    words = F.coalesce(F.col("n_words"), F.lit(0)).cast("long")
+    n = F.greatest(F.ceil(words / F.lit(capacity)), F.lit(1)).cast("int")
+    pieces = measured.select("doc_id", "source", "cluster", words.alias("total"), F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     pieces = pieces.select("doc_id", "source", "cluster", "row", "piece", start.alias("start"), F.least(F.col("total") - start, F.lit(capacity).cast("long")).alias("n_words"))
     count = measured.agg(F.sum(n.cast("long"))).first()[0] or 0
     shards = max(1, -(-count // shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "row", "piece"], ascending=[False, True, True], ignore_index=True)
-        some = (pdf.n_words > 0).to_numpy()
-        bins = pd.array([pd.NA] * len(pdf), "Int64")
-        offsets = bins.copy()
+    def place(rows: pa.Table) -> pa.Table:
+        # Arrow all the way: a digest of 64 bits doesn't survive as a float, which pandas makes of longs beside a null
+        rows = rows.sort_by([("n_words", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        some = rows.filter(pc.greater(rows["n_words"], 0))
+        cluster = _codes(some["cluster"])
         # a document without a cluster still conflicts with its own pieces: by its row
-        cluster = pdf.cluster.astype("string").fillna("row " + pdf.row.astype("string"))
-        got = best_fit(pdf.n_words.to_numpy(np.int64)[some], _codes(pdf.source[some]), _codes(cluster[some]), capacity)
-        bins[some], offsets[some] = got
-        return pdf.assign(bin=bins, offset=offsets)[["doc_id", "source", "cluster", "piece", "start", "n_words", "shard", "bin", "offset"]]
+        alone = cluster < 0
+        cluster[alone] = cluster.max(initial=-1) + 1 + np.unique(some["row"].to_numpy()[alone], return_inverse=True)[1]
+        bins, offsets = best_fit(some["n_words"].to_numpy(), _codes(some["source"]), cluster, capacity)
+        # pieces with words come first, as they are the longest
+        pad = pa.nulls(rows.num_rows - some.num_rows, pa.int64())
+        rows = rows.append_column("bin", pa.chunked_array([pa.array(bins, pa.int64()), pad])).append_column("offset", pa.chunked_array([pa.array(offsets, pa.int64()), pad]))
+        return rows.select(["doc_id", "source", "cluster", "piece", "start", "n_words", "shard", "bin", "offset"])
 
-    return dealt.groupBy("shard").applyInPandas(place, f"doc_id {kind}, source string, cluster long, piece int, start long, n_words long, shard long, bin long, offset long")
+    return dealt.groupBy("shard").applyInArrow(place, f"doc_id {kind}, source string, cluster long, piece int, start long, n_words long, shard long, bin long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``pack`` of the measured documents; see there."""
+    """``pack`` of the measured documents; see there and ``measure``."""
     return pack(materialize(measure(docs, id_col, text_col, source_col), "measured"), capacity)

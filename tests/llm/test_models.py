@@ -9,7 +9,7 @@ from test_scans import ODD, rows_of, save
 
 from crossfade.llm.components import components
 from crossfade.llm.minhash_dedup import drop_near_duplicates, near_duplicates
-from crossfade.llm.packing import best_fit, pack, pack_documents
+from crossfade.llm.packing import best_fit, measure, pack, pack_documents
 from crossfade.llm.quality_knn import fit_quality, held_out, keep_quality, score_quality
 from crossfade.llm.queries import op2_best_fit_packing, op4_token_counts, op5_quality_knn, op6_minhash_dedup, op7_kdtree_topk
 from crossfade.llm.token_counts import VOCABULARY, TokenRollup, _encoding
@@ -184,6 +184,17 @@ def test_packing_in_shards_with_repeated_rows(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_clusters_come_back_as_measured(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    big = (1 << 60) + 1  # ids and digests that a float would round
+    df = spark.createDataFrame([(big + i, t, "s") for i, t in enumerate(texts)] + [(big + 100, None, None), (None, "", "s"), (None, "no id", "s"), (big + 101, " ", "s")], "doc_id long, text string, source string")
+    want = sorted((str(r.doc_id), str(r.cluster)) for r in measure(df).collect())
+    out = pack_documents(df, 1024).collect()
+    assert sorted((str(r.doc_id), str(r.cluster)) for r in out) == want and len({r.shard for r in out}) == 1
+    check_bins(out, 1024)
+
+
 # token counts
 
 
