@@ -5,7 +5,8 @@ bound of k splits a notice into k + 1 pieces, of which a match within k edits
 keeps one whole (the pigeonhole principle): exact searches for the pieces
 locate candidates, and the regex library's bounded-error matching verifies
 each one and gives its span and edits. Words that tell one license from
-another must stand in a match unchanged.
+another are no part of the fuzzy pattern: they stand in a match unchanged, in
+their place.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class Notice:
 
     @property
     def errors(self) -> int:
-        """Edits allowed: one for every ten characters that may be edited, none for short notices."""
+        """Edits allowed: one for every eight characters that may be edited, three at most, none for notices under 16 characters."""
         free = len(self.phrase) - sum(len(w) + 1 for w in self.exact)
         return 0 if len(self.phrase) < 16 else min(3, free // 8)
 
@@ -66,15 +67,29 @@ class Match:
     base: bool
 
 
+def _pattern(notice: Notice) -> bytes:
+    """The notice with errors in each stretch of free words; the best match in all is sought."""
+    runs: list[list[str]] = []
+    for w in notice.phrase.split():
+        if w in notice.exact or not runs or runs[-1][0] in notice.exact:
+            runs.append([w])
+        else:
+            runs[-1].append(w)
+    quoted = ((regex.escape(" ".join(r).encode()), r[0] in notice.exact) for r in runs)
+    body = b" ".join(q if whole else b"(?:%s){e<=%d}" % (q, notice.errors) for q, whole in quoted)
+    return rb"(?b)(?<![^ ])%s(?![^ ])" % body
+
+
 class Searcher:
+    """Finds ``notices`` in texts; built once for a worker."""
+
     def __init__(self, notices: tuple[Notice, ...] = NOTICES) -> None:
         self.notices = []
         for n in notices:
             raw, k = n.phrase.encode(), n.errors
             cuts = [round(i * len(raw) / (k + 1)) for i in range(k + 2)]
             seeds = [(raw[a:b], a) for a, b in zip(cuts, cuts[1:])] if k else []
-            fuzzy = regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(raw), k)) if k else None
-            self.notices.append((n, raw, k, seeds, fuzzy, frozenset(w.encode() for w in n.exact)))
+            self.notices.append((n, raw, k, seeds, regex.compile(_pattern(n)) if k else None))
 
     def find(self, text: str | None) -> tuple[int, list[Match]]:
         """The number of words and all matches, by place."""
@@ -83,7 +98,7 @@ class Searcher:
         words = text.encode("utf-8", "surrogatepass").translate(ALNUM_TRANSLATE).split()
         norm = b" %s " % b" ".join(words)
         out: list[Match] = []
-        for n, raw, k, seeds, fuzzy, exact in self.notices:
+        for n, raw, k, seeds, fuzzy in self.notices:
             size, taken = n.phrase.count(" ") + 1, None
             p = norm.find(b" %s " % raw)
             counted, first = 0, -1
@@ -97,12 +112,13 @@ class Searcher:
             for seed, offset in seeds:
                 p = norm.find(seed)
                 while p >= 0:
+                    # a match starts within k of where the seed has it, and the word after its end is seen too
                     lo = max(p - offset - k - 1, 0)
-                    hi = min(p - offset + len(raw) + k + 1, len(norm))
+                    hi = min(p - offset + len(raw) + 2 * k + 2, len(norm))
                     if lo not in tried and not (taken and taken[p]):
                         tried.add(lo)
                         m = fuzzy.search(norm, lo, hi)
-                        if m and exact <= set(m[0].split()):
+                        if m and sum(m.fuzzy_counts) <= k:
                             a, b = m.start() + (len(m[0]) - len(m[0].lstrip())), m.end() - (len(m[0]) - len(m[0].rstrip()))
                             taken = taken or bytearray(len(norm))
                             if not any(taken[a:b]):
