@@ -1,17 +1,23 @@
 """Secret scans with structural confirmation.
 
-Three pattern kinds (assign, access, hex) are reported as they match. Runs of
-base64 or hex that are long enough are decoded, and reported as further kinds
-only if what they hold is well formed: a signed token whose header and payload
-are JSON objects, a DER sequence whose nested lengths fill it exactly, or an
-SSH key whose length-prefixed fields do. Most texts are dismissed by byte
-searches; regular expressions see the few that have a keyword or a long run.
+Three pattern kinds (assign, access, hex) are reported as they match. Other
+kinds are reported only if what base64 or hex holds is well formed:
+
+- token: a signed or encrypted token, whose header is a JSON object that names
+  an algorithm, and whose payload is a JSON object unless it is encrypted;
+- der: a private key (PKCS#1, PKCS#8 plain or encrypted, SEC 1, DSA) or a
+  public key (PKCS#1, SubjectPublicKeyInfo) in nested lengths that fill one
+  another exactly, at any depth;
+- ssh: a public key blob of a known type, or an OpenSSH private key container.
+
+Certificates and other structures are no findings. A key may begin at any
+character of a run, whatever stands before it, and go on over line breaks with
+blanks about them; it must end where the run, or one of its lines, ends.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 from collections.abc import Iterator
@@ -28,15 +34,26 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-HEX_ANY = re.compile(r"[0-9A-Fa-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
 KINDS = ("assign", "access", "hex", "token", "der", "ssh")
-
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-_LONG_RUN = 24
-_RUNS = bytes(0x78 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-." else 0x20 for b in range(256))
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# fixed values: key types of SSH, and how many fields their public blobs have, the name included
+SSH_FIELDS = {
+    b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3,
+    b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
+}
+CONTAINER = b"openssh-key-v1\0"
+
+# the shortest header, {"alg":1}, has 12 characters; a run is tried once, from its beginning
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+))?")
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
+_SHORTEST = 24  # bytes of the shortest structure: 32 characters of base64, 48 of hex
+_GATE = bytes(0x78 if chr(b) in _ALPHABET + "_-" else 0x20 for b in range(256))
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----[A-Za-z0-9+/=\s]+-----END \1-----")
+_STARTS = re.compile(rb"(?s)(?=\x30[\x16-\x7f\x81-\x84]|\0\0\0.(?:ssh|ecdsa|sk)-|openssh-key-v1\0)")
+_JSON_STARTS = re.compile(rb"(?=\{[\"\s])")
 
 
 class Span(NamedTuple):
@@ -51,127 +68,249 @@ class Span(NamedTuple):
         return self.start, KINDS.index(self.kind), self.end
 
 
-def _b64(text: str) -> bytes | None:
-    text = text.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(text) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _b64(text: str) -> bytes:
+    """The bytes that whole groups of characters hold, of either alphabet; a single last character holds none."""
+    text = text[: len(text) - (len(text) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(text + "=" * (-len(text) % 4))
 
 
-def _json_object(part: str) -> dict | None:
-    raw = _b64(part)
-    try:
-        out = json.loads(raw) if raw else None
-    except (ValueError, RecursionError):
+def _element(raw: bytes, lo: int, hi: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the contents of the DER element at ``lo``, if it fits before ``hi``."""
+    if hi - lo < 2:
         return None
-    return out if isinstance(out, dict) else None
-
-
-def _der(raw: bytes, lo: int, hi: int, depth: int = 0) -> list[int] | None:
-    """The tags of the elements that fill raw[lo:hi] exactly, nested ones parsed too; None if they don't."""
-    tags = []
-    while lo < hi:
-        if hi - lo < 2 or depth > 16:
-            return None
-        tag, size, lo = raw[lo], raw[lo + 1], lo + 2
-        if size == 0x80 or tag & 0x1F == 0x1F:
+    tag, size, lo = raw[lo], raw[lo + 1], lo + 2
+    if size == 0x80 or tag & 0x1F == 0x1F:
+        return None
+    if size > 0x80:
+        n = size & 0x7F
+        if n > 4 or lo + n > hi or raw[lo] == 0:
             return None
-        if size > 0x80:
-            n = size & 0x7F
-            if n > 4 or lo + n > hi or raw[lo] == 0:
-                return None
-            size, lo = int.from_bytes(raw[lo : lo + n], "big"), lo + n
-            if size < 0x80:
-                return None
-        if lo + size > hi or (tag & 0x20 and _der(raw, lo, lo + size, depth + 1) is None):
+        size, lo = int.from_bytes(raw[lo : lo + n], "big"), lo + n
+        if size < 0x80:
             return None
-        tags.append(tag)
-        lo += size
-    return tags
+    return (tag, lo, lo + size) if lo + size <= hi else None
 
 
-def der_detail(raw: bytes | None) -> str | None:
-    """What key-like structure ``raw`` is: one DER sequence that holds an integer, a bit or an octet string."""
-    if not raw or len(raw) < 24 or raw[0] != 0x30 or _der(raw, 0, len(raw)) != [0x30]:
+def _elements(raw: bytes, lo: int, hi: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill raw[lo:hi] exactly, if they are as few as those of a key (ten at most)."""
+    out = []
+    while lo < hi:
+        e = _element(raw, lo, hi)
+        if e is None or len(out) == 10:
+            return None
+        out.append(e)
+        lo = e[2]
+    return out
+
+
+def _nested(raw: bytes, lo: int, hi: int) -> bool:
+    """Whether every constructed element in raw[lo:hi] is filled exactly, at any depth."""
+    ends = [hi]
+    while ends:
+        if lo == ends[-1]:
+            ends.pop()
+            continue
+        e = _element(raw, lo, ends[-1])
+        if e is None:
+            return False
+        tag, start, end = e
+        lo = end
+        if tag & 0x20:
+            ends.append(end)
+            lo = start
+    return True
+
+
+def _algorithm(raw: bytes, e: tuple[int, int, int], nested: bool = False) -> bool:
+    """Whether an element is an algorithm: an object id, and with ``nested`` parameters that are a sequence."""
+    parts = _elements(raw, e[1], e[2]) if e[0] == 0x30 else None
+    return bool(parts) and parts[0][0] == 0x06 and (not nested or len(parts) > 1 and parts[1][0] == 0x30)
+
+
+def _der_key(raw: bytes, lo: int, hi: int) -> tuple[int, str] | None:
+    """End and kind of the key whose sequence begins at ``lo``."""
+    top = _element(raw, lo, hi)
+    if top is None or top[0] != 0x30 or top[2] - lo < _SHORTEST:
         return None
-    start = 2 + (raw[1] & 0x7F if raw[1] > 0x80 else 0)
-    tags = _der(raw, start, len(raw))
-    if not tags or not {0x02, 0x03, 0x04} & set(tags):
+    # the first element tells most other structures apart before all are read
+    first = _element(raw, top[1], top[2])
+    parts = _elements(raw, top[1], top[2]) if first and first[0] in (0x02, 0x30) else None
+    if not parts or len(parts) < 2:
         return None
+    tags, small = [e[0] for e in parts], parts[0][2] - parts[0][1] == 1 and raw[parts[0][1]] < 2
+    kind = None
     if tags[0] == 0x02:
-        return "private key" if len(tags) > 2 else "integers"
-    return "public key" if 0x03 in tags else "key"
-
-
-def ssh_detail(raw: bytes | None) -> str | None:
-    """An SSH public key blob or private key container whose fields end where it ends."""
-    if not raw:
-        return None
-    if raw.startswith(b"openssh-key-v1\0"):
-        p, fields = 15, []
-        for k in range(3):
-            size = int.from_bytes(raw[p : p + 4], "big")
-            if p + 4 + size > len(raw):
-                return None
-            fields.append(raw[p + 4 : p + 4 + size])
-            p += 4 + size
-        return "openssh private key" if p + 4 <= len(raw) and 0 < int.from_bytes(raw[p : p + 4], "big") < 100 else None
-    p, names = 0, []
-    while p + 4 <= len(raw):
+        if tags == [0x02] * 2:
+            kind = "rsa public key"
+        elif small and (tags == [0x02] * 9 or tags == [0x02] * 9 + [0x30]):
+            kind = "rsa private key"
+        elif small and tags == [0x02] * 6:
+            kind = "dsa private key"
+        elif small and tags[1:3] == [0x30, 0x04] and set(tags[3:]) <= {0xA0, 0xA1, 0x81} and _algorithm(raw, parts[1]):
+            kind = "private key"
+        elif small and tags[1] == 0x04 and set(tags[2:]) <= {0xA0, 0xA1}:
+            kind = "ec private key"
+    elif tags == [0x30, 0x03] and _algorithm(raw, parts[0]):
+        kind = "public key"
+    elif tags == [0x30, 0x04] and _algorithm(raw, parts[0], True):
+        kind = "encrypted private key"
+    return (top[2], kind) if kind and _nested(raw, lo, top[2]) else None
+
+
+def _fields(raw: bytes, p: int, count: int) -> list[bytes] | None:
+    """``count`` fields behind their lengths, and what is left as the last."""
+    out = []
+    for _ in range(count):
         size = int.from_bytes(raw[p : p + 4], "big")
-        if p + 4 + size > len(raw):
+        if len(raw) - p < 4 or p + 4 + size > len(raw):
             return None
-        names.append(raw[p + 4 : p + 4 + size])
+        out.append(raw[p + 4 : p + 4 + size])
         p += 4 + size
-    if p != len(raw) or len(names) < 2 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", names[0]):
-        return None
-    return names[0].decode()
+    return [*out, raw[p:]]
+
+
+def _ssh_key(raw: bytes, lo: int) -> tuple[int, str] | None:
+    """End and kind of the key that begins at ``lo``."""
+    if raw.startswith(CONTAINER, lo):
+        # cipher, derivation and its options, the number of keys, so many public blobs, the private part
+        got = _fields(raw, lo + len(CONTAINER), 3)
+        keys = int.from_bytes(got[3][:4], "big") if got and len(got[3]) >= 4 else 0
+        rest = _fields(got[3], 4, keys + 1) if 0 < keys <= len(raw) // 4 else None
+        return (len(raw) - len(rest[-1]), "openssh private key") if rest else None
+    name = _fields(raw, lo, 1)
+    count = SSH_FIELDS.get(name[0]) if name else None
+    got = _fields(raw, lo, count) if count else None
+    return (len(raw) - len(got[-1]), name[0].decode()) if got and all(got[1:count]) else None
 
 
-def _gates(low: bytes, raw: bytes) -> tuple[bool, bool, bool]:
-    """Whether a text may hold an assignment, an access key, a long run."""
-    return any(k in low for k in _KEYWORDS), b"AKIA" in raw, b"x" * _LONG_RUN in raw.translate(_RUNS)
+def _key_at(raw: bytes, lo: int) -> tuple[int, str, str] | None:
+    """End, kind and detail of the structure at ``lo``."""
+    if raw[lo] == 0x30:
+        found = _der_key(raw, lo, len(raw))
+        return (found[0], "der", found[1]) if found else None
+    found = _ssh_key(raw, lo)
+    return (found[0], "ssh", found[1]) if found else None
+
+
+def der_detail(raw: bytes | None) -> str | None:
+    """What key ``raw`` is as a whole, in DER."""
+    found = _der_key(raw, 0, len(raw)) if raw else None
+    return found[1] if found and found[0] == len(raw) else None
 
 
-def find_secrets(text: str | None) -> list[Span]:
-    """All findings of a text, by start, then by kind."""
+def ssh_detail(raw: bytes | None) -> str | None:
+    """What key ``raw`` is as a whole, in the fields of SSH."""
+    found = _ssh_key(raw, 0) if raw else None
+    return found[1] if found and found[0] == len(raw) else None
+
+
+def _decoded(run: str) -> Iterator[tuple[bytes, int, int, int]]:
+    """Each way to read a run without its line breaks: bytes, where they begin, characters and bytes of a group."""
+    if len(run) >= 32:
+        for a in range(4):
+            yield _b64(run[a:]), a, 4, 3
+    for m in _HEX_ANY.finditer(run):
+        if len(m[0]) >= 2 * _SHORTEST:
+            for a in range(2):
+                text = m[0][a:]
+                yield bytes.fromhex(text[: len(text) & ~1]), m.start() + a, 2, 1
+
+
+def _keys(run: str, ends: set[int], hex_ends: set[int]) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, kind and detail of the keys in a run; ``ends`` are the places where one may end."""
+    for raw, at, chars, group in _decoded(run):
+        for m in _STARTS.finditer(raw):
+            if m.start() % group:
+                continue
+            found = _key_at(raw, m.start())
+            if not found:
+                continue
+            start = at + m.start() // group * chars
+            size = found[0] - m.start()
+            end = start + (-(-size * 4 // 3) if chars == 4 else 2 * size)
+            if end in (ends if chars == 4 else hex_ends):
+                yield start, end, found[1], found[2]
+
+
+def _token_at(header: str, payload: str, encrypted: bool) -> tuple[int, str] | None:
+    """Where in ``header`` a token's own header begins, and its algorithm."""
+    starts = []
+    for a in range(4):
+        raw = _b64(header[a:]) if len(header) - a >= 12 and (len(header) - a) % 4 != 1 else b""
+        if raw.rstrip().endswith(b"}"):
+            starts += [(a + m.start() // 3 * 4, raw[m.start() :]) for m in _JSON_STARTS.finditer(raw) if m.start() % 3 == 0]
+    for at, raw in sorted(starts):
+        try:
+            head = json.loads(raw)
+            if not isinstance(head, dict) or not ("enc" in head if encrypted else "alg" in head):
+                continue
+            if not encrypted and not (len(payload) % 4 != 1 and isinstance(json.loads(_b64(payload)), dict)):
+                continue
+        except (ValueError, RecursionError):
+            continue
+        return at, str(head.get("alg") or head.get("enc"))[:40]
+    return None
+
+
+def _tokens(text: str) -> Iterator[Span]:
+    """Tokens of three parts, or of five if encrypted; a part that is no header may still be followed by one."""
+    p = 0
+    while m := _TOKEN.search(text, p):
+        for encrypted, last in ((True, 5), (False, 3)):
+            found = _token_at(m[1], m[2], encrypted) if m[last] is not None else None
+            if found:
+                yield Span(m.start() + found[0], m.end(last), "token", found[1])
+                p = m.end(last)
+                break
+        else:
+            p = m.end(1) + 1
+
+
+def _may_hold_key(raw: bytes) -> bool:
+    """Whether some run, read across line breaks, is as long as the shortest structure."""
+    if b"\n" in raw:
+        raw = re.sub(rb"[ \t]*\r?\n[ \t]*", b"", raw)
+    return b"x" * 32 in raw.translate(_GATE)
+
+
+def find_secrets(text: str | None, gates: bool = True) -> list[Span]:
+    """All findings of a text, by start, then by kind; ``gates`` are byte searches that dismiss no text that holds one."""
     if not text:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    assign, access, run = _gates(raw.lower(), raw)
+    low = raw.lower()
     out: list[Span] = []
-    if assign:
+    if not gates or any(k in low for k in _KEYWORDS):
         out += [Span(m.start(), m.end(), "assign", m[1].lower()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-    if access:
+    if not gates or b"AKIA" in raw:
         out += [Span(m.start(), m.end(), "access", "") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    if not run:
-        return sorted(out, key=Span.key)
-    out += [Span(m.start(), m.end(), "hex", "") for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
-    covered = bytearray(len(text))  # what confirmed findings cover
-    for m in TOKEN.finditer(text):
-        header, payload, _ = m[0].split(".")
-        head = _json_object(header)
-        if head is not None and ("alg" in head or "enc" in head) and (_json_object(payload) is not None or "enc" in head):
-            out.append(Span(m.start(), m.end(), "token", str(head.get("alg") or head.get("enc"))[:40]))
-            covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    for m in _PEM.finditer(text):
-        decoded = _b64("".join(m[2].split()))
-        for kind, detail in (("der", der_detail(decoded)), ("ssh", ssh_detail(decoded))):
-            if detail:
-                out.append(Span(m.start(), m.end(), kind, f"{m[1]}: {detail}"))
-                covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    for pattern, decode in ((BASE64, _b64), (HEX_ANY, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            if covered[m.start()] and covered[m.end() - 1]:
+    covered: list[tuple[int, int]] = []  # what tokens cover: their parts are no keys
+    if not gates or raw.count(b".") >= 2:
+        tokens = list(_tokens(text))
+        out += tokens
+        covered = [(t.start, t.end) for t in tokens]
+    if not gates or _may_hold_key(raw):
+        out += [Span(m.start(), m.end(), "hex", "") for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
+        armours = [(m.start(), m.end(), m[1]) for m in _ARMOUR.finditer(text)]
+        for m in _RUN.finditer(text):
+            if m.end() - m.start() < 32:
                 continue
-            decoded = decode(m[0])
-            for kind, detail in (("der", der_detail(decoded)), ("ssh", ssh_detail(decoded))):
-                if detail:
-                    out.append(Span(m.start(), m.end(), kind, detail))
-                    covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+            # places in the run without its line breaks, and where they are in the text
+            lines = list(_LINE.finditer(text, m.start(), m.end()))
+            run, at, ends = "".join(x[0] for x in lines), [], set()
+            n = 0
+            for x in lines:
+                at.append((n, x.start()))
+                n += len(x[0])
+                ends.add(n)
+            place = lambda i, side: next(b + i - a for a, b in reversed(at) if a < i + side)  # noqa: B023, E731
+            hex_ends = {h.end() for h in _HEX_ANY.finditer(run)} | ends
+            for a, b, kind, detail in _keys(run, ends, hex_ends):
+                lo, hi = place(a, 1), place(b, 0)
+                if any(x <= lo and hi <= y for x, y in covered):
+                    continue
+                frame = next(((x, y, f"{name}: {detail}") for x, y, name in armours if x <= lo and hi <= y), (lo, hi, detail))
+                out.append(Span(frame[0], frame[1], kind, frame[2]))
     return sorted(set(out), key=Span.key)
 
 
@@ -204,7 +343,12 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs``, all columns and rows, with secrets replaced; ``length_col`` gets the new length of a changed text."""
+    """``docs``, all columns and rows, with findings replaced; ``length_col`` gets the new length of a changed text.
+
+    Every finding is replaced, public keys included. Null and empty texts and
+    texts without a finding come back unchanged; repeated rows are redacted one
+    by one; other columns stay as they are, whatever their names.
+    """
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else None
 

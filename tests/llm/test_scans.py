@@ -11,7 +11,7 @@ from crossfade.llm import textcols as T
 from crossfade.llm.decontaminate import decontaminate, overlaps
 from crossfade.llm.license_scan import NOTICES, Searcher, scan_licenses
 from crossfade.llm.queries import op1_license_scan, op3_secret_scan, op9_decontamination
-from crossfade.llm.secret_scan import der_detail, find_secrets, redact, redact_secrets, scan_secrets, ssh_detail
+from crossfade.llm.secret_scan import KINDS, der_detail, find_secrets, redact, redact_secrets, scan_secrets, ssh_detail
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -88,6 +88,41 @@ def test_fuzzy_matches_are_bounded():
     assert find("cc by nd") == []
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_every_notice_within_its_bound_is_found():
+    rng, searcher, made = random.Random(9), Searcher(), 0
+    assert [m.label for m in searcher.find("gnu general bublic license versionza 2")[1]] == ["gpl-2"]
+    for n in NOTICES:
+        for _ in range(150):
+            runs, at = [[]], 0
+            for w in n.phrase.split():  # edits in the free words alone, so that exact ones stand in their place
+                runs = [*runs, [w], []] if w in n.exact else [*runs[:-1], [*runs[-1], w]]
+            free = [" ".join(r) for r in runs]
+            for _ in range(rng.randrange(n.errors + 1)):
+                i = rng.choice([i for i, r in enumerate(free) if r and r not in n.exact])
+                at = rng.randrange(len(free[i]))
+                free[i] = free[i][:at] + rng.choice(["", "q", free[i][at] + "w"]) + free[i][at + 1 :]
+            planted = " ".join(" ".join(r for r in free if r).split())
+            if distance(planted, n.phrase) > n.errors:
+                continue
+            made += 1
+            text = f"some words before {planted} and some after"
+            found = [m for m in searcher.find(text)[1] if m.label == n.label]
+            assert found, (n.phrase, planted)
+            for m in found:
+                own = " ".join(text.split()[m.first : m.last])
+                assert m.errors <= n.errors and distance(own, n.phrase) <= m.errors and set(n.exact) <= set(own.split()), (planted, own)
+    assert made > 1000
+
+
 def test_license_scan_of_nothing(spark):
     assert scan_licenses(rows_of(spark, []).limit(0)).count() == 0
 
@@ -144,6 +179,91 @@ def test_structures_are_confirmed():
     assert der_detail(b"") is None and ssh_detail(b"") is None and der_detail(b"\x30\x80" + b"\x00" * 40) is None
 
 
+def seq(*parts, tag=0x30):
+    body = b"".join(parts)
+    size = len(body)
+    long = size.to_bytes((size.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + (bytes([size]) if size < 0x80 else bytes([0x80 + len(long)]) + long) + body
+
+
+def whole(n):
+    return seq(b"\x01" + b"\x55" * (n - 1), tag=0x02)
+
+
+OID = seq(b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01", tag=0x06)
+ZERO, NONE = b"\x02\x01\x00", b"\x05\x00"
+DEEP = b"\x02\x01\x05"
+for _ in range(40):
+    DEEP = seq(DEEP)
+KEYS = {
+    "rsa private key": seq(ZERO, *[whole(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)]),
+    "private key": seq(ZERO, seq(OID, NONE), seq(b"k" * 90, tag=0x04)),
+    "ec private key": seq(b"\x02\x01\x01", seq(b"k" * 32, tag=0x04), seq(OID, tag=0xA0)),
+    "public key": seq(seq(OID, NONE), seq(b"\0" + b"p" * 70, tag=0x03)),
+    "encrypted private key": seq(seq(OID, DEEP), seq(b"e" * 80, tag=0x04)),
+    "ssh-ed25519": SSH,
+    "openssh private key": b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, b"q" * 64)),
+}
+NO_KEYS = [seq(seq(ZERO, seq(OID)), seq(OID, NONE), seq(b"\0" + b"s" * 64, tag=0x03)), seq(seq(OID, NONE), seq(b"d" * 32, tag=0x04)), seq(whole(20), whole(20), whole(20)), KEYS["private key"][:-1], b"\x30\x20" + b"r" * 32]
+
+
+@pytest.mark.parametrize("detail", KEYS)
+def test_keys_are_found_wherever_they_begin(detail):
+    raw = KEYS[detail]
+    b64, hexed = base64.b64encode(raw).decode(), raw.hex()
+    wrap = lambda s, n, sep="\n": sep.join(s[i : i + n] for i in range(0, len(s), n))
+    found = lambda t: [t[s.start : s.end] for s in find_secrets(t) if s.kind in ("der", "ssh") and s.detail.endswith(detail)]
+    bare = b64.rstrip("=")
+    for before in ("", "k", "ke", "key", "key/", "key=", "é ", "a" * 33, "x\n", "0"):
+        for after in ("", " end", "=.", "\nnext line"):
+            assert found(before + bare + after) == [bare], (before, after)
+        assert found(before + hexed + "\nz") == [hexed] and found(before + hexed.upper() + " z") == [hexed.upper()]
+    for n in (1, 5, 20, 23, 64, 76):
+        for sep in ("\n", "\r\n", " \n\t "):
+            assert found("see:" + wrap(bare, n, sep) + "\nthen") == [wrap(bare, n, sep)]
+            assert found("see:" + wrap(hexed, n, sep) + "\n\nthen") == [wrap(hexed, n, sep)]
+    armour = "-----BEGIN X KEY-----\n" + wrap(b64, 20) + "\n-----END X KEY-----"
+    assert found(f"x {armour} y") == [armour] and found(base64.urlsafe_b64encode(raw).decode().rstrip("=")) != []
+    assert found(base64.b64encode(raw + b"x").decode()) == [] and found(base64.b64encode(raw[:-1]).decode()) == []
+
+
+def test_other_structures_are_no_keys():
+    for raw in NO_KEYS:
+        assert not {s.kind for t in (base64.b64encode(raw).decode(), raw.hex()) for s in find_secrets(t)} & {"der", "ssh"}
+
+
+def test_tokens_are_found_wherever_they_begin():
+    short = token(b'{"alg":1}', b'{"":1}').rpartition(".")[0] + "."
+    assert len(short) == 22
+    for t in (short, token({"alg": "HS256"}), token(b'{ "alg" : "none" }', b"{}")):
+        for before in ("", "a", "ab.cd.", "www-example-com-abc.", "Bearer_", "é", "x" * 40 + "."):
+            got = [s for s in find_secrets(before + t + " z") if s.kind == "token"]
+            assert [(s.start, s.end) for s in got] == [(len(before), len(before) + len(t))], (before, t)
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    jwe = ".".join([part(b'{"alg":"dir","enc":"A128GCM"}'), "", part(b"iv" * 6), part(b"secret words"), part(b"t" * 16)])
+    assert [(s.start, s.end, s.kind) for s in find_secrets(f"a {jwe}.")] == [(2, 2 + len(jwe), "token")]
+    assert not any(s.kind == "token" for t in (token({"alg": "x"}, b"[1]"), token(b"[1,2,3,4,5,6]"), "a" * 100_000 + ".", "{" * 50) for s in find_secrets(t))
+
+
+def test_gates_dismiss_nothing():
+    rng = random.Random(8)
+    planted = [base64.b64encode(k).decode() for k in KEYS.values()] + [k.hex() for k in KEYS.values()] + [token({"alg": "a"}), token(b'{"alg":1}', b"{}"), "password=12345678", "AKIA0123456789AB", "f" * 32, "Api_Key: 'abcdefgh'"]
+    found = 0
+    for _ in range(600):
+        parts = ["".join(rng.choice("aK0f+/=. \n\r\té_-\"':") for _ in range(rng.randrange(60)))]
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(planted)
+            i = rng.randrange(len(p))
+            p = rng.choice([p, p, p[:i] + rng.choice(["\n", " ", "\r\n  ", "x"]) + p[i:]])
+            parts += [p, "".join(rng.choice("a0 .\n=") for _ in range(rng.randrange(5)))]
+        text = "".join(parts)
+        got = find_secrets(text)
+        assert got == find_secrets(text, gates=False)
+        assert [(s.start, KINDS.index(s.kind), s.end, s.kind) for s in got if s.kind in KINDS[:3]] == brute_secrets(text)
+        found += sum(s.kind not in KINDS[:3] for s in got)
+    assert found > 300
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     df = rows_of(spark, [None, "", "clean", "password=12345678 é AKIA0123456789AB", "clean"], n_chars="x")
     out = redact_secrets(df)
