@@ -306,14 +306,21 @@ def test_decontamination_query_is_brute_force(spark, tmp_path, monkeypatch, boun
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_overlaps(t, ITEMS), t
 
 
-def test_decontamination_takes_effect(spark):
+@pytest.mark.parametrize("bound", [1 << 24, 40])
+def test_decontamination_takes_effect(spark, monkeypatch, bound):
+    from crossfade.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "BROADCAST_BYTES", bound)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    df = rows_of(spark, TEXTS, extra="e")
+    df = rows_of(spark, TEXTS, row="e", cut="e", id="e", mark="e")
     clean = [i for i, t in enumerate(TEXTS) if not brute_overlaps(t, ITEMS)[4]]
     dropped = decontaminate(df, bench, "drop")
     assert sorted(r.doc_id for r in dropped.collect()) == clean and dropped.schema == df.schema
     cut = {r.doc_id: r.text for r in decontaminate(df, bench, "spans").collect()}
     assert set(cut) == set(range(len(TEXTS))) and cut[len(ODD)] == "x   y" and all(cut[i] == TEXTS[i] for i in clean)
+    assert cut[len(ODD) + 5] == " " and cut[len(ODD) + 2] == "so   here  "
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate(df, empty).count() == df.count()
     assert overlaps(df, bench.limit(0)).where("size(runs) > 0").count() == 0 and overlaps(df.limit(0), bench).count() == 0
     with pytest.raises(ValueError):
         decontaminate(df, bench, "other")
