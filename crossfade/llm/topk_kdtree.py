@@ -4,8 +4,9 @@ Every partition of the candidates is cut into shards of bounded size. A shard
 is split at medians into a tree whose nodes carry tight bounding boxes; for a
 query the nodes are taken best first by the largest product that their box
 admits, until that falls below the k-th score found so far. Queries start with
-the k-th score of a pilot set of candidates, so that every shard begins with a
-bound, and come in blocks of bounded size.
+the k-th score of a pilot set of candidates, which the executors work out, so
+that every shard begins with a bound. They go out in blocks of bounded size,
+one after the other; a block's result is written before the next is sent.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import give_back, new_path
+
 LEAF = 128
 SHARD_ROWS = 16384
 QUERY_BLOCK = 8192  # queries sent to the executors at once
@@ -111,6 +114,37 @@ def _exact(m: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole(m).astype(object), whole(q).astype(object)
 
 
+def _local(rows: list, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and integer vectors of collected rows, by dimension."""
+    if not rows:
+        return {}
+    ids = np.array([r.vec_id for r in rows], np.int64)
+    return {d: (ids[at], m) for d, (at, m) in _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())), scale).items()}
+
+
+def _with_floors(asked: DataFrame, pilot, k: int, scale: int) -> DataFrame:
+    """Queries (vec_id, v, floor): the k-th score of each among the pilot set, null if it has fewer or is beyond a long."""
+
+    @give_back
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            floors: list = [None] * len(ids)
+            for d, (at, m) in _matrix(batch.column(1), scale).items():
+                if d not in pilot.value or len(pilot.value[d][0]) <= k:
+                    continue
+                others, rows = pilot.value[d]
+                rows, m = _exact(rows, m)
+                for i, q in zip(at.tolist(), m, strict=True):
+                    scores = (rows @ q)[others != ids[i]]
+                    if len(scores) >= k:
+                        least = int(np.sort(scores)[-k])
+                        floors[i] = least if abs(least) < 1 << 63 else None
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.int64())], ["vec_id", "v", "floor"])
+
+    return asked.mapInArrow(scan, "vec_id long, v array<double>, floor long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Per query its k best candidates: query_id, rank (from 1), vec_id, score.
 
@@ -119,8 +153,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     no candidate of it. Vectors that are null or hold a null or non-finite
     component, rows without an id, and pairs of unequal dimension take no
     part; repeated queries count once, and rows that repeat an id are
-    candidates of their own. With fewer than k candidates all are returned;
-    empty tables give an empty result. A score beyond a long is an error.
+    candidates of their own. Other columns are ignored. With fewer than k
+    candidates all are returned; empty tables give an empty result. A score
+    beyond a long is an error.
     """
     spark = vectors.sparkSession
 
@@ -128,40 +163,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     cand, asked = shape(vectors), shape(queries).dropDuplicates(["vec_id"])
-
-    def local(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        ids = np.array([r.vec_id for r in rows], np.int64)
-        return {d: (ids[at], m) for d, (at, m) in _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())), scale).items()} if rows else {}
-
-    pilot = local(cand.limit(PILOT_ROWS).collect())
+    pilot = spark.sparkContext.broadcast(_local(cand.limit(PILOT_ROWS).collect(), scale))
     count = asked.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
-    found = None
+    number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    path = new_path(spark, "queries")
+    _with_floors(asked, pilot, k, scale).withColumn("block", number).repartition("block").write.partitionBy("block").parquet(path)
+    pilot.destroy()
+    ready = spark.read.schema("vec_id long, v array<double>, floor long, block int").parquet(path)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = []
     for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        sent = {}
-        for d, (ids, m) in local(block.collect()).items():
-            floors: list = [None] * len(ids)
-            if d in pilot and len(pilot[d][0]) > k:
-                pm, qm = _exact(pilot[d][1], m)
-                for i in range(len(ids)):
-                    scores = (pm @ qm[i])[pilot[d][0] != ids[i]]
-                    floors[i] = np.sort(scores)[-k] if len(scores) >= k else None
-            sent[d] = ids, m, floors
-        part = _search_block(cand, spark.sparkContext.broadcast(sent), k, scale)
-        found = part if found is None else found.union(part)
-    # the shards' best of each query come to k at most before the shuffle
-    rank = F.row_number().over(_window())
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        rows = ready.where(F.col("block") == b).collect()
+        floors = {r.vec_id: r.floor for r in rows}
+        block = {d: (ids, m, [floors[i] for i in ids.tolist()]) for d, (ids, m) in _local(rows, scale).items()}
+        del rows
+        sent = spark.sparkContext.broadcast(block)
+        # the shards' best of each query come to k at most before the shuffle
+        found = _search_block(cand, sent, k, scale).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out.append(new_path(spark, "top-k"))
+        found.write.parquet(out[-1])
+        sent.destroy()
+    found = spark.read.schema("query_id long, vec_id long, score long, rank int").parquet(*out)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _search_block(cand: DataFrame, sent, k: int, scale: int) -> DataFrame:
+    """The best of each query among the candidates of each task."""
+
+    @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # floors rise as shards of this partition are searched
         floors = {d: list(f) for d, (_, _, f) in sent.value.items()}
