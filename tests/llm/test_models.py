@@ -216,8 +216,57 @@ def test_rollup_is_additive_and_idempotent(spark):
         r.commit("not/an id", first)
 
 
+def test_writers_at_one_number_take_turns(spark):
+    import threading
+
+    path = TokenRollup(spark).path
+    kind = "op string, doc_id long, version string, source string, lang string, n_tokens long"
+    rollups = [TokenRollup(spark, path) for _ in range(6)]
+    batch = lambda i: spark.createDataFrame([("insert", i % 3, "v", f"s{i}", "en", 10 + i), ("insert", 100 + i, "v", "own", "en", 1)], kind)
+    done: dict[int, bool] = {}
+    # two writers of each batch id, all at once
+    jobs = [threading.Thread(target=lambda n=n, i=i: done.__setitem__(n, rollups[n].commit(f"b{i}", batch(i)))) for n, i in enumerate((0, 1, 2, 0, 1, 2))]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join()
+    assert sorted(done.values()) == [False] * 3 + [True] * 3
+    r = TokenRollup(spark, path)
+    assert sorted(r.batches()) == ["b0", "b1", "b2"] and r._log()[1] == 3
+    assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals().collect()} == {("s0", 1, 10), ("s1", 1, 11), ("s2", 1, 12), ("own", 3, 3)}
+    # a claim that comes too late fails and leaves the winner's record
+    before = r._read_record(2)
+    assert not r._claim(2, {"batch": "late"}) and r._read_record(2) == before
+
+
+def test_compaction_keeps_ledger_totals_and_names(spark, monkeypatch):
+    from crossfade.llm import token_counts as C
+
+    monkeypatch.setattr(C, "COMPACT_EVERY", 3)
+    rng, state, r = random.Random(12), {}, TokenRollup(spark)
+    kind = "op string, doc_id long, version string, source string, lang string, n_tokens long, extra string"
+    for n in range(8):
+        rows = {}
+        for _ in range(rng.randrange(5)):
+            i, op = rng.randrange(8), rng.choice(["insert", "revise", "delete"])
+            rows[i] = (op, i, "v", rng.choice(["a", None]), "en", rng.randrange(9), "x")
+        assert r.commit(f"n{n}", spark.createDataFrame(list(rows.values()), kind))
+        for i, x in rows.items():
+            state.pop(i, None)
+            if x[0] != "delete":
+                state[i] = x[3:6]
+        assert {x.doc_id: (x.source, x.lang, x.n_tokens) for x in r.ledger().collect()} == state
+        want = defaultdict(lambda: [0, 0])
+        for source, _, tokens in state.values():
+            want[source][0] += 1
+            want[source][1] += tokens
+        assert {x.source: [x.n_docs, x.n_tokens] for x in r.totals().collect()} == want
+        assert not r.commit(f"n{rng.randrange(n + 1)}", spark.createDataFrame([("insert", 1, "v", "a", "en", 99, "x")], kind))
+    assert r.batches() == [f"n{n}" for n in range(8)] and len(r._log()[0]) == 3
+
+
 def test_token_query_is_brute_force(spark, tmp_path):
-    texts = [t for t in ODD if not t or len(t) < 1000] + ["the same", "the same", "THE SAME", "words and  more words"]
+    texts = [*ODD, "long words and numbers 12345 " * 20_000] + ["the same", "the same", "THE SAME", "words and  more words"]
     rows = [(i, t, ["s", None][i % 2], "en") for i, t in enumerate(texts)]
     d = save(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
     got = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in op4_token_counts(spark, d).collect()}
