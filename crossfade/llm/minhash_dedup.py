@@ -320,14 +320,14 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
 
 
 class _Found:
-    """Signed rows, classes of equal sets (k, rep, row: of the row to keep, n: their rows) and linked classes (k, least: the component's id, head: its class)."""
+    """Signed rows, classes of equal sets (k, rep, row: of the row to keep) and linked classes (k, least: the component's id, head: its class)."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int, seed: int) -> None:
         self.scratch = Scratch(docs.sparkSession)
         self.signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
         own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "row")
-        classes = self.signed.where("k is not null").groupBy("k").agg(F.min(own).alias("own"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-        self.reps = self.scratch.table(classes.select("k", "own.rep", "own.row", "n", "n_shingles", "sig"), "classes")
+        classes = self.signed.where("k is not null").groupBy("k").agg(F.min(own).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        self.reps = self.scratch.table(classes.select("k", "own.rep", "own.row", "n_shingles", "sig"), "classes")
         linked = linked_classes(docs, self.reps, self.scratch, id_col, text_col, width, bands, rows, percent)
         # nodes are ordered by id, so the least node of a component has its id
         self.linked = self.scratch.table(linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"), F.col("component.k").alias("head")), "linked")
@@ -374,13 +374,13 @@ def drop_near_duplicates(
     """
     found = _Found(docs, id_col, text_col, width, bands, rows, percent, seed)
     # of each class its row to keep, null where another class heads the component
-    heads = found.reps.select("k", "row", "n").join(found.linked.select("k", "head"), "k", "left")
-    heads = materialize(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays"), "n"), "heads")
-    lost = found.signed.where("k is not null").select("k", "row").join(heads.select("k", "stays"), "k").where("stays is null or row <> stays").select("row", F.lit(False).alias("keep"))
-    # the row to keep of a class with several may be there again
-    kept = heads.where("stays is not null and n > 1").select(F.col("stays").alias("row"), F.lit(True).alias("keep"))
-    marks = found.scratch.table(lost.unionByName(kept).groupBy(F.col("row").alias("mark")).agg(F.bool_or("keep").alias("keep")), "marks")
+    heads = found.reps.select("k", "row").join(found.linked.select("k", "head"), "k", "left")
+    heads = materialize(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays")), "heads")
+    placed = found.signed.where("k is not null").select("k", "row").join(heads, "k")
+    marks = placed.groupBy(F.col("row").alias("mark")).agg(F.bool_or(F.coalesce(F.col("row") == F.col("stays"), F.lit(False))).alias("keep"), F.count("*").alias("n"))
+    # a row that stays and isn't there again needs no mark
+    marks = materialize(marks.where("not keep or n > 1").select("mark", "keep"), "marks")
     wordless = F.coalesce(F.translate(F.col(text_col).cast("string"), " \t\n\x0b\x0c\r", "") == "", F.lit(True))
-    out = settle(docs, _row(id_col, text_col), materialize(marks, "marks"), wordless)
+    out = settle(docs, _row(id_col, text_col), marks, wordless)
     found.scratch.clear()
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_RULES = 100_000  # rules up to this number are broadcast (some 20 MB at most); more are joined by a shuffle
+BROADCAST_RULES, BROADCAST_BYTES = 100_000, 32 << 20  # rules up to this number and size are broadcast; more are joined by a shuffle
 
 
 def url_host(url: Column) -> Column:
@@ -48,7 +48,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     known = known.select("r_host", "r_path", F.col("v.verdict").alias("r_verdict"), digest.alias("r_digest"), F.substring(digest, 1, 8).alias("r_prefix"))
     # the shapes that rules have: labels of the host and characters of the path
     shapes = known.agg(
-        F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.char_length("r_path")).alias("lengths"), F.count("*").alias("n")
+        F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.char_length("r_path")).alias("lengths"), F.count("*").alias("n"), F.sum(F.octet_length("r_host") + F.octet_length("r_path") + 200).alias("size")
     ).first()
     labels, lengths = sorted(shapes.labels), sorted(shapes.lengths)
     url = F.col(url_col).cast("string")
@@ -62,12 +62,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p")))))
     hashed = rows.select("*", F.explode_outer(pairs).alias("e")).withColumn("digest", F.sha2(F.concat_ws("\n", "e.h", "e.p"), 256))
     hashed = hashed.withColumn("prefix", F.substring("digest", 1, 8))
-    side = F.broadcast(known) if shapes.n <= BROADCAST_RULES else known
-    joined = hashed.join(side, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")), "left")
+    side = F.broadcast(known) if shapes.n <= BROADCAST_RULES and shapes.size <= BROADCAST_BYTES else known
+    # the short prefix finds candidates, the whole digest confirms them
+    joined = hashed.join(side, F.col("prefix") == F.col("r_prefix"), "left").withColumn("fits", F.coalesce(F.col("digest") == F.col("r_digest"), F.lit(False)))
     rule = F.concat("r_host", "r_path")
     best = F.max(
         F.when(
-            F.col("r_digest").isNotNull(),
+            F.col("fits"),
             F.struct(F.char_length(rule).alias("size"), F.char_length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"), rule.alias("rule"), F.col("r_verdict").alias("verdict")),
         )
     )
