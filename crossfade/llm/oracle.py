@@ -96,5 +96,54 @@ FROM x GROUP BY conv_id
 """
 
 
+LICENSE_BASE = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+f AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words,
+    list_filter(range(len(ws)), lambda i: ws[i + 1 : i + 4] = ['under', 'the', 'mit', 'license']) AS mit,
+    list_filter(range(len(ws)), lambda i: ws[i + 1 : i + 4] = ['apache', 'license', 'version', '2']) AS apache,
+    list_filter(range(len(ws)), lambda i: ws[i + 1 : i + 3] = ['cc', 'by', 'nc']) AS cc
+  FROM w
+), a AS (SELECT *, list_concat(mit, apache, cc) AS every FROM f)
+SELECT doc_id, n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
+  array_to_string(list_filter([CASE WHEN len(apache) > 0 THEN 'apache-2' END, CASE WHEN len(cc) > 0 THEN 'cc-by-nc' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels
+FROM a
+"""
+
+# the texts between the matches of a pattern and the matches give their places; letters of the keywords in either case, for ASCII alone
+_KEYWORD = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""(?:{_KEYWORD})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KIND = """
+  SELECT doc_id, '{kind}' AS kind, {order} AS o, k, list_sum(list_transform(gaps[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : k - 1], lambda x: length(x))), 0) AS a, length(found[k]) AS size
+  FROM (SELECT doc_id, found, gaps, held, unnest(range(1, len(found) + 1)) AS k
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', {group}) AS held FROM d))
+  WHERE length(held[k]) >= {least}
+"""
+_KINDS = "UNION ALL".join(
+    _KIND.format(kind=kind, order=n, pattern=pattern, group=group, least=least)
+    for n, (kind, pattern, group, least) in enumerate((("assign", _ASSIGN, 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)))
+)
+SECRET_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_KINDS}),
+l AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a::BIGINT || ':' || (a + size)::BIGINT, ',' ORDER BY a, o) AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+TOKEN_ROLLUP_WORDS = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents
+), now AS (
+  SELECT source, lang, CASE WHEN doc_id % 9 = 0 THEN 7 WHEN doc_id % 2 = 0 THEN 2 * n + 1 ELSE n END AS n FROM d WHERE doc_id % 3 <> 0 OR doc_id % 9 = 0
+)
+SELECT source, lang, 'words' AS version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM now GROUP BY source, lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": OP6, "op7_kdtree_topk": OP7, "op8_url_filter": OP8, "op9_decontamination": OP9, "op10_chat_format": OP10}
+    return {"op6_minhash_dedup": OP6, "op7_kdtree_topk": OP7, "op8_url_filter": OP8, "op9_decontamination": OP9, "op10_chat_format": OP10, "license_base": LICENSE_BASE, "secret_base": SECRET_BASE, "token_rollup_words": TOKEN_ROLLUP_WORDS}

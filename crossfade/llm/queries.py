@@ -127,6 +127,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), _sha256(F.col("loss")).alias("loss_sha256"), "formatted_chars")
 
 
+# the parts of operators 1, 3 and 4 that SQL can follow, through the same code
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts alone: insert, revise half of the documents, delete a third, insert some again."""
+    counts = materialize(count_tokens(table(spark, sf_dir, "documents")).where("version = 'words'"), "word-counts")
+    rollup = TokenRollup(spark)
+    change = lambda op, n: counts.select(F.lit(op).alias("op"), "doc_id", "version", "source", "lang", n.alias("n_tokens"))
+    rollup.commit("insert", change("insert", F.col("n_tokens")))
+    rollup.commit("revise", change("revise", 2 * F.col("n_tokens") + 1).where("doc_id % 2 = 0"))
+    rollup.commit("delete", change("delete", F.col("n_tokens")).where("doc_id % 3 = 0"))
+    rollup.commit("again", change("insert", F.lit(7)).where("doc_id % 9 = 0"))
+    return rollup.totals()
+
+
 def queries() -> dict:
-    named = (op1_license_scan, op2_best_fit_packing, op3_secret_scan, op4_token_counts, op5_quality_knn, op6_minhash_dedup, op7_kdtree_topk, op8_url_filter, op9_decontamination, op10_chat_format)
+    named = (op1_license_scan, op2_best_fit_packing, op3_secret_scan, op4_token_counts, op5_quality_knn, op6_minhash_dedup, op7_kdtree_topk, op8_url_filter, op9_decontamination, op10_chat_format, license_base, secret_base, token_rollup_words)
     return {f.__name__: f for f in named}
