@@ -1,10 +1,11 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are pairs of neighbouring byte classes and a few measures of
-repetition, all from whole texts. Term weights (tf-idf) and the latent axes
-(truncated SVD) are fitted on a bounded sample of labelled rows, whose latent
-vectors are broadcast; every document takes exact cosine products with all of
-them, block by block, and its nearest neighbours vote with their similarity.
+A text's terms are its words, by a hash, pairs of neighbouring byte classes and
+a few measures of repetition, all from whole texts. Term weights (tf-idf) and
+the latent axes (truncated SVD) are fitted on a bounded sample of labelled
+rows, whose latent vectors are broadcast; every document takes exact cosine
+products with all of them, block by block, and its nearest neighbours vote with
+their similarity.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _N = int(_CLASS.max()) + 1
-TERMS = _N * _N + 4 * _BINS
+_WORDS = 1024  # buckets of words
+_PAIRS = _N * _N
+TERMS = _PAIRS + 4 * _BINS + _WORDS
 
 
 def _bins(share: np.ndarray) -> np.ndarray:
@@ -94,27 +97,37 @@ def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
     i, n = 0, len(offsets) - 1
     while i < n:
         j = i + 1
-        while j < n and j - i < 256 and offsets[j + 1] - offsets[i] <= _BLOCK_BYTES:
+        while j < n and j - i < 128 and offsets[j + 1] - offsets[i] <= _BLOCK_BYTES:
             j += 1
-        part = offsets[i : j + 1]
-        counts = np.zeros((j - i) * _N * _N)
+        part, docs = offsets[i : j + 1], j - i
+        out = np.zeros((docs, TERMS), np.float32)
+        counts = np.zeros(docs * _PAIRS)
         for lo in range(int(part[0]), int(part[-1]), _BLOCK_BYTES):
             hi = min(lo + _BLOCK_BYTES + 1, int(part[-1]))  # the pair at the seam belongs to the earlier piece
             c = _CLASS[data[lo:hi]]
             owner = np.searchsorted(part, np.arange(lo, hi), "right") - 1
             same = owner[1:] == owner[:-1]
-            counts += np.bincount((owner[:-1] * _N * _N + c[:-1] * _N + c[1:])[same], minlength=len(counts))
-        tf = np.sqrt(counts.reshape(j - i, -1))
-        norm = np.linalg.norm(tf, axis=1, keepdims=True)
-        tf /= np.where(norm > 0, norm, 1)
+            counts += np.bincount((owner[:-1] * _PAIRS + c[:-1] * _N + c[1:])[same], minlength=len(counts))
+        counts = counts.reshape(docs, -1)
+        out[:, :_PAIRS] = _unit(counts)
         words, bounds = scan_words(data, part, BLANK_SPLIT)
         some = (np.diff(bounds) > 0)[:, None]
-        upper = counts.reshape(j - i, _N, _N)[:, 26, :].sum(1) / np.maximum(counts.reshape(j - i, -1).sum(1), 1)
-        extra = np.hstack([_bins(_repeated(words, bounds, 1)), _bins(_repeated(words, bounds, 3)), _bins(_stuttered(words, bounds)), _bins(upper)]) * some
-        yield np.hstack([tf, 0.35 * extra])
+        upper = counts.reshape(docs, _N, _N)[:, 26, :].sum(1) / np.maximum(counts.sum(1), 1)
+        measures = (_repeated(words, bounds, 1), _repeated(words, bounds, 3), _stuttered(words, bounds), upper)
+        out[:, _PAIRS:-_WORDS] = 0.35 * np.hstack([_bins(m) for m in measures]) * some
+        place = np.repeat(np.arange(docs), np.diff(bounds)) * _WORDS + (words % np.uint64(_WORDS)).astype(np.int64)
+        out[:, -_WORDS:] = 0.5 * _unit(np.bincount(place, minlength=docs * _WORDS).reshape(docs, -1))
+        yield out
         i = j
 
 
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Roots of counts, rows of length 1 or 0."""
+    tf = np.sqrt(counts)
+    norm = np.linalg.norm(tf, axis=1, keepdims=True)
+    return tf / np.where(norm > 0, norm, 1)
+
+
 @dataclass
 class Model:
     """Idf weights, latent axes, and the labelled vectors that vote; its size depends on the sample bound alone."""
@@ -126,8 +139,11 @@ class Model:
     prior: float
     neighbours: int
 
+    def __post_init__(self) -> None:
+        self.onto = self.idf.astype(np.float64)[:, None] * self.axes
+
     def project(self, terms: np.ndarray) -> np.ndarray:
-        z = (terms * self.idf) @ self.axes
+        z = terms @ self.onto
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return np.divide(z, norm, out=np.zeros_like(z), where=norm > 1e-12)
 
@@ -175,10 +191,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             ids = batch.column(0).to_pylist()
             at = [i for i, x in enumerate(ids) if x in sent.value]
             if at:
-                terms = np.vstack(list(term_counts(batch.column(1).take(pa.array(at))))).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([str(ids[i]) for i in at]), pa.array([sent.value[ids[i]] for i in at], pa.int32()), pa.array([r.tobytes() for r in terms], pa.binary())], ["i", "y", "terms"]
-                )
+                terms = [_packed(r) for block in term_counts(batch.column(1).take(pa.array(at))) for r in block]
+                yield pa.RecordBatch.from_arrays([pa.array([str(ids[i]) for i in at]), pa.array([sent.value[ids[i]] for i in at], pa.int32()), pa.array(terms, pa.binary())], ["i", "y", "terms"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, "i string, y int, terms binary")
     # of an id that repeats beyond reason, as many rows as there are places in the sample
@@ -186,14 +200,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = rows.sort_values(["i", "terms"], ignore_index=True)
     if rows.empty:
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, neighbours)
-    x = np.frombuffer(b"".join(rows.pop("terms")), np.float32).reshape(len(rows), TERMS)
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for i, raw in enumerate(rows.pop("terms")):
+        _unpack(raw, x[i])
     y = rows.y.to_numpy(np.float64)
     idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
-    model = Model(idf, _axes(x * idf, axes), np.zeros((0, axes)), y, float(y.mean()), neighbours)
+    x *= idf
+    own = _axes(x, axes)
+    x /= idf
+    model = Model(idf, own, np.zeros((0, axes)), y, float(y.mean()), neighbours)
     model.vectors = model.project(x)
     return model
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """The places and values of what isn't zero."""
+    at = np.flatnonzero(row)
+    return at.astype(np.int32).tobytes() + row[at].tobytes()
+
+
+def _unpack(raw: bytes, row: np.ndarray) -> None:
+    half = len(raw) // 2
+    row[np.frombuffer(raw[:half], np.int32)] = np.frombuffer(raw[half:], np.float32)
+
+
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row; only the text is an input of a score. Null texts count as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,7 +239,11 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """``docs``, all columns, without the rows that score below ``least``."""
+    """``docs``, all columns, without the rows that score below ``least``.
+
+    Null and empty texts score the share of label 1 in the sample; repeated
+    rows are judged one by one; other columns may have any name.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
