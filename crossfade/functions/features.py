@@ -98,14 +98,17 @@ def profile(df: DataFrame, method: str = "median", features: Sequence[str] = FEA
 
 
 def check_weights(weights: Mapping[str, float] | None, features: Sequence[str] = FEATURES) -> dict[str, float]:
-    """Weights as floats; unknown, non-numeric, non-finite and negative ones are an error."""
+    """Weights as floats, from any number or text of one; unknown, non-numeric, non-finite and negative ones are an error."""
     out = {}
     for name, value in (weights or {}).items():
         if name not in features:
             raise ValueError(f"unknown feature: {name}")
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or value < 0:
+        try:
+            out[name] = float(value)
+        except (TypeError, ValueError):
+            out[name] = math.nan
+        if not (math.isfinite(out[name]) and out[name] >= 0):
             raise ValueError(f"weight of {name} must be finite and not negative: {value!r}")
-        out[name] = float(value)
     return out
 
 
@@ -125,6 +128,7 @@ def weighted_cosine(weights: Mapping[str, float] | None, features: Sequence[str]
     return cosine([F.col(f"p_{f}") * w.get(f, 1.0) for f in features], [F.col(f"z_{f}") * w.get(f, 1.0) for f in features])
 
 
+# fixed values: the sentences of an explanation
 def explanation(features: Sequence[str] = FEATURES, most: int = 3) -> Column:
     """A sentence that names the closest traits of p_ and z_ columns, ties in feature order."""
     if most < 1:

@@ -116,12 +116,13 @@ def prepare(
     exclude_ids: Sequence[str] | None = None,
     limit: int = CANDIDATE_LIMIT,
     fit_on: str = "candidates",
+    seen: DataFrame | None = None,
 ) -> Prepared:
     """The pool for one request: bounds, exclusions, the bounded sample.
 
     With fewer than ``top_n`` candidates the lower popularity bound is dropped,
     and nothing else. ``fit_on`` tells what the scaler sees: the pool, or the
-    whole ``catalog``.
+    whole ``catalog``. ``seen`` (track_id) is a list of any length to leave out.
     """
     if fit_on not in ("candidates", "catalog"):
         raise ValueError(f"unknown scaler source: {fit_on}")
@@ -131,7 +132,10 @@ def prepare(
 
     def pool(bound: float | None) -> DataFrame:
         # at most ``limit`` rows, read by the count, the fits and the scores
-        return bounded_sample(filter_candidates(catalog, ids, artists, bound, None, year_range), limit).persist()
+        rows = filter_candidates(catalog, ids, artists, bound, None, year_range)
+        if seen is not None:
+            rows = rows.where("track_id is not null").join(seen.select("track_id"), "track_id", "left_anti").select(*rows.columns)
+        return bounded_sample(rows, limit).persist()
 
     bound = min_popularity
     candidates = pool(bound)

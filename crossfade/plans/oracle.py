@@ -383,7 +383,7 @@ SELECT row_number() OVER (ORDER BY r)::INTEGER AS rank, track_id, {r6('score')}
         "topn_weighted_sample": sample,
         "seed_split": f"WITH {SPLIT} SELECT playlist_id, split_id, place, catalog_track_id FROM ordered WHERE place <= 5",
         "split_requests": f"WITH {SPLIT} SELECT playlist_id, split_id, 5 AS num_seeds, num_matched::INTEGER AS num_matched_positives, num_positives FROM asked",
-        "skipped_requests": f"WITH {SPLIT} SELECT playlist_id, split_id, CASE WHEN n_matched < 5 THEN 'playlist has fewer than 5 matched seed tracks' ELSE 'playlist has no non-seed positive tracks' END AS reason FROM sizes WHERE n_matched < 5 OR n <= 5",
+        "skipped_requests": f"WITH {SPLIT} SELECT playlist_id, split_id, CASE WHEN n_matched < 5 THEN 'too few matched tracks for 5 seeds' ELSE 'nothing is left to be found' END AS reason FROM sizes WHERE n_matched < 5 OR n <= 5",
         "playlist_partition": f"""{lab}, p AS (SELECT DISTINCT playlist_id FROM memberships), o AS (SELECT playlist_id, row_number() OVER (ORDER BY md5('0:partition:' || playlist_id), playlist_id) AS r, count(*) OVER () AS n FROM p)
           SELECT playlist_id, r <= ceil(n * 0.2) AS is_test FROM o""",
         "benchmark_recommendations": f"WITH {BENCH} SELECT playlist_id, split_id, strategy, rank, track_id, {r6('score')} AS score FROM recs",

@@ -1,14 +1,11 @@
-"""Sinks: catalog publishing, the merge cache, CSV, JSON, and files of a report."""
+"""Sinks: catalog publishing, the merge cache, CSV, JSON, and files of a report; all on storage that executors share."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import math
-import os
 import re
-import shutil
-import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -16,23 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DEPLOYED_TYPES, CatalogError
+from .storage import Folder, file_of
 from .tables import read_catalog
 
 MERGE_SCHEMA_VERSION = 1
-BLOCK = 1 << 20
+ROW_GROUP = 122_880  # rows of a published row group; fixed value
 
 
-def sha256_file(path: str | Path) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(BLOCK):
-            digest.update(block)
-    return digest.hexdigest()
+def sha256_file(spark: SparkSession, path: str) -> str:
+    return Folder(spark, path).digests().first().sha256
 
 
-def sha256_table(path: str | Path) -> str:
-    """Of a table's part files: the digest of their sorted digests."""
-    parts = sorted(sha256_file(p) for p in Path(path).rglob("part-*"))
+def sha256_table(spark: SparkSession, path: str) -> str:
+    """Of a table's part files: the digest of their sorted digests, which the executors work out."""
+    parts = sorted(r.sha256 for r in Folder(spark, path).digests().collect())
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
@@ -42,56 +36,49 @@ def deployed(catalog: DataFrame) -> DataFrame:
 
 
 def publish_catalog(catalog: DataFrame, folder: str, version: str) -> str:
-    """Write the published columns to ``catalog-<version>-<digest>.parquet`` and point ``CURRENT`` at it.
+    """Write the published columns as an artifact named by version and content, and make it the current one.
 
-    An empty catalog is refused and leaves the manifest as it is. The table is
-    written aside and renamed, and the manifest is swapped in one step.
+    The table is first written under a hidden name; an empty one is refused,
+    and then nothing but that changes. The artifact of the same content is
+    used again. Readers follow ``CURRENT``, which is replaced in one step.
     """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", version):
-        raise ValueError("a version may hold only letters, digits, '-' and '_'")
-    os.makedirs(folder, exist_ok=True)
-    aside = Path(folder, f".catalog-{version}-{uuid.uuid4().hex}.tmp")
-    manifest = Path(folder, f".CURRENT-{uuid.uuid4().hex}.tmp")
+        raise ValueError(f"not a version: {version!r}; letters, digits, '-' and '_' only")
+    spark, shelf = catalog.sparkSession, Folder(catalog.sparkSession, folder)
+    shelf.make()
+    hidden = shelf.aside(version)
     try:
-        deployed(catalog).write.option("compression", "zstd").option("parquet.block.size", 64 << 20).parquet(aside.resolve().as_uri())
-        if not catalog.sparkSession.read.parquet(aside.resolve().as_uri()).limit(1).count():
-            raise CatalogError("refusing to publish an empty catalog")
-        artifact = Path(folder, f"catalog-{version}-{sha256_table(aside)[:16]}.parquet")
-        if artifact.exists():  # the same content has been published before
-            shutil.rmtree(aside)
-        else:
-            aside.rename(artifact)
-        manifest.write_text(f"{artifact.name}\n")
-        manifest.replace(Path(folder, "CURRENT"))
+        deployed(catalog).write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP).parquet(shelf.of(hidden))
+        if spark.read.parquet(shelf.of(hidden)).isEmpty():
+            raise CatalogError("there are no rows to publish")
+        artifact = f"catalog-{version}-{sha256_table(spark, shelf.of(hidden))[:16]}.parquet"
+        if not shelf.has(artifact):
+            shelf.move(hidden, artifact)
     finally:
-        shutil.rmtree(aside, ignore_errors=True)
-        manifest.unlink(missing_ok=True)
-    return str(artifact)
+        shelf.drop(hidden)
+    shelf.write("CURRENT", f"{artifact}\n")
+    return f"{folder.rstrip('/')}/{artifact}"
 
 
-def fingerprint(paths: Sequence[str]) -> str:
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
     """Of input files by path, size and time of change, in any order."""
-    items = []
-    for p in paths:
-        s = os.stat(p)
-        items.append({"path": os.path.realpath(p), "size": s.st_size, "mtime_ns": s.st_mtime_ns})
-    payload = {"version": MERGE_SCHEMA_VERSION, "inputs": sorted(items, key=lambda x: x["path"])}
-    return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()[:16]
+    inputs = sorted(Folder(spark, p).status() for p in paths)
+    return hashlib.sha256(json.dumps([MERGE_SCHEMA_VERSION, inputs]).encode()).hexdigest()[:16]
 
 
 def cached(spark: SparkSession, paths: Sequence[str], folder: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
     """The table built from files, kept under their fingerprint; a failed build leaves nothing behind."""
-    os.makedirs(folder, exist_ok=True)
-    target = Path(folder, f"merged_{fingerprint(paths)}.parquet")
-    if rebuild or not (target / "_SUCCESS").exists():
-        aside = Path(folder, f".{target.name}-{uuid.uuid4().hex}.tmp")
+    shelf, name = Folder(spark, folder), f"merged_{fingerprint(spark, paths)}.parquet"
+    shelf.make()
+    if rebuild or not shelf.has(f"{name}/_SUCCESS"):
+        hidden = shelf.aside("merged")
         try:
-            build().write.parquet(aside.resolve().as_uri())
-            shutil.rmtree(target, ignore_errors=True)
-            aside.rename(target)
+            build().write.parquet(shelf.of(hidden))
+            shelf.drop(name)
+            shelf.move(hidden, name)  # another builder's table of the same files will do as well
         finally:
-            shutil.rmtree(aside, ignore_errors=True)
-    return spark.read.parquet(target.resolve().as_uri())
+            shelf.drop(hidden)
+    return spark.read.parquet(shelf.of(name))
 
 
 def merged_catalog(spark: SparkSession, paths: Sequence[str], folder: str = ".dataset_cache", rebuild: bool = False) -> DataFrame:
@@ -99,11 +86,7 @@ def merged_catalog(spark: SparkSession, paths: Sequence[str], folder: str = ".da
     from ..operators.merge import COLUMNS, merge_tables
     from .tables import read_csv
 
-    def build() -> DataFrame:
-        rows = merge_tables([read_csv(spark, p) for p in paths])
-        return rows.orderBy("ord").select(*COLUMNS)
-
-    return cached(spark, paths, folder, build, rebuild)
+    return cached(spark, paths, folder, lambda: merge_tables([read_csv(spark, p) for p in paths]).select(*COLUMNS), rebuild)
 
 
 def catalog_bundle(spark: SparkSession, folder: str, raw_paths: Sequence[str] | None = None, cache: str = ".dataset_cache") -> DataFrame:
@@ -112,23 +95,23 @@ def catalog_bundle(spark: SparkSession, folder: str, raw_paths: Sequence[str] |
 
     if raw_paths:
         return merged_catalog(spark, raw_paths, cache)
-    return read_catalog(spark, Path(current_artifact(folder)).resolve().as_uri())
+    return read_catalog(spark, current_artifact(folder))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, of a table small enough for it; arrays become JSON."""
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-    aside = Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    shelf, name = file_of(df.sparkSession, path)
+    hidden = shelf.aside(name)
     try:
-        flat.coalesce(1).write.csv(aside.resolve().as_uri(), header=True, quote='"', escape='"')
-        part = next(aside.glob("part-*.csv"), None)
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        flat.coalesce(1).write.csv(shelf.of(hidden), header=True, quote='"', escape='"')
+        part = next((n for n in Folder(df.sparkSession, shelf.of(hidden)).names() if n.startswith("part-")), None)
         if part is None:  # no rows, no part file: the header alone
-            Path(path).write_text(",".join(df.columns) + "\n")
+            shelf.write(name, ",".join(df.columns) + "\n")
         else:
-            part.replace(path)
+            shelf.move(f"{hidden}/{part}", name, replace=True)
     finally:
-        shutil.rmtree(aside, ignore_errors=True)
+        shelf.drop(hidden)
 
 
 def json_safe(value):
@@ -145,6 +128,10 @@ def json_safe(value):
 
 
 def write_json(payload: dict, path: str, sort_keys: bool = False) -> str:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(json_safe(payload), indent=2, sort_keys=sort_keys, allow_nan=False) + "\n")
+    return write_text(json.dumps(json_safe(payload), indent=2, sort_keys=sort_keys, allow_nan=False) + "\n", path)
+
+
+def write_text(text: str, path: str) -> str:
+    shelf, name = file_of(SparkSession.active(), path)
+    shelf.write(name, text)
     return path

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CatalogError
+from .storage import Folder, file_of
 
 # fixed values: texts of a CSV cell that stand for a missing value
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -52,10 +52,18 @@ def map_header(columns: Sequence[str]) -> dict[str, str | None]:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        raise CatalogError(f"can't read the catalog at {path}: {e}") from e
+    """The catalog at a path; a read that fails is tried once more, for a table may be replaced meanwhile.
+
+    Failures of single tasks are Spark's to repeat (``spark.task.maxFailures``).
+    """
+    uri = Folder(spark, path).uri
+    for last in (False, True):
+        try:
+            return spark.read.parquet(uri)
+        except Exception as e:
+            if last:
+                raise CatalogError(f"can't read the catalog at {path}: {e}") from e
+            spark.catalog.refreshByPath(uri)
 
 
 def empty_like(df: DataFrame) -> DataFrame:
@@ -97,11 +105,19 @@ def read_list(spark: SparkSession, path: str | None, first: Sequence[str] = ())
     return list(dict.fromkeys(v for v in out if v))
 
 
+def read_json(path: str) -> dict:
+    """A small JSON file."""
+    shelf, name = file_of(SparkSession.active(), path)
+    text = shelf.read(name)
+    if text is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
+
+
 def read_id_filter(spark: SparkSession, path: str) -> set[str]:
     """Playlist ids of a text list, or the held-out ones of a tuning result."""
     if path.endswith(".json"):
-        with open(path) as f:
-            ids = json.load(f).get("partition", {}).get("test_playlist_ids")
+        ids = read_json(path).get("partition", {}).get("test_playlist_ids")
         if not isinstance(ids, list) or not ids:
             raise ValueError(f"no held-out playlist ids in {path}")
         return {str(i) for i in ids}
@@ -112,8 +128,7 @@ def read_weights(path: str) -> dict[str, float]:
     """The weights that a tuning result has selected."""
     from ..functions.features import check_weights
 
-    with open(path) as f:
-        weights = json.load(f).get("selected_weights")
+    weights = read_json(path).get("selected_weights")
     if not isinstance(weights, dict) or not weights:
         raise ValueError(f"no selected weights in {path}")
     return check_weights(weights)
@@ -123,16 +138,16 @@ def current_artifact(folder: str, override: str | None = None) -> str:
     """The artifact that ``CURRENT`` in ``folder`` names; a name with a path in it is refused."""
     if override:
         return override
-    manifest = Path(folder, "CURRENT")
-    if not manifest.exists():
+    shelf = Folder(SparkSession.active(), folder)
+    name = shelf.read("CURRENT")
+    if name is None:
         raise CatalogError(f"no catalog in {folder}")
-    name = manifest.read_text().strip()
-    if not name or name != os.path.basename(name) or name in (".", ".."):
+    name = name.strip()
+    if not name or "/" in name or name in (".", ".."):
         raise CatalogError(f"not an artifact's name: {name!r}")
-    path = Path(folder, name)
-    if not path.exists():
-        raise CatalogError(f"{path} isn't there")
-    return str(path)
+    if not shelf.has(name):
+        raise CatalogError(f"{folder}/{name} isn't there")
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def first_existing(paths: Sequence[str]) -> str | None:

@@ -238,7 +238,7 @@ def test_benchmark_end_to_end(spark, tmp_path):
     (tmp_path / "x.md").write_text("no markers")
     with pytest.raises(ValueError):
         P.update_readme(str(tmp_path / "x.md"), data, "r.md")
-    assert P.comparison_table([], 5) == "_No evaluable playlist splits were available._"
+    assert P.comparison_table([], 5) == "No request could be evaluated."
 
 
 def test_batch_and_single_requests_agree(spark):
