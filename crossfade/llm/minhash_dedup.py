@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bittable import build, settle, sift
 from .components import components
-from .shared import Scratch, give_back, materialize
+from .shared import MIDDLE, WIDE, Scratch, give_back, materialize
 from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
 BLOCK_CLASSES = 2048  # classes of a bucket that one task compares with as many others
@@ -202,6 +202,7 @@ class _Confirm:
         self.reps, self.sketches, self.scratch, self.width, self.percent = reps, sketches, scratch, width, percent
         own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
         self.texts = docs.select(own.alias("wanted"), F.col(text_col).cast("string").alias("text"))
+        self.classes, self.tiles = reps.count(), 0
         # an estimate this far below the threshold is off by 4.5 standard deviations of the signature
         p = percent / 100
         self.least = p + (1 - p) / 256 - 4.5 * (p * (1 - p) / hashes) ** 0.5
@@ -225,7 +226,8 @@ class _Confirm:
 
         dealt = rows.join(self.sketches, "k").select("bucket", "lo", "hi", "own", "k", "c", "band", "keys", "sketch")
         dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        tiles = self.scratch.table(dealt.mapInArrow(pick, "bucket long, lo int, hi int, own int, k long, c long"), "tiles")
+        tiles = self.scratch.table(dealt.mapInArrow(pick, "bucket long, lo int, hi int, own int, k long, c long"), "tiles", self.classes, WIDE)
+        self.tiles = tiles.count()
         full = self._sets(tiles)
 
         def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,7 +244,7 @@ class _Confirm:
     def _sets(self, tiles: DataFrame) -> DataFrame:
         """Full sets of the classes in ``tiles``, from whole texts once more; a bit table keeps most other texts from the shuffle."""
         width = self.width
-        wanted = self.scratch.table(tiles.select("k").distinct().join(self.reps.select("k", "rep"), "k").select(F.col("rep").alias("wanted"), "k"), "wanted")
+        wanted = self.scratch.table(tiles.select("k").distinct().join(self.reps.select("k", "rep"), "k").select(F.col("rep").alias("wanted"), "k"), "wanted", self.tiles)
 
         @give_back
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,7 @@ class _Confirm:
 
         # merged at any size, so that what is shuffled follows the input
         texts = sift(self.texts, F.col("wanted"), self.scratch.broadcast(build(wanted, "wanted")), True).join(wanted.hint("merge"), "wanted").select("text", F.col("wanted").alias("rep"), "k")
-        return self.scratch.table(texts.mapInArrow(sets, "rep long, k long, members binary"), "sets")
+        return self.scratch.table(texts.mapInArrow(sets, "rep long, k long, members binary"), "sets", min(self.tiles, self.classes), WIDE)
 
 
 def _parts(size: str, weight: str):
@@ -302,21 +304,24 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 8 * i, 8)) for i in range(bands)])
     band = reps.select("k", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
     stats = band.groupBy("bucket").agg(F.min("k").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    shared = scratch.table(band.join(stats, "bucket"), "buckets")
+    count = reps.count()
+    shared = scratch.table(band.join(stats, "bucket"), "buckets", bands * count)
     # the sketch, and four bytes of each band; of few classes that share no bucket besides
     sketches = reps.select(
         "k",
         F.array(*[F.hash(F.substring("sig", 1 + 8 * i, 8)) for i in range(bands)]).alias("keys"),
         F.substring("sig", 1 + 8 * bands, bands * rows).alias("sketch"),
     )
-    sharing = scratch.broadcast(build(scratch.table(shared.select("k").distinct(), "sharing"), "k"))
-    sketches = scratch.table(sift(sketches, F.col("k"), sharing, True), "sketches")
+    sharing = scratch.broadcast(build(scratch.table(shared.select("k").distinct(), "sharing", count), "k"))
+    sketches = scratch.table(sift(sketches, F.col("k"), sharing, True), "sketches", count, MIDDLE)
     confirm = _Confirm(docs, reps, sketches, scratch, id_col, text_col, width, percent, bands * rows)
-    first = components(confirm.links(_stars(shared)))
+    # a tile's links are a forest of its rows
+    links = confirm.links(_stars(shared))
+    first = components(links, confirm.tiles)
     known = first.select(F.col("node.k").alias("k"), F.col("component.k").alias("c"))
     placed = shared.join(known, "k", "left").select("bucket", "band", "k", "n_shingles", F.coalesce("c", "k").alias("c"))
     more = confirm.links(_rest(placed))
-    return components(more.union(first.where("node <> component")))
+    return components(more.union(first.where("node <> component")), confirm.tiles + count)
 
 
 class _Found:
@@ -327,10 +332,10 @@ class _Found:
         self.signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
         own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "row")
         classes = self.signed.where("k is not null").groupBy("k").agg(F.min(own).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-        self.reps = self.scratch.table(classes.select("k", "own.rep", "own.row", "n_shingles", "sig"), "classes")
+        self.reps = self.scratch.table(classes.select("k", "own.rep", "own.row", "n_shingles", "sig"), "classes", self.signed.count(), MIDDLE)
         linked = linked_classes(docs, self.reps, self.scratch, id_col, text_col, width, bands, rows, percent)
         # nodes are ordered by id, so the least node of a component has its id
-        self.linked = self.scratch.table(linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"), F.col("component.k").alias("head")), "linked")
+        self.linked = self.scratch.table(linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"), F.col("component.k").alias("head")), "linked", self.reps.count())
 
 
 def near_duplicates(
@@ -354,7 +359,7 @@ def near_duplicates(
     found = _Found(docs, id_col, text_col, width, bands, rows, percent, seed)
     ids = found.reps.select("k", "rep").join(found.linked.select("k", "least"), "k", "left").select("k", F.nullif(F.coalesce("least", "rep"), F.lit(NO_ID)).alias("component_id"))
     # as a table of its own, so that a join on a large class of copies can be split
-    ids = materialize(ids, "components-of-classes")
+    ids = materialize(ids, "components-of-classes", found.reps.count())
     found.scratch.clear()
     out = found.signed.select("doc_id", "n_shingles", "k").join(ids, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -375,11 +380,11 @@ def drop_near_duplicates(
     found = _Found(docs, id_col, text_col, width, bands, rows, percent, seed)
     # of each class its row to keep, null where another class heads the component
     heads = found.reps.select("k", "row").join(found.linked.select("k", "head"), "k", "left")
-    heads = materialize(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays")), "heads")
+    heads = materialize(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays")), "heads", found.reps.count())
     placed = found.signed.where("k is not null").select("k", "row").join(heads, "k")
     marks = placed.groupBy(F.col("row").alias("mark")).agg(F.bool_or(F.coalesce(F.col("row") == F.col("stays"), F.lit(False))).alias("keep"), F.count("*").alias("n"))
     # a row that stays and isn't there again needs no mark
-    marks = materialize(marks.where("not keep or n > 1").select("mark", "keep"), "marks")
+    marks = materialize(marks.where("not keep or n > 1").select("mark", "keep"), "marks", found.signed.count())
     wordless = F.coalesce(F.translate(F.col(text_col).cast("string"), " \t\n\x0b\x0c\r", "") == "", F.lit(True))
     out = settle(docs, _row(id_col, text_col), marks, wordless)
     found.scratch.clear()

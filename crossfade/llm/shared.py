@@ -38,15 +38,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+#: Rows that a task writes, where a bound on their number is known: of a few numbers each, of a few hundred bytes, of whole sets of a document.
+NARROW, MIDDLE, WIDE = 250_000, 50_000, 5_000
+
+#: On a mounted disk Hadoop would keep a second file of checksums for each, and start a process for each file to set its mode.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def write_table(df: DataFrame, path: str, rows: int | None = None, per_task: int = NARROW) -> DataFrame:
+    """Write ``df`` as Parquet and read it back; with a bound on its rows, by no more tasks than they need."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_task)))
+    df.write.options(**_PLAIN_FILES if path.startswith("file:") else {}).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = NARROW) -> DataFrame:
+    """``write_table`` into the shared folder.
 
     This cuts the lineage with files that outlive any executor.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, new_path(df.sparkSession, name), rows, per_task)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -63,10 +75,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths, self.sent = spark, [], []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None, per_task: int = NARROW) -> DataFrame:
         self.paths.append(new_path(self.spark, name))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        return write_table(df, self.paths[-1], rows, per_task)
 
     def broadcast(self, sent):
         """``sent``, destroyed with the tables."""
