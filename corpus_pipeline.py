@@ -20,28 +20,28 @@ from crossfade.llm.shared import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts score as the sample's mean and stay, repeated rows are judged alike, other columns play no part."""
     labels = table(spark, sf_dir, "labels")
     return keep_quality(docs, fit_quality(docs, labels.where(~held_out(F.col("doc_id")))), least=LEAST_QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id, a null id last. Texts without words stay."""
+    """One document of each group of near-duplicates stays: the one of the smallest id, a null id last, of repeated rows any one. Null and empty texts stay."""
     return drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts stay, repeated rows are judged alike, other columns play no part."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), "drop")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; n_chars follows."""
+    """Secrets are replaced in the texts; n_chars follows where a text changes. All rows stay, null and empty texts as they are."""
     return redact_secrets(docs, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is packed."""
+    """Where each piece of each document is packed: a row for each piece, and one without a bin for a text without words; repeated rows are packed apart."""
     return pack_documents(docs, PACK_WORDS)
 
 

@@ -14,6 +14,7 @@ from .plans.benchmark import TuningConfig, evaluate, tune
 from .plans.policy import DEFAULT_STRATEGIES, BenchmarkConfig, with_tuned
 from .sources import sinks as K
 from .sources import tables as S
+from .sources.storage import Folder
 
 #: Labels that are looked for, best first, where none are named.
 LABELS = ("labels.csv", "data/labels.csv", "data/examples/labels.csv", "data/examples/matched_labels.csv")
@@ -92,7 +93,7 @@ def _given(spark: SparkSession, a: argparse.Namespace):
     path = a.labels or S.first_existing(LABELS)
     if path is None:
         raise SystemExit(f"no labels: none of {', '.join(LABELS)} is there")
-    return S.current_artifact(a.catalog, a.catalog_path), S.read_csv(spark, path), path
+    return S.current_artifact(a.catalog, a.catalog_path), S.read_csv(spark, Folder(spark, path).uri), path
 
 
 def _config(a: argparse.Namespace, **more) -> BenchmarkConfig:
@@ -114,10 +115,10 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     if only is not None:
         inputs["only"]["playlist_ids"] = sorted(only)
     counts = labels.agg(F.count("*").alias("rows"), F.count_distinct("playlist_id").alias("playlists")).first().asDict()
-    matches = read_match_summary(S.read_csv(spark, a.matches), only) if a.matches else None
+    matches = read_match_summary(S.read_csv(spark, Folder(spark, a.matches).uri), only) if a.matches else None
     cfg = _config(a, min_playlists_for_claim=a.min_playlists)
     result = evaluate(S.read_catalog(spark, artifact), labels, cfg, strategies)
-    more = {"labels": facts | counts, "catalog": {"path": artifact, "rows": S.row_count(spark, artifact), "candidate_limit": cfg.candidate_limit}, "matches": matches, "inputs": inputs}
+    more = {"labels": facts | counts, "catalog": {"path": artifact, "rows": S.row_count(spark, Folder(spark, artifact).uri), "candidate_limit": cfg.candidate_limit}, "matches": matches, "inputs": inputs}
     data = P.payload(result, cfg, strategies, **more)
     K.write_json(data, a.output)
     K.write_text(P.render(data), a.report)

@@ -53,17 +53,61 @@ def with_transformed(df: DataFrame, features: Sequence[str] = FEATURES) -> DataF
     return df.withColumns({f"t_{f}": c for f, c in transformed(df, features).items()})
 
 
-def fit_scaler(df: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = ()) -> DataFrame:
-    """Medians, and means and population deviations of the imputed features, in one aggregation over t_ columns.
+SKETCH = 10_000  # of a quantile sketch: ranks are off by one part in so many
+
+
+def wide_medians(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """One row of exact medians, {name: column}, that gathers a few thousandths of the values at most.
+
+    A mergeable sketch gives two values close about the median. A second pass
+    counts what lies below and at them and gathers what lies strictly between,
+    from which the ranks of the median are picked. A value that many rows share
+    is only counted.
+    """
+    off = 4 / SKETCH
+    ends = df.agg(*[F.percentile_approx(c, F.array(F.lit(0.5 - off), F.lit(0.5 + off)), F.lit(SKETCH)).alias(f"e_{k}") for k, c in columns.items()])
+    wide = df.crossJoin(F.broadcast(ends))
+    parts = []
+    for k, c in columns.items():
+        lo, hi, x = F.col(f"e_{k}")[0], F.col(f"e_{k}")[1], F.col(c)
+        parts += [
+            F.count(x).alias(f"n_{k}"),
+            F.count_if(x < lo).alias(f"below_{k}"),
+            F.count_if(x == lo).alias(f"lo_{k}"),
+            F.collect_list(F.when((x > lo) & (x < hi), x)).alias(f"between_{k}"),
+            F.first(f"e_{k}", ignorenulls=True).alias(f"e_{k}"),
+        ]
+    out = wide.agg(*parts)
+
+    def at(k: str, rank: Column) -> Column:
+        """The value of a rank from 0."""
+        left = rank - F.col(f"below_{k}") - F.col(f"lo_{k}")
+        between = F.array_sort(F.col(f"between_{k}"))
+        return F.when(left < 0, F.col(f"e_{k}")[0]).when(left < F.size(f"between_{k}"), F.get(between, left.cast("int"))).otherwise(F.col(f"e_{k}")[1])
+
+    def middle(k: str) -> Column:
+        n = F.col(f"n_{k}")
+        return (at(k, F.floor((n - 1) / 2)) + at(k, F.floor(n / 2))) / 2
+
+    return out.select(*[F.when(F.col(f"n_{k}") > 0, middle(k)).alias(k) for k in columns])
+
+
+def fit_scaler(df: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+    """Medians, and means and population deviations of the imputed features, over t_ columns.
 
     med_<f>, mean_<f>, sd_<f>: a feature without any value has median 0, and a
-    constant one deviation 1. ``by`` fits each group on its own.
+    constant one deviation 1. ``by`` fits each group on its own. Of a
+    ``bounded`` set, and of groups, medians are gathered in the same
+    aggregation; of others they take two passes of their own.
     """
+    gathered = bounded or bool(by)
     parts = []
     for f in features:
         t = f"t_{f}"
-        parts += [F.median(t).alias(f"m_{f}"), F.avg(t).alias(f"a_{f}"), F.var_pop(t).alias(f"v_{f}"), F.count(t).alias(f"n_{f}")]
+        parts += [*[F.median(t).alias(f"m_{f}")] * gathered, F.avg(t).alias(f"a_{f}"), F.var_pop(t).alias(f"v_{f}"), F.count(t).alias(f"n_{f}")]
     out = df.groupBy(*by).agg(F.count("*").alias("n"), *parts)
+    if not gathered:
+        out = out.crossJoin(F.broadcast(wide_medians(df, {f"m_{f}": f"t_{f}" for f in features})))
     cols = {}
     for f in features:
         med = F.coalesce(f"m_{f}", F.lit(0.0))

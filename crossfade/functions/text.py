@@ -1,8 +1,8 @@
 """Text cleaning and canonical forms as column expressions.
 
-Only two steps need Python: the compatibility fold of texts beyond ASCII and
-the parsing of serialised lists. Both are Arrow UDFs whose input is null for
-the rows that don't need them.
+Only three steps need Python: the compatibility fold and the case fold of texts
+beyond ASCII, and the parsing of serialised lists. All are Arrow UDFs whose
+input is null for the rows that don't need them.
 """
 
 from __future__ import annotations
@@ -39,6 +39,11 @@ def _literal_list(s: pd.Series) -> pd.Series:
     return s.map(parse)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else [t.casefold() for t in x])
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -102,9 +107,15 @@ def split_names(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip), lambda x: x != "")
 
 
+def casefolded(names: Column) -> Column:
+    """Names without regard to case: in lower case, or beyond ASCII in full case folding."""
+    foreign = F.exists(names, lambda n: n.rlike(r"[^\x00-\x7F]"))
+    return F.when(foreign, _casefold(F.when(foreign, names))).otherwise(F.transform(names, F.lower))
+
+
 def name_key(names: Column) -> Column:
-    """What names are looked up by: their parts in lower case, with a separator that no part has."""
-    return F.array_join(F.transform(names, F.lower), "\x1f")
+    """What names are looked up by: their parts without regard to case, with a separator that no part has."""
+    return F.array_join(casefolded(names), "\x1f")
 
 
 def join_known(parts: Column, known: Column) -> Column:
@@ -114,19 +125,22 @@ def join_known(parts: Column, known: Column) -> Column:
     as one name; a part that begins none stands for itself.
     """
     empty = F.array().cast("array<string>")
+    # the folded parts go along in the state: they can't be worked out within a lambda
+    state_of = lambda out, end, s: F.struct(out.alias("out"), end.alias("next"), s["keys"].alias("keys"))
 
     def step(state: Column, i: Column) -> Column:
-        ends = F.filter(F.sequence(F.size(parts), i + 2, F.lit(-1)), lambda e: F.map_contains_key(known, name_key(F.slice(parts, i + 1, e - i))))
+        key = lambda e: F.array_join(F.slice(state["keys"], i + 1, e - i), "\x1f")
+        ends = F.filter(F.sequence(F.size(parts), i + 2, F.lit(-1)), lambda e: F.map_contains_key(known, key(e)))
         end = F.get(ends, 0)
-        name = F.when(end.isNotNull(), F.element_at(known, name_key(F.slice(parts, i + 1, end - i)))).otherwise(F.get(parts, i))
-        taken = F.struct(F.concat(state["out"], F.array(name)).alias("out"), F.coalesce(end, i + 1).alias("next"))
+        name = F.when(end.isNotNull(), F.element_at(known, key(end))).otherwise(F.get(parts, i))
+        taken = state_of(F.concat(state["out"], F.array(name)), F.coalesce(end, i + 1), state)
         return F.when(state["next"] == i, taken).otherwise(state)
 
-    start = F.struct(empty.alias("out"), F.lit(0).alias("next"))
+    start = F.struct(empty.alias("out"), F.lit(0).alias("next"), casefolded(parts).alias("keys"))
     # sequence() counts down below two remaining parts: such places can't begin a name
     places = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
     guarded = lambda s, i: F.when(i + 2 <= F.size(parts), step(s, i)).otherwise(
-        F.when(s["next"] == i, F.struct(F.concat(s["out"], F.array(F.get(parts, i))).alias("out"), (i + 1).alias("next"))).otherwise(s)
+        F.when(s["next"] == i, state_of(F.concat(s["out"], F.array(F.get(parts, i))), i + 1, s)).otherwise(s)
     )
     return F.aggregate(places, start, guarded, lambda s: s["out"])
 
@@ -163,6 +177,14 @@ def artist_display(artists: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(names, ", "), F.lit("")), F.lit("Unknown artist"))
 
 
+def artist_display_text(c: Column) -> Column:
+    """The same of a text, which may be a serialised list."""
+    text = strip(c)
+    listed = text.startswith("[") & text.endswith("]")
+    names = _literal_list(F.when(listed, text))
+    return F.when(names.isNotNull(), artist_display(names)).otherwise(F.coalesce(F.nullif(text, F.lit("")), F.lit("Unknown artist")))
+
+
 def track_uri(c: Column, prefix: str = "track:") -> Column:
     """``prefix`` and the cleaned id; null for none."""
     return F.concat(F.lit(prefix), clean_id(c))

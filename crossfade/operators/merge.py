@@ -1,8 +1,10 @@
 """Entity resolution: raw track tables to one canonical catalog.
 
-Every table becomes rows of one schema, in a fixed order. Three passes then
-merge rows by id, by ISRC and by canonical title, artist and duration bucket;
-each is one aggregation whose fields are folded in the order of the rows.
+Every table becomes rows of one schema, in a fixed order, with their canonical
+forms. Three passes then merge rows by id, by ISRC and by canonical title,
+artist and duration bucket. Each is one aggregation whose fields are folded in
+the order of the rows; a row without a key is a group of its own. Canonical
+forms go along with the text that they belong to.
 """
 
 from __future__ import annotations
@@ -80,8 +82,11 @@ def with_known(df: DataFrame, known: DataFrame) -> tuple[DataFrame, Column | Non
     if not name or name.lower() != "artist_names":
         return df, None
     entries = F.map_from_entries(F.collect_list(F.struct("key", "name")))
-    if known.count() <= KNOWN_BOUND:
-        return df.crossJoin(F.broadcast(known.agg(entries.alias("_known")))), F.col("_known")
+    few = known.limit(KNOWN_BOUND + 1).collect()
+    if len(few) <= KNOWN_BOUND:
+        # as literal rows, so that no plan derives them again
+        rows = df.sparkSession.createDataFrame([({r["key"]: r["name"] for r in few},)], "_known map<string,string>")
+        return df.crossJoin(F.broadcast(rows)), F.col("_known")
     # each row looks up the runs of parts that it has
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     parts = T.split_names(T.clean_id(text_column(df, name)))
@@ -114,33 +119,46 @@ def _longest(c: str, size: Column) -> Column:
 
 
 def fold_durations(pairs: Column) -> Column:
-    """Of (ord, duration) structs: the first, raised by each later one that is within the tolerance."""
-    values = F.transform(F.array_sort(F.filter(pairs, lambda p: p["d"].isNotNull())), lambda p: p["d"])
+    """Of (ord, duration) structs without null: the first, raised by each later one that is within the tolerance."""
+    values = F.transform(F.array_sort(pairs), lambda p: p["d"])
     near = lambda a, d: F.when(F.abs(a - d) <= DURATION_TOLERANCE_MS, F.greatest(a, d)).otherwise(a)
     return F.aggregate(values, F.lit(None).cast("int"), lambda a, d: F.when(a.isNull(), d).otherwise(near(a, d)))
 
 
+def _with_form(text: str, form: str, size: Column) -> Column:
+    """The longest text and its canonical form; only empty texts have a form without one."""
+    return F.max_by(F.struct(text, form), F.when(size > 0, F.struct(size, -F.col("ord"))))
+
+
 def merge_by(rows: DataFrame, key: Sequence[Column], step: int) -> DataFrame:
     """Rows of one key as one row; rows without a key follow, unchanged, behind all merged ones."""
-    present = reduce(lambda a, b: a & b, [k.isNotNull() for k in key])
-    marked = rows.withColumns({f"_k{i}": k for i, k in enumerate(key)}).withColumn("_keyed", F.coalesce(present, F.lit(False)))
-    keyed, rest = marked.where("_keyed"), marked.where("not _keyed")
-    title, artists = _longest("title_raw", F.char_length("title_raw")), _longest("artists_raw", F.size("artists_raw"))
+    present = F.coalesce(reduce(lambda a, b: a & b, [k.isNotNull() for k in key]), F.lit(False))
+    names = [f"_k{i}" for i in range(len(key))]
+    marked = rows.select("*", *[F.when(present, k).alias(n) for n, k in zip(names, key, strict=True)], F.when(~present, F.col("ord")).alias("_own"))
     firsts = ["track_id", "isrc", *UNIT_FEATURES, *OTHER_FEATURES]
-    out = keyed.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(
+    out = marked.groupBy(*names, "_own").agg(
         *[_first(c).alias(c) for c in firsts],
-        F.coalesce(title, F.lit("")).alias("title_raw"),
-        F.coalesce(artists, F.array().cast("array<string>")).alias("artists_raw"),
+        _with_form("title_raw", "title_canon", F.char_length("title_raw")).alias("_title"),
+        _with_form("artists_raw", "artist_primary_canon", F.size("artists_raw")).alias("_artists"),
+        F.min("title_canon").alias("_title_canon"),
+        F.min("artist_primary_canon").alias("_artist_canon"),
         _longest("album", F.char_length("album")).alias("album"),
         F.max("popularity").alias("popularity"),
         F.bool_or("explicit").alias("explicit"),
         F.max("release_year").alias("release_year"),
-        fold_durations(F.collect_list(F.struct("ord", F.col("duration_ms").alias("d")))).alias("duration_ms"),
+        fold_durations(F.collect_list(F.when(F.col("duration_ms").isNotNull(), F.struct("ord", F.col("duration_ms").alias("d"))))).alias("duration_ms"),
         F.min("ord").alias("ord"),
     )
-    # canonical forms follow the text that was chosen
-    out = out.withColumn("title_canon", T.canon_title(F.col("title_raw"))).withColumn("artist_primary_canon", T.canon_artist(F.col("artists_raw")))
-    return out.select(*COLUMNS, "ord").unionByName(rest.select(*COLUMNS, (F.col("ord") + F.lit(_PASS[step])).alias("ord")))
+    out = out.withColumns(
+        {
+            "title_raw": F.coalesce("_title.title_raw", F.lit("")),
+            "title_canon": F.coalesce("_title.title_canon", "_title_canon"),
+            "artists_raw": F.coalesce("_artists.artists_raw", F.array().cast("array<string>")),
+            "artist_primary_canon": F.coalesce("_artists.artist_primary_canon", "_artist_canon"),
+            "ord": F.when(F.col("_own").isNotNull(), F.col("ord") + F.lit(_PASS[step])).otherwise(F.col("ord")),
+        }
+    )
+    return out.select(*COLUMNS, "ord")
 
 
 def merge_by_id(rows: DataFrame) -> DataFrame:

@@ -101,6 +101,11 @@ class Prepared:
     min_popularity: float | None
     pool_size: int
 
+    @property
+    def bounded(self) -> bool:
+        """Whether the scaler sees the bounded pool alone."""
+        return self.scaler_source is self.candidates
+
     def release(self) -> None:
         """Give back the pool's cached rows."""
         self.candidates.unpersist()

@@ -104,6 +104,9 @@ _T = {
 }
 
 
+UNIT = "(('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def transformed(name: str, src: str) -> str:
     cols = ", ".join(f"({_T.get(f, f)})::DOUBLE AS t_{f}" for f in FEATURES)
     return f"{name} AS (SELECT *, {cols} FROM {src})"
@@ -162,7 +165,6 @@ SELECT rank, track_id, {r6('similarity')} AS similarity, {r6('score')} AS score
 FROM (SELECT *, row_number() OVER (ORDER BY score DESC, track_id)::INTEGER AS rank FROM s) WHERE rank <= 10"""
 
 
-UNIT = "(('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def _values(column: str, values) -> str:
@@ -234,11 +236,12 @@ sizes AS (
 asked AS (SELECT *, n - 5 AS num_positives, n_matched - 5 AS num_matched FROM sizes WHERE n_matched >= 5 AND n > 5)
 """
 
-BENCH = f"""{TRACKS}, {SPLIT},
+BENCH = f"""RECURSIVE {TRACKS}, {SPLIT},
 {transformed("cat_t", "catalog")},
+cat_o AS (SELECT *, row_number() OVER (ORDER BY md5('0:' || track_id), track_id) AS o FROM cat_t),
 req_seeds AS (SELECT playlist_id, split_id, catalog_track_id AS track_id FROM ordered JOIN asked USING (playlist_id, split_id) WHERE place <= 5),
 req_pool AS (
-  SELECT a.playlist_id, a.split_id, c.* FROM asked a, cat_t c
+  SELECT a.playlist_id, a.split_id, c.* FROM asked a, cat_o c
   WHERE coalesce(c.popularity, 0) >= 20 AND NOT EXISTS (FROM req_seeds s WHERE s.playlist_id = a.playlist_id AND s.split_id = a.split_id AND s.track_id = c.track_id)
 ),
 req_m AS (SELECT playlist_id, split_id, count(*) AS pool_size, {each("coalesce(median(t_@), 0) AS med_@")} FROM req_pool GROUP BY 1, 2),
@@ -247,22 +250,49 @@ req_s AS (
   FROM req_pool JOIN req_m USING (playlist_id, split_id) GROUP BY 1, 2
 ),
 req_p AS (
-  SELECT playlist_id, split_id, {each("median((coalesce(t_@, med_@) - mean_@) / CASE WHEN sd_@ < 1e-12 THEN 1 ELSE sd_@ END) AS p_@")}
+  SELECT playlist_id, split_id, {each("median((coalesce(t_@, med_@) - mean_@) / CASE WHEN sd_@ < 1e-12 THEN 1 ELSE sd_@ END) AS p_@")}, median(energy) AS b_energy, median(valence) AS b_valence
   FROM req_seeds JOIN cat_t USING (track_id) JOIN req_s USING (playlist_id, split_id) GROUP BY 1, 2
 ),
 req_z AS (
-  SELECT playlist_id, split_id, track_id, artist_primary_canon, popularity, pool_size, {each("p_@")}, {each("(coalesce(t_@, med_@) - mean_@) / CASE WHEN sd_@ < 1e-12 THEN 1 ELSE sd_@ END AS z_@")}
+  SELECT playlist_id, split_id, track_id, artist_primary_canon, popularity, energy, valence, pool_size, o, b_energy, b_valence, {each("p_@")}, {each("(coalesce(t_@, med_@) - mean_@) / CASE WHEN sd_@ < 1e-12 THEN 1 ELSE sd_@ END AS z_@")}
   FROM req_pool JOIN req_s USING (playlist_id, split_id) JOIN req_p USING (playlist_id, split_id)
 ),
 req_scores AS (
   SELECT playlist_id, split_id, track_id, artist_primary_canon, popularity, pool_size, unnest([
-    {{'s': 'popularity', 'x': coalesce(popularity, 0)::DOUBLE}}, {{'s': 'unweighted_cosine', 'x': round({_UNWEIGHTED}, 9)}}, {{'s': 'weighted_cosine', 'x': round({_WEIGHTED}, 9)}}]) AS e
+    {{'s': 'popularity', 'x': coalesce(popularity, 0)::DOUBLE}}, {{'s': 'unweighted_cosine', 'x': round({_UNWEIGHTED}, 9)}}, {{'s': 'weighted_cosine', 'x': round({_WEIGHTED}, 9)}},
+    {{'s': 'weighted_cosine_pca', 'x': round({_WEIGHTED}, 9)}}, {{'s': 'deployed', 'x': round({_WEIGHTED}, 9)}},
+    {{'s': 'weighted_cosine_pca_steered', 'x': round(round({_WEIGHTED}, 9) - {_penalty('energy', 0.25)} - {_penalty('valence', 0.25)}, 9)}}]) AS e
   FROM req_z
 ),
-recs AS (
+ranked AS (
   SELECT playlist_id, split_id, e.s AS strategy, track_id, artist_primary_canon, popularity, pool_size, e.x AS score,
     row_number() OVER (PARTITION BY playlist_id, split_id, e.s ORDER BY e.x DESC, track_id)::INTEGER AS rank
-  FROM req_scores QUALIFY rank <= 10
+  FROM req_scores QUALIFY rank <= CASE WHEN e.s = 'deployed' THEN 30 ELSE 10 END
+),
+drawn AS (
+  SELECT * FROM ranked WHERE strategy = 'deployed' QUALIFY row_number() OVER (PARTITION BY playlist_id, split_id
+    ORDER BY -ln(greatest({UNIT.format("'0:' || playlist_id || ':' || split_id || ':deployed:' || track_id")}, 1e-300)) / exp(-(rank - 1) / 10), track_id) <= 10
+),
+-- a partial shuffle: place i takes the row at j, which an earlier step s with the same j has filled with the one at s
+jumps AS (
+  SELECT a.playlist_id, a.split_id, list(i + floor({UNIT.format("'0:' || a.playlist_id || ':' || a.split_id || ':random:' || i")} * (pool_size - i))::BIGINT ORDER BY i) AS js
+  FROM asked a JOIN req_s USING (playlist_id, split_id), (SELECT unnest(range(10)) AS i) GROUP BY 1, 2
+),
+chase AS (
+  SELECT playlist_id, split_id, js, i, js[i + 1] AS p, i AS bound FROM jumps, (SELECT unnest(range(10)) AS i)
+  UNION ALL
+  SELECT playlist_id, split_id, js, i, bound - list_position(list_reverse(js[1 : bound]), p) AS p, bound - list_position(list_reverse(js[1 : bound]), p) AS bound
+  FROM chase WHERE bound > 0 AND list_contains(js[1 : bound], p)
+),
+placed AS (SELECT playlist_id, split_id, i, arg_min(p, bound) AS p FROM chase GROUP BY 1, 2, 3),
+random AS (
+  SELECT r.playlist_id, r.split_id, 'random' AS strategy, track_id, artist_primary_canon, popularity, pool_size, (10 - i)::DOUBLE AS score, (i + 1)::INTEGER AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id, split_id ORDER BY o) - 1 AS p FROM req_z) r JOIN placed USING (playlist_id, split_id, p)
+),
+recs AS (
+  FROM ranked WHERE strategy <> 'deployed'
+  UNION ALL BY NAME SELECT * REPLACE (row_number() OVER (PARTITION BY playlist_id, split_id ORDER BY rank)::INTEGER AS rank) FROM drawn
+  UNION ALL BY NAME FROM random
 )
 """
 
@@ -277,14 +307,15 @@ hits AS (
 ),
 per AS (
   SELECT playlist_id, split_id, strategy, any_value(pool_size) AS candidate_pool_size, coalesce(sum(hit), 0) AS hits, coalesce(sum(CASE WHEN hit = 1 THEN 1 / log2(rank + 1) END), 0) AS dcg,
-    count(*) AS n_recs, count(DISTINCT artist_primary_canon) AS n_artists, avg(popularity) AS pop
-  FROM hits GROUP BY 1, 2, 3
+    count(*) AS n_recs, count(DISTINCT artist_primary_canon) AS n_artists, avg(popularity) AS pop,
+    CASE WHEN strategy LIKE 'weighted_cosine_pca%' THEN (avg(abs(c.energy - greatest(0, least(1, b_energy + 0.25 * 0.7)))) + avg(abs(c.valence - greatest(0, least(1, b_valence + 0.25 * 0.7))))) / 2 END AS distance
+  FROM hits JOIN req_p USING (playlist_id, split_id) JOIN (SELECT track_id, energy, valence FROM catalog) c USING (track_id) GROUP BY 1, 2, 3
 )
 SELECT playlist_id, split_id, strategy, candidate_pool_size, {r6('hits / 10')} AS precision_at_k, {r6('hits / num_positives')} AS recall_at_k,
   {r6("dcg / list_sum(list_transform(range(1, least(num_positives, 10) + 1), lambda i: 1 / log2(i + 1)))")} AS ndcg_at_k,
   {r6('CASE WHEN num_matched > 0 THEN hits / num_matched ELSE 0 END')} AS matched_recall_at_k, {r6('CASE WHEN num_retrievable > 0 THEN hits / num_retrievable ELSE 0 END')} AS retrievable_recall_at_k,
   {r6('num_matched / num_positives')} AS matched_recall_ceiling, {r6('num_retrievable / num_positives')} AS candidate_recall_ceiling, {r6('n_recs / 10')} AS fill_rate,
-  {r6('n_artists / n_recs')} AS artist_diversity, {r6('pop')} AS avg_recommendation_popularity
+  {r6('n_artists / n_recs')} AS artist_diversity, {r6('pop')} AS avg_recommendation_popularity, {r6('distance')} AS steering_target_distance
 FROM per JOIN asked USING (playlist_id, split_id) JOIN retr USING (playlist_id, split_id)
 """
 

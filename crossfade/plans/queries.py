@@ -25,8 +25,7 @@ USER = "7"  # the playlist of the single-request queries
 SEED = 0
 SPLITS = 2
 TOP = 10
-#: Strategies whose draws and scores SQL can follow without a matrix.
-PLAIN = tuple(s for s in DEFAULT_STRATEGIES if s.name in ("popularity", "unweighted_cosine", "weighted_cosine"))
+AXES = len(FEATURES)  # of the benchmark's principal components: with all of them SQL can follow every strategy
 STEER = {"energy": 0.25, "valence": -0.3}
 
 
@@ -39,12 +38,6 @@ def _named(df: DataFrame, *keep: str, **rounded: Column | str) -> DataFrame:
     return df.select(*keep, *[r6(c).alias(k) for k, c in rounded.items()])
 
 
-def _seeds(spark, d) -> DataFrame:
-    """The first five matched tracks of the user's playlist, as catalog rows."""
-    ids = S.memberships(spark, d).where((F.col("playlist_id") == USER) & F.col("matched")).orderBy("position").limit(5).select(F.col("catalog_track_id").alias("track_id"))
-    return S.catalog(spark, d).join(F.broadcast(ids), "track_id", "left_semi")
-
-
 # scans, projections and filters
 
 
@@ -83,12 +76,12 @@ def point_lookup(spark, d):
 
 
 def fallback_candidates(spark, d):
-    p = C.prepare(S.catalog(spark, d), _seeds(spark, d), TOP, min_popularity=101)
+    p = C.prepare(*_request(spark, d), TOP, min_popularity=101)
     return p.candidates.select("track_id", F.lit(p.min_popularity is None).alias("bound_dropped"))
 
 
 def exclude_same_artist(spark, d):
-    return C.prepare(S.catalog(spark, d), _seeds(spark, d), TOP, same_artist_exclusion=True).candidates.select("track_id", "artist_primary_canon")
+    return C.prepare(*_request(spark, d), TOP, same_artist_exclusion=True).candidates.select("track_id", "artist_primary_canon")
 
 
 def seen_exclusion(spark, d):
@@ -307,9 +300,16 @@ def profile_mean(spark, d):
 # one request
 
 
+def _request(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The catalog and the five seeds of the user; the pool, the fits and the scores all read them."""
+    catalog = S.catalog(spark, d).persist()
+    ids = S.memberships(spark, d).where((F.col("playlist_id") == USER) & F.col("matched")).orderBy("position").limit(5)
+    return catalog, C.load_tracks(catalog, [r[0] for r in ids.select("catalog_track_id").collect()])
+
+
 def _prepared(spark, d):
-    seeds = _seeds(spark, d)
-    return C.prepare(S.catalog(spark, d), seeds, TOP, 20), seeds
+    catalog, seeds = _request(spark, d)
+    return C.prepare(catalog, seeds, TOP, 20), seeds
 
 
 def _scores(spark, d, policy: Policy, adjustments=None) -> DataFrame:
@@ -353,7 +353,7 @@ def explanations(spark, d):
 
 
 def _top(spark, d, policy, adjustments=None) -> DataFrame:
-    rows = recommend(S.catalog(spark, d), _seeds(spark, d), TOP, policy, adjustments).rows
+    rows = recommend(*_request(spark, d), TOP, policy, adjustments).rows
     return rows.select("rank", "track_id", r6("similarity").alias("similarity"), r6("score").alias("score"))
 
 
@@ -399,22 +399,20 @@ def playlist_partition(spark, d):
     return R.partition_playlists(S.memberships(spark, d), 0.2, SEED)
 
 
-def _benchmark(spark, d, strategies=PLAIN):
-    cfg = BenchmarkConfig(num_splits=SPLITS, bootstrap_samples=100, seed=SEED)
+def _benchmark(spark, d) -> DataFrame:
+    """All seven strategies on every playlist and split."""
+    cfg = BenchmarkConfig(num_splits=SPLITS, bootstrap_samples=100, seed=SEED, pca_components=AXES)
     asked, _ = R.requests(S.memberships(spark, d), cfg.seed_size, cfg.num_splits, cfg.seed)
-    found = B.score_requests(asked, S.catalog(spark, d), strategies, cfg)
-    return asked, found, cfg
+    return B.score_requests(asked, S.catalog(spark, d).persist(), DEFAULT_STRATEGIES, cfg)
 
 
 def benchmark_recommendations(spark, d):
-    _, found, _ = _benchmark(spark, d)
-    return found.select("playlist_id", "split_id", "strategy", "rank", "track_id", r6("score").alias("score"))
+    return _benchmark(spark, d).select("playlist_id", "split_id", "strategy", "rank", "track_id", r6("score").alias("score"))
 
 
 def benchmark_per_split(spark, d):
-    asked, found, cfg = _benchmark(spark, d)
-    per, _ = B.split_metrics(asked, found, S.catalog(spark, d), PLAIN, cfg)
-    cols = ("precision_at_k", "recall_at_k", "ndcg_at_k", "matched_recall_at_k", "retrievable_recall_at_k", "matched_recall_ceiling", "candidate_recall_ceiling", "fill_rate", "artist_diversity", "avg_recommendation_popularity")
+    per, _ = B.split_metrics(_benchmark(spark, d), DEFAULT_STRATEGIES, BenchmarkConfig(num_splits=SPLITS))
+    cols = ("precision_at_k", "recall_at_k", "ndcg_at_k", "matched_recall_at_k", "retrievable_recall_at_k", "matched_recall_ceiling", "candidate_recall_ceiling", "fill_rate", "artist_diversity", "avg_recommendation_popularity", "steering_target_distance")
     return _named(per, "playlist_id", "split_id", "strategy", "candidate_pool_size", **{c: c for c in cols})
 
 
@@ -467,14 +465,22 @@ def diagnostics(spark, d):
     return K.diagnostics(recs, ["playlist_id"], TOP, F.col("energy")).select("playlist_id", *[r6(c).alias(c) for c in ("fill_rate", "artist_diversity", "artist_duplication_rate", "avg_similarity", "avg_recommendation_popularity")])
 
 
+LABELS_BOUND = 10_000  # labels whose mean vectors go along as one row
+
+
 def embedding_cosine(spark, d):
     """Vectors against the mean vector of each label: the label that fits best."""
-    e = S.table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
-    e = e.withColumn("x", F.col("x").cast("double"))
-    means = e.groupBy("label", "i").agg(F.avg("x").alias("m")).withColumnRenamed("label", "of")
-    both = e.join(F.broadcast(means), "i").groupBy("vec_id", "of").agg(F.sum(F.col("x") * F.col("m")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-    both = both.select("vec_id", "of", F.round(F.when(F.col("xx") * F.col("mm") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("mm"))).otherwise(0.0), 6).alias("cosine"))
-    return both.groupBy("vec_id").agg(F.max_by(F.struct("of", "cosine"), F.struct("cosine", -F.col("of"))).alias("b")).select("vec_id", F.col("b.of").alias("label"), (F.col("b.cosine") + 0.0).alias("cosine"))
+    e = S.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    means = means.limit(LABELS_BOUND + 1).groupBy().agg(F.collect_list(F.struct("label", "m")).alias("means"), F.when(F.count("*") > LABELS_BOUND, F.raise_error(F.lit("too many labels"))).alias("checked"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = lambda a: F.sqrt(dot(a, a))
+    fit = lambda m: F.round(F.coalesce(F.try_divide(dot(F.col("v"), m["m"]), size(F.col("v")) * size(m["m"])), F.lit(0.0)), 6)
+    # the best by cosine, then by label: structs compare by their fields in order
+    best = F.array_max(F.transform("means", lambda m: F.struct(fit(m).alias("cosine"), (-m["label"]).alias("l"))))
+    both = e.crossJoin(F.broadcast(means.where("checked is null"))).select("vec_id", best.alias("b"))
+    return both.select("vec_id", (-F.col("b.l")).alias("label"), (F.col("b.cosine") + 0.0).alias("cosine"))
 
 
 def hourly_events(spark, d):

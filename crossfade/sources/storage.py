@@ -22,6 +22,9 @@ class Folder:
         self.uri = path.rstrip("/") if "://" in path or path.startswith("file:/") else f"file://{os.path.abspath(path)}"
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._at(self.uri).getFileSystem(self._conf)
+        if self._fs.getScheme() == "file":
+            # small files that others read: no second file of checksums beside each
+            self._fs = self._fs.getRawFileSystem()
 
     def _at(self, uri: str):
         return self._jvm.org.apache.hadoop.fs.Path(uri)
@@ -72,8 +75,9 @@ class Folder:
         kind = self._jvm.org.apache.hadoop.fs.Options.Rename
         how = self.spark.sparkContext._gateway.new_array(kind, 1)
         how[0] = kind.OVERWRITE if replace else kind.NONE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(self.uri).toUri(), self._conf)
         try:
-            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(self.uri).toUri(), self._conf).rename(self._at(self.of(name)), self._at(self.of(to)), how)
+            context.rename(self._at(self.of(name)), self._at(self.of(to)), how)
         except Py4JJavaError:
             if replace or not self.has(to):
                 self.drop(name)

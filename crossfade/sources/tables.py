@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import CatalogError
 from .storage import Folder, file_of
@@ -91,6 +93,46 @@ def read_playlist_pages(pages: DataFrame, playlist_col: str = "playlist_id", pag
     return items.select("playlist_id", place.alias("position"), track.alias("track")).where("track is not null")
 
 
+def fetch_pages(playlists: DataFrame, fetch: Callable[[str], str], url_col: str = "url", playlist_col: str = "playlist_id") -> DataFrame:
+    """(playlist_id, page, body) of every page, from the first URL of each playlist on.
+
+    ``fetch`` gives the JSON text of a URL and runs on the executors, so that
+    playlists are read side by side; a page's ``next`` is the URL of the page
+    after it. A page that comes back to an earlier one ends its playlist.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for playlist, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen: set[str] = set()
+                while url and url not in seen:
+                    body = fetch(url)
+                    yield pa.RecordBatch.from_arrays([pa.array([playlist], pa.string()), pa.array([len(seen)], pa.int32()), pa.array([body], pa.string())], ["playlist_id", "page", "body"])
+                    seen.add(url)
+                    url = json.loads(body).get("next")
+
+    return playlists.select(F.col(playlist_col).cast("string"), F.col(url_col).cast("string")).mapInArrow(read, "playlist_id string, page int, body string")
+
+
+def attach_art(rows: DataFrame, fetch: Callable[[str], list[str]], id_col: str = "track_id", name: str = "album_art_url") -> DataFrame:
+    """``rows`` with the picture that stands for each id: of the URLs that ``fetch`` gives the second, else the first.
+
+    An id whose fetch fails has none, and holds up no other.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = []
+            for track in batch.column(batch.schema.get_field_index(id_col)).to_pylist():
+                try:
+                    urls.append((fetch(track)[:2] or [None])[-1])
+                except Exception:  # noqa: BLE001  whatever a service may raise
+                    urls.append(None)
+            yield batch.append_column(name, pa.array(urls, pa.string()))
+
+    return rows.mapInArrow(pick, StructType([*rows.schema.fields, StructField(name, StringType())]))
+
+
 def _struct(ddl: str) -> str:
     return ",".join(":".join(f.strip().split(" ", 1)) for f in ddl.split(", "))
 

@@ -182,9 +182,47 @@ def test_overlap_of_playlists(spark):
     assert got == [("a", "c", 5)] and len(L.pairwise_jaccard(df, 0.5).collect()) == 3 == len(L.pairwise_jaccard(df).collect())
     a = L.audit(df).first()
     assert (a.num_playlists, a.near_duplicate_pairs, a.max_pairwise_jaccard, a.benchmark_ready) == (5, 1, 1.0, False) and len(L.audit_warnings(a)) == 2
+    L.PAIRS_BOUND, before = 0, L.PAIRS_BOUND  # by steps of similarity
+    try:
+        assert L.audit(df).first() == a and L.audit(df.where("playlist_id in ('a', 'd')")).first().max_pairwise_jaccard == 0
+        low = df.where("playlist_id = 'a' or source_track_id = '6'")
+        assert L.audit(low).first().max_pairwise_jaccard == 0 and L.audit(df.where("playlist_id = 'a' or source_track_id in ('4', '6')")).first().max_pairwise_jaccard == 0.5
+    finally:
+        L.PAIRS_BOUND = before
     assert L.audit(df.limit(0)).first().num_playlists == 0
 
 
+def test_labels_by_any_of_their_names(spark, tmp_path):
+    both = spark.createDataFrame([("p", 0, "a", "a"), ("p", 1, "b", None)], "playlist_id string, position int, source_spotify_id string, catalog_spotify_id string")
+    rows = L.normalize_memberships(both).orderBy("position").collect()
+    assert [(r.source_track_id, r.catalog_track_id, r.matched) for r in rows] == [("a", "a", True), ("b", None, False)]
+    assert L.label_facts(both) == {"schema": "membership-v2", "preserves_unmatched": True}
+    old = spark.createDataFrame([("p", "a")], "playlist_id string, spotify_id string")
+    assert L.normalize_memberships(old).first().catalog_track_id == "a" and L.label_facts(old) == {"schema": "legacy-matched-only", "preserves_unmatched": False}
+    again = L.normalize_memberships(L.normalize_memberships(both))
+    assert again.count() == 2
+
+
+def test_one_playlist_is_split(spark):
+    df = spark.createDataFrame([("p", f"t{i % 7}") for i in range(9)] + [("p", None)], "playlist_id string, catalog_track_id string")
+    seeds, rest = R.split_tracks(df, 3, 1)
+    own = {r.catalog_track_id for r in seeds.collect()}
+    assert len(own) == 3 == seeds.count() and rest == {f"t{i}" for i in range(7)} - own and R.split_tracks(df, 3, 1)[1] == rest
+    with pytest.raises(ValueError):
+        R.split_tracks(df, 7)
+
+
+def test_wide_medians_are_exact(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 10, 999, 60_000):
+        a = rng.random(n)
+        b = np.where(rng.random(n) < 0.5, 1.0, rng.integers(0, 3, n).astype(float))  # a value that most rows share
+        rows = [(float(x), float(y), None if i % 3 else float(x)) for i, (x, y) in enumerate(zip(a, b))]
+        got = X.wide_medians(spark.createDataFrame(rows, "a double, b double, c double"), {"x": "a", "y": "b", "z": "c"}).first()
+        want = [float(np.median(v)) if len(v) else None for v in (a, b, a[::3])]
+        assert [got.x, got.y, got.z] == [pytest.approx(w) if w is not None else None for w in want], n
+
+
 def test_ranking_metrics(spark):
     recs = spark.createDataFrame([("q", 1, "a"), ("q", 2, "a"), ("q", 3, "b"), ("z", 1, "a")], "r string, rank int, track_id string")
     rel = spark.createDataFrame([("q", "a"), ("q", "b")], "r string, track_id string")
@@ -254,6 +292,52 @@ def test_batch_and_single_requests_agree(spark):
         assert [r.track_id for r in one] == [r.track_id for r in many] and [r.score for r in one] == pytest.approx([r.score for r in many], abs=1e-8)
 
 
+def test_blocks_of_requests_are_brute_force(spark):
+    """All seven strategies with five components, missing values and repeated ids, one request at a time in numpy."""
+    from crossfade.schema import STEERABLE
+
+    cat = big(spark).withColumn("loudness", F.when(F.col("track_id") != "t3", F.col("loudness"))).cache()
+    cat = cat.union(cat.where("track_id in ('t5', 't11')").withColumn("energy", F.lit(0.9)))
+    cfg = BenchmarkConfig(num_splits=2, top_k=6, candidate_limit=30)
+    asked, _ = R.requests(L.normalize_memberships(playlists(spark)), 5, 2, 0)
+    found = {}
+    for r in B.score_requests(asked, cat, DEFAULT_STRATEGIES, cfg).collect():
+        found.setdefault((r.playlist_id, r.split_id, r.strategy), []).append(r)
+    first, wide = B._pools(cat, cfg)
+    assert first.repeats or wide is not None
+    seeds = {r.track_id: r for r in B._shaped(cat).orderBy(F.desc("t"), F.desc("r")).collect()}
+    for q in asked.collect():
+        pool = first
+        gone = set(pool.gone(set(q.seeds), None, cfg.candidate_limit).tolist())
+        if pool.size - len(gone) < cfg.top_k:
+            pool = wide
+            gone = set(pool.gone(set(q.seeds), None, cfg.candidate_limit).tolist())
+        keep = np.array([i for i in range(pool.size) if i not in gone])
+        assert len(keep) <= 30
+        fitted = B._fit(pool.t[keep])
+        z = B._scale(pool.t[keep], fitted)
+        own = B._scale(np.array([[np.nan if x is None else x for x in seeds[i].t] for i in q.seeds], float), fitted)
+        profile = np.median(own, axis=0)
+        for s in DEFAULT_STRATEGIES:
+            rows = sorted(found[q.playlist_id, q.split_id, s.name], key=lambda r: r.rank)
+            assert [r.rank for r in rows] == list(range(1, 7)) and rows[0].candidate_pool_size == len(keep)
+            if s.policy.strategy in ("popularity", "random") or s.name == "deployed":
+                assert {r.track_id for r in rows} <= {pool.ids[int(i)].as_py() for i in keep}
+                continue
+            w = np.array([(s.policy.weights or {}).get(f, 1.0) for f in FEATURES]) if s.policy.strategy == "weighted_cosine" else np.ones(len(FEATURES))
+            u, v = profile * w, z * w
+            if s.policy.use_pca:
+                mean = v.mean(0)
+                axes = np.linalg.svd(v - mean, full_matrices=False)[2][:5]
+                u, v = axes @ (u - mean), (v - mean) @ axes.T
+            score = np.round(v @ u / (np.linalg.norm(u) * np.linalg.norm(v, axis=1)), 9)
+            for f, d in (s.adjustments or {}).items():
+                j = STEERABLE.index(f)
+                base = np.median([seeds[i].r[j] for i in q.seeds])
+                score = score - 0.2 * np.abs(pool.r[keep, j] - min(1, max(0, base + d * 0.7)))
+            assert [r.score for r in rows] == pytest.approx(sorted(score, reverse=True)[:6], abs=1e-7), s.name
+
+
 def test_batch_falls_back_and_excludes_artists(spark):
     asked, _ = R.requests(L.normalize_memberships(playlists(spark)), 5, 1, 0)
     high = B.score_requests(asked, big(spark), [Strategy("w", PLAIN)], BenchmarkConfig(num_splits=1, min_popularity=101, top_k=5)).collect()

@@ -159,6 +159,32 @@ def test_playlist_pages(spark):
     assert [(r.position, r.track.id) for r in S.read_playlist_pages(df).orderBy("position").collect()] == [(0, "1"), (2, "1"), (3, "1")]
 
 
+def test_pages_are_followed_and_pictures_picked(spark):
+    store = {"u0": {"items": [{"track": {"id": "1"}}], "next": "u1"}, "u1": {"items": [{"item": {"id": "2"}}], "next": None}, "v0": {"items": [], "next": "v0"}}
+    first = spark.createDataFrame([("p", "u0"), ("q", "v0"), ("r", None)], "playlist_id string, url string")
+    pages = S.fetch_pages(first, lambda url: json.dumps(store[url]))
+    assert sorted((r.playlist_id, r.page) for r in pages.collect()) == [("p", 0), ("p", 1), ("q", 0)]
+    assert [(r.position, r.track.id) for r in S.read_playlist_pages(pages).orderBy("position").collect()] == [(0, "1"), (1, "2")]
+    art = {"a": ["big", "mid", "small"], "b": ["only"], "c": []}
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("gone",)], "track_id string")
+    assert [r.album_art_url for r in S.attach_art(rows, lambda i: art[i]).orderBy("track_id").collect()] == ["mid", "only", None, None]
+
+
+def test_names_are_known_without_regard_to_case(spark):
+    known = spark.createDataFrame([("Strauß, Söhne",), ("ΟΔΟΣ, Α",)], "artist_name string").select("artist_name")
+    df = spark.createDataFrame([("STRAUSS, söhne, Solo",), ("οδος, α, X",), ("a, b",)], "artist_names string")
+    from crossfade.operators import merge as G
+
+    rows = G.union_normalized([known, df]).where("size(artists_raw) > 1").select("artists_raw").collect()
+    assert sorted(r.artists_raw for r in rows) == sorted([["Strauß, Söhne", "Solo"], ["ΟΔΟΣ, Α", "X"], ["a", "b"]])
+
+
+def test_artists_are_shown(spark):
+    texts = ["['A', ' B ']", " Solo ", "", None, "[broken", "[]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.artist_display_text(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == ["A, B", "Solo", "Unknown artist", "Unknown artist", "[broken", "Unknown artist"]
+
+
 def test_csv_source_and_cache(spark, tmp_path):
     path = str(tmp_path / "a.csv")
     with open(path, "w") as f:
