@@ -39,7 +39,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 #: Rows that a task writes, where a bound on their number is known: of a few numbers each, of a few hundred bytes, of whole sets of a document.
-NARROW, MIDDLE, WIDE = 200_000, 20_000, 4_000
+NARROW, MIDDLE, WIDE = 200_000, 10_000, 2_000
 
 #: On a mounted disk Hadoop would keep a second file of checksums for each, and start a process for each file to set its mode.
 _PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
