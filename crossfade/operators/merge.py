@@ -20,6 +20,7 @@ from ..functions.features import numeric
 from ..schema import DEDUPE_BUCKET_MS, DURATION_TOLERANCE_MS
 from ..sources.tables import map_header, text_column
 
+# fixed values: the columns of the merged catalog
 UNIT_FEATURES = ("danceability", "energy", "valence", "speechiness", "acousticness", "instrumentalness", "liveness")
 OTHER_FEATURES = ("loudness", "tempo", "key", "mode")
 COLUMNS = (
