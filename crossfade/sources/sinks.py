@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import DEPLOYED_TYPES, CatalogError
+from ..schema import DEPLOYED_TYPES, CatalogError, NoMatchesError
 from .storage import Folder, file_of
 from .tables import read_catalog
 
@@ -98,6 +98,25 @@ def catalog_bundle(spark: SparkSession, folder: str, raw_paths: Sequence[str] |
     return read_catalog(spark, current_artifact(folder))
 
 
+URIS_PER_CALL = 100  # that a service takes at once
+
+
+def send_playlist(rows: DataFrame, create: Callable[[], str], add: Callable[[str, list[str]], None], prefix: str = "track:") -> str:
+    """Make a playlist of ranked rows (rank, track_id) with the service that ``create`` and ``add`` call; its id.
+
+    A recommendation is a few rows, which are collected; without any it is an error.
+    """
+    from ..functions.text import track_uri
+
+    uris = [r.uri for r in rows.select("rank", track_uri(F.col("track_id"), prefix).alias("uri")).where("uri is not null").orderBy("rank").collect()]
+    if not uris:
+        raise NoMatchesError("there is no track to send")
+    playlist = create()
+    for i in range(0, len(uris), URIS_PER_CALL):
+        add(playlist, uris[i : i + URIS_PER_CALL])
+    return playlist
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, of a table small enough for it; arrays become JSON."""
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])

@@ -13,7 +13,7 @@ from crossfade.operators.pca import fit_pca
 from crossfade.plans import benchmark as B
 from crossfade.plans import report as P
 from crossfade.plans.policy import DEFAULT_STRATEGIES, DEPLOYED, BenchmarkConfig, Policy, Strategy, with_tuned
-from crossfade.plans.recommend import recommend, recommend_for_playlist, scored
+from crossfade.plans.recommend import recommend, recommend_for_playlist, scored, serve
 from crossfade.schema import DEFAULT_WEIGHTS, FEATURES, CatalogError, NoMatchesError
 from crossfade.sources import fixtures as S
 
@@ -367,3 +367,13 @@ def test_playlist_requests(spark):
     assert got and not {"t1", "t2", "t3"} & set(got)
     with pytest.raises(NoMatchesError):
         recommend_for_playlist(cat, items.limit(0), 5, PLAIN)
+    shown = serve(cat, items, lambda i: [f"{i}/large", f"{i}/small"], 3, policy=PLAIN).rows.collect()
+    assert [r.album_art_url for r in shown] == [f"{r.track_id}/small" for r in shown] and [r["rank"] for r in shown] == [1, 2, 3]
+    from crossfade.sources.sinks import send_playlist
+
+    sent = []
+    rows = spark.range(1, 251).select(F.col("id").alias("rank"), F.concat(F.lit("t"), "id").alias("track_id")).union(spark.createDataFrame([(999, None)], "rank long, track_id string"))
+    assert send_playlist(rows, lambda: "new", lambda p, uris: sent.append((p, uris))) == "new"
+    assert [len(u) for _, u in sent] == [100, 100, 50] and [u for _, us in sent for u in us] == [f"track:t{i}" for i in range(1, 251)]
+    with pytest.raises(NoMatchesError):
+        send_playlist(rows.limit(0), lambda: "new", lambda p, uris: None)
