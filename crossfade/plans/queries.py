@@ -259,19 +259,24 @@ def special_transforms(spark, d):
     return _named(X.with_transformed(S.catalog(spark, d)), "track_id", **{f: f"t_{f}" for f in ("tempo", "loudness", "duration_ms")})
 
 
+def _transformed(spark, d) -> DataFrame:
+    """The derived catalog, kept: medians, moments and rows all read it."""
+    return X.with_transformed(S.catalog(spark, d).persist())
+
+
 def scaler_stats(spark, d):
-    stats = X.fit_scaler(X.with_transformed(S.catalog(spark, d)))
+    stats = X.fit_scaler(_transformed(spark, d))
     rows = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), r6(f"med_{f}").alias("median"), r6(f"mean_{f}").alias("mean"), r6(f"sd_{f}").alias("sd")) for f in FEATURES]))
     return stats.select(rows)
 
 
 def impute_medians(spark, d):
-    t = X.with_transformed(S.catalog(spark, d))
+    t = _transformed(spark, d)
     return _named(t.crossJoin(F.broadcast(X.fit_scaler(t))), "track_id", tempo=F.coalesce("t_tempo", "med_tempo"), loudness=F.coalesce("t_loudness", "med_loudness"))
 
 
 def _scaled(spark, d) -> DataFrame:
-    t = X.with_transformed(S.catalog(spark, d))
+    t = _transformed(spark, d)
     return X.with_scaled(t, X.fit_scaler(t))
 
 
