@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bittable import build, settle, sift
 from .components import components
-from .shared import MIDDLE, WIDE, Scratch, give_back, materialize
+from .shared import MIDDLE, WIDE, Scratch, drop_shuffles, give_back, materialize
 from .textcols import BLANK_SPLIT, buffers, chunks, mix, scan_words
 
 BLOCK_CLASSES = 2048  # classes of a bucket that one task compares with as many others
@@ -228,6 +228,7 @@ class _Confirm:
         dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
         tiles = self.scratch.table(dealt.mapInArrow(pick, "bucket long, lo int, hi int, own int, k long, c long"), "tiles", self.classes, WIDE)
         self.tiles = tiles.count()
+        drop_shuffles(tiles.sparkSession)
         full = self._sets(tiles)
 
         def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -314,10 +315,14 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     )
     sharing = scratch.broadcast(build(scratch.table(shared.select("k").distinct(), "sharing", count), "k"))
     sketches = scratch.table(sift(sketches, F.col("k"), sharing, True), "sketches", count, MIDDLE)
-    confirm = _Confirm(docs, reps, sketches, scratch, id_col, text_col, width, percent, bands * rows)
+    stars = Scratch(docs.sparkSession)
+    confirm = _Confirm(docs, reps, sketches, stars, id_col, text_col, width, percent, bands * rows)
     # a tile's links are a forest of its rows
     links = confirm.links(_stars(shared))
     first = components(links, confirm.tiles)
+    stars.clear()
+    drop_shuffles(docs.sparkSession)
+    confirm.scratch = scratch
     known = first.select(F.col("node.k").alias("k"), F.col("component.k").alias("c"))
     placed = shared.join(known, "k", "left").select("bucket", "band", "k", "n_shingles", F.coalesce("c", "k").alias("c"))
     more = confirm.links(_rest(placed))
@@ -328,14 +333,15 @@ class _Found:
     """Signed rows, classes of equal sets (k, rep, row: of the row to keep) and linked classes (k, least: the component's id, head: its class)."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, percent: int, seed: int) -> None:
-        self.scratch = Scratch(docs.sparkSession)
-        self.signed = materialize(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
+        self.scratch, self.rows = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+        self.signed = self.rows.table(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
         own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "row")
         classes = self.signed.where("k is not null").groupBy("k").agg(F.min(own).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
         self.reps = self.scratch.table(classes.select("k", "own.rep", "own.row", "n_shingles", "sig"), "classes", self.signed.count(), MIDDLE)
         linked = linked_classes(docs, self.reps, self.scratch, id_col, text_col, width, bands, rows, percent)
         # nodes are ordered by id, so the least node of a component has its id
         self.linked = self.scratch.table(linked.select(F.col("node.k").alias("k"), F.col("component.rep").alias("least"), F.col("component.k").alias("head")), "linked", self.reps.count())
+        drop_shuffles(docs.sparkSession)
 
 
 def near_duplicates(
@@ -380,12 +386,12 @@ def drop_near_duplicates(
     found = _Found(docs, id_col, text_col, width, bands, rows, percent, seed)
     # of each class its row to keep, null where another class heads the component
     heads = found.reps.select("k", "row").join(found.linked.select("k", "head"), "k", "left")
-    heads = materialize(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays")), "heads", found.reps.count())
+    heads = found.scratch.table(heads.select("k", F.when(F.coalesce("head", "k") == F.col("k"), F.col("row")).alias("stays")), "heads", found.reps.count())
     placed = found.signed.where("k is not null").select("k", "row").join(heads, "k")
     marks = placed.groupBy(F.col("row").alias("mark")).agg(F.bool_or(F.coalesce(F.col("row") == F.col("stays"), F.lit(False))).alias("keep"), F.count("*").alias("n"))
     # a row that stays and isn't there again needs no mark
     marks = materialize(marks.where("not keep or n > 1").select("mark", "keep"), "marks", found.signed.count())
-    wordless = F.coalesce(F.translate(F.col(text_col).cast("string"), " \t\n\x0b\x0c\r", "") == "", F.lit(True))
-    out = settle(docs, _row(id_col, text_col), marks, wordless)
     found.scratch.clear()
-    return out
+    found.rows.clear()
+    wordless = F.coalesce(F.translate(F.col(text_col).cast("string"), " \t\n\x0b\x0c\r", "") == "", F.lit(True))
+    return settle(docs, _row(id_col, text_col), marks, wordless)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so once the driver has collected them, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables and broadcasts of a computation that go once its result is written."""
 

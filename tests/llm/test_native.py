@@ -93,6 +93,23 @@ def test_chat_query_is_brute_force(spark, tmp_path):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == brute_conversation(turns), c
 
 
+def slow_escape(text):
+    out = text.replace("\\", "\\\\")
+    for g in ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+        out = out.replace(g, g[0] + "\\" + g[1:])
+    return out
+
+
+def test_formatted_lengths_are_brute_force(spark, tmp_path):
+    rows = conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.formatted_chars for r in op10_chat_format(spark, save(spark, tmp_path, conversations=df)).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted((x[1:] for x in rows if x[0] == c), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "", x[2] or ""))
+        sizes = [len(START + slow_escape(r or "") + SEP + slow_escape(t or "") + END) for _, r, t in turns]
+        assert got[c] == sum(sum(sizes[: i + 1]) for i, (_, r, _) in enumerate(turns) if r == "assistant" or i == len(turns) - 1), c
+
+
 def test_every_reply_is_an_example_with_its_context(spark):
     rows = conversations()
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
