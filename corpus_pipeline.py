@@ -16,7 +16,7 @@ from crossfade.llm.packing import pack_documents
 from crossfade.llm.quality_knn import fit_quality, held_out, keep_quality
 from crossfade.llm.queries import LEAST_QUALITY, PACK_WORDS, table
 from crossfade.llm.secret_scan import redact_secrets
-from crossfade.llm.shared import materialize
+from crossfade.llm.shared import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage has written goes once the next has written."""
+    docs, before = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        now = Scratch(spark)
+        docs = now.table(stage(spark, docs, sf_dir), name)
+        before.clear()
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
