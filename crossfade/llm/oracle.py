@@ -144,6 +144,107 @@ WITH d AS (
 SELECT source, lang, 'words' AS version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM now GROUP BY source, lang
 """
 
+# words without blanks, as they stand; a window is found twice if its words are
+QUALITY_BASE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, ws[i : i + 4] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 4)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM win) WHERE n > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, sum(n - 1) AS n
+  FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l)
+  GROUP BY doc_id
+), f AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(line.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
+"""
+
+OP12 = r"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), size AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM piece GROUP BY lang
+), starts AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM piece
+), f AS (
+  SELECT lang, g AS words, array_to_string(g, ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws[i : i + m - 1] AS g FROM starts, (VALUES (1), (2), (3), (4), (5)) AS s(m) WHERE i + m - 1 <= len(ws)) GROUP BY lang, g HAVING count(*) >= 100
+), held AS (
+  SELECT lang, words[a : a + m - 1] AS words, max(f) AS o
+  FROM (SELECT lang, words, f, m, unnest(range(1, len(words) - m + 2)) AS a FROM f, (VALUES (2), (3), (4)) AS s(m) WHERE len(words) > m) GROUP BY ALL
+), kept AS (
+  SELECT f.* FROM f LEFT JOIN held USING (lang, words) WHERE len(f.words) > 1 AND (o IS NULL OR 100 * o < 100 * f)
+), cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM kept) c
+  JOIN f x ON x.lang = c.lang AND x.words = c.words[1 : k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1 :] JOIN size ON size.lang = c.lang
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+def _op13() -> str:
+    """Rows are taken one by one; for each state the cheapest way so far stands as a struct of cost, letters and repaired text.
+
+    Ways of equal cost to the same place never continue one another, so that the least letters stay least when more follow.
+    """
+    longer = lambda v, cost, letter, said: f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'l': {v}.l || '{letter}', 't': {v}.t || {said}}} END"
+    least = lambda *of: f"list_min(list_filter([{', '.join(of)}], lambda x: x IS NOT NULL))"
+    put = lambda v, role: longer(v, 2, "I", f"'{role}:' || chr(10)")
+    user = least("s2", put("s0", "user"), put("s1", "user"), put("s3", "user"))
+    settled = lambda rows: f"SELECT conv_id, i, s0, s1, u2 AS s2, {least('s3', put('u2', 'assistant'))} AS s3 FROM (SELECT *, {user} AS u2 FROM ({rows}))"
+    row = "CASE WHEN gone THEN NULL ELSE {} END"
+    own = "role || ':' || text || chr(10)"
+    keep = lambda v, initial: row.format(f"CASE WHEN left(role, 1) = '{initial}' THEN {longer(v, 'cut', 'K', own)} END")
+    rerole = lambda v, role: row.format(longer(v, "2 + cut", "R", f"'{role}:' || text || chr(10)"))
+    drop = lambda v: longer(v, 3, "D", "''")
+    users = [f(v, r) for v in ("s0", "s1", "s3") for f, r in ((keep, "u"), (rerole, "user"))]
+    step = f"""SELECT s.conv_id, s.i + 1 AS i, {drop('s0')} AS s0, {least(drop('s1'), keep('s0', 's'))} AS s1, {least(drop('s2'), *users)} AS s2,
+      {least(drop('s3'), keep('s2', 'a'), rerole('s2', 'assistant'))} AS s3 FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i"""
+    nothing = "NULL::STRUCT(c BIGINT, l VARCHAR, t VARCHAR)"
+    start = f"SELECT conv_id, 1::BIGINT AS i, {{'c': 0::BIGINT, 'l': '', 't': ''}} AS s0, {nothing} AS s1, {nothing} AS s2, {nothing} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)"
+    # crc32 of an ASCII text: each character goes in, then eight shifts
+    fed = "flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {fed}), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"
+    return rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS hit FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE hit <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d
+), f AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o
+), r AS (
+  SELECT conv_id, i, role, text, blank OR again AS gone, (open AND NOT (blank OR again))::BIGINT AS cut FROM f
+), n AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank,
+    count(*) FILTER (again AND NOT blank)::BIGINT AS duplicate, count(*) FILTER (open AND NOT again AND NOT blank)::BIGINT AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM f GROUP BY conv_id
+), s AS (
+  {settled(settled(start))} UNION ALL {settled(settled(step))}
+), e AS (
+  SELECT s.conv_id, {least('s0', 's3')} AS v FROM s LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.i = coalesce(n.rows, 0) + 1
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  v.c AS cost, v.l AS audit, sha256(left(v.t, greatest(length(v.t) - 1, 0))) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": OP6, "op7_kdtree_topk": OP7, "op8_url_filter": OP8, "op9_decontamination": OP9, "op10_chat_format": OP10, "license_base": LICENSE_BASE, "secret_base": SECRET_BASE, "token_rollup_words": TOKEN_ROLLUP_WORDS}
+    return {"op6_minhash_dedup": OP6, "op7_kdtree_topk": OP7, "op8_url_filter": OP8, "op9_decontamination": OP9, "op10_chat_format": OP10, "license_base": LICENSE_BASE, "secret_base": SECRET_BASE, "token_rollup_words": TOKEN_ROLLUP_WORDS, "quality_base": QUALITY_BASE, "op12_collocations": OP12, "op13_chat_repair": _op13()}

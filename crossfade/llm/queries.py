@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, loss_text, read_turns
+from .chat_repair import repair_digests
+from .collocations import collocations
 from .decontaminate import overlaps
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_knn import fit_quality, held_out, score_quality
+from .quality_rules import quality_rules
 from .secret_scan import KINDS, scan_secrets
 from .shared import materialize
 from .token_counts import TokenRollup, count_tokens
@@ -127,7 +130,35 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), _sha256(F.col("loss")).alias("loss_sha256"), "formatted_chars")
 
 
-# the parts of operators 1, 3 and 4 that SQL can follow, through the same code
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("reason").isNull()).alias("kept"), "ratio", "low_bytes", "high_bytes", "reason")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their rows damaged, by the crc32 of conversation and turn; nulls become one blank."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), (F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20).alias("hit"))
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1)))
+    return rows.where("hit <> 0").select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations")
+    ids = convs.select("conv_id").distinct()
+    found = repair_digests(damaged(convs)).withColumnRenamed("conv_id", "found")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    counts = [none(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", _sha256(F.lit(""))).alias("repaired_sha256"))
+
+
+# the parts of operators 1, 3, 4 and 11 that SQL can follow, through the same code
 
 
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +181,10 @@ def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict:
-    named = (op1_license_scan, op2_best_fit_packing, op3_secret_scan, op4_token_counts, op5_quality_knn, op6_minhash_dedup, op7_kdtree_topk, op8_url_filter, op9_decontamination, op10_chat_format, license_base, secret_base, token_rollup_words)
+    named = (op1_license_scan, op2_best_fit_packing, op3_secret_scan, op4_token_counts, op5_quality_knn, op6_minhash_dedup, op7_kdtree_topk, op8_url_filter, op9_decontamination, op10_chat_format, op11_quality_rules, op12_collocations, op13_chat_repair, license_base, secret_base, token_rollup_words, quality_base)
     return {f.__name__: f for f in named}
