@@ -22,16 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcols as T
 from .shared import Scratch, give_back, materialize
 
-#: log2 of the buckets of word counts; with more words than buckets fewer suffixes are cut.
-BUCKET_BITS = 22
+#: log2 of the buckets of word counts, a bit each in the end; with more words than buckets fewer suffixes are cut.
+BUCKET_BITS = 26
 #: A prefix with more than this share of all words is shuffled by longer prefixes.
 HOT_SHARE = 1 / 4096
+#: Bytes of text whose equal suffixes go as one.
+RUN = 1 << 22
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD = T._table(lambda c: c not in b" \t" + _PIECE_ENDS, lower=True)
@@ -80,33 +83,31 @@ class _Words:
     def buckets(self) -> np.ndarray:
         return (self.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-    def prefixes(self, keep: np.ndarray, max_n: int):
-        """For the suffixes at kept words, by 1 to ``max_n`` words: a number for each prefix, how many differ, which have that many words, a hash."""
-        at = np.flatnonzero(keep)
+    def ends(self, keep: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the run of kept words of one piece ends that each of the words ``at`` lies in."""
         stops = np.append(np.flatnonzero(self.fresh | ~keep), self.n)
-        end = stops[np.searchsorted(stops, at, "right")]
-        number, many = _numbered(self.code[at] * len(self.langs) + self.lang[at])
-        h, span = self.hash[at], len(self.words) + 1
-        yield number, many, np.ones(len(at), bool), h
-        for step in range(1, max_n):
-            there = at + step < end
-            after = np.minimum(at + step, self.n - 1)
-            number, many = _numbered(number * span + np.where(there, self.code[after] + 1, 0))
-            h = T.mix(h * np.uint64(3) + np.where(there, self.hash[after], _END))
-            yield number, many, there, h
-
-
-def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """A number for each key, equal for equal keys, and how many differ."""
+        return stops[np.searchsorted(stops, at, "right")]
+
+    def longer(self, at: np.ndarray, end: np.ndarray, h: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of prefixes of ``step`` words made longer by one, and which have that one."""
+        there = at + step < end
+        return T.mix(h * np.uint64(3) + np.where(there, self.hash[np.minimum(at + step, self.n - 1)], _END)), there
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal keys the first place and the number; and each key's group."""
     got = pa.array(keys).dictionary_encode()
-    return got.indices.to_numpy().astype(np.int64), len(got.dictionary)
+    group = got.indices.to_numpy().astype(np.int64)
+    first = np.zeros(len(got.dictionary), np.int64)
+    first[group[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return first, np.bincount(group, minlength=len(first)), group
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, offsets = T.buffers(batch.column(1))
-        for i, j in T.chunks(offsets):
+        for i, j in T.chunks(offsets, RUN):
             words = _Words(data, offsets[i : j + 1], langs[i:j])
             if words.n:
                 yield words
@@ -129,104 +130,208 @@ def _survey(rows: DataFrame, max_n: int) -> DataFrame:
             add(0, np.zeros(len(words.langs)), words.langs, np.bincount(words.lang, minlength=len(words.langs)))
             bucket, n = np.unique(words.buckets(), return_counts=True)
             add(1, bucket, [None] * len(bucket), n)
-            # of full length no prefix need be told apart: equal suffixes are one row of a chunk
-            for number, many, there, h in words.prefixes(np.ones(words.n, bool), max_n - 1):
-                number, h = number[there], h[there]
-                n = np.bincount(number, minlength=many)
-                often = np.flatnonzero(n >= max(1, words.n * HOT_SHARE))
-                of = np.zeros(many, np.uint64)
-                of[number] = h
-                add(2, of[often].view(np.int64), [None] * len(often), n[often])
+            # a prefix is no more frequent than a shorter one; of full length none need be told apart, for equal suffixes are one row
+            at = np.arange(words.n)
+            end, h = words.ends(np.ones(words.n, bool), at), words.hash
+            for step in range(1, max_n):
+                first, n, group = _grouped(h)
+                often = n >= max(1, words.n * HOT_SHARE)
+                add(2, h[first[often]].view(np.int64), [None] * int(often.sum()), n[often])
+                at, end, h = (x[often[group]] for x in (at, end, h))
+                h, there = words.longer(at, end, h, step)
+                at, end, h = at[there], end[there], h[there]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(langs, pa.string()), pa.array(np.concatenate(sums))], ["kind", "key", "lang", "n"])
 
     return rows.mapInArrow(scan, "kind tinyint, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
 
 
-def _suffixes(rows: DataFrame, frequent, hot, max_n: int) -> DataFrame:
-    """Suffixes at frequent words, equal ones of a chunk together: slot, suffix, n.
+def _pack(slot: np.ndarray, n: np.ndarray, suffixes: pa.Array) -> bytes:
+    """Suffixes with their slots and numbers as one compressed block."""
+    sizes = np.diff(np.frombuffer(suffixes.buffers()[1], np.int64)[suffixes.offset : suffixes.offset + len(suffixes) + 1]).astype(np.uint32)
+    begin = int(np.frombuffer(suffixes.buffers()[1], np.int64)[suffixes.offset])
+    raw = np.frombuffer(suffixes.buffers()[2], np.uint8)[begin : begin + int(sizes.sum(dtype=np.int64))]
+    head = np.array([len(n)], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, n, sizes, slot, raw)))
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Depths, numbers, sizes and bytes of a block's suffixes."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    m = int(np.frombuffer(raw, np.int64, 1)[0])
+    n, sizes = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.uint32, m, 8 + 8 * m)
+    return np.frombuffer(raw, np.uint8, m, 8 + 12 * m), n, sizes, np.frombuffer(raw, np.uint8, -1, 8 + 13 * m)
+
+
+def _suffixes(rows: DataFrame, frequent, hot, max_n: int, buckets: int) -> DataFrame:
+    """Suffixes at frequent words, equal ones of a run together, in compressed blocks: bucket, block.
 
     A suffix is its first word, its language in hexadecimal and its other
-    words, parted by zero bytes. The slot is a hash of the first of its prefixes that is not
-    hot; its last three bits count that prefix's words.
+    words, parted by zero bytes. Its bucket is by the hash of the first of its
+    prefixes that is not hot; with it goes how many words that prefix has.
     """
 
     @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, heavy = np.unpackbits(frequent.value).astype(bool), hot.value
+        often, heavy = frequent.value, hot.value
         for words in _chunks(batches):
-            keep = often[words.buckets()]
-            if not keep.any():
-                continue
+            bucket = words.buckets()
+            keep = (often[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
             at = np.flatnonzero(keep)
-            slot, open_, length = np.zeros(len(at), np.uint64), np.ones(len(at), bool), np.zeros(len(at), np.int64)
-            for step, (number, many, there, h) in enumerate(words.prefixes(keep, max_n), 1):
-                length += there
-                settled = open_ & (heavy[np.searchsorted(heavy, h) % len(heavy)] != h) if step < max_n and len(heavy) else open_
-                slot[settled] = (h[settled] & ~np.uint64(7)) | np.uint64(step)
-                open_ &= ~settled
-            first = np.zeros(many, np.int64)
-            first[number[::-1]] = np.arange(len(at) - 1, -1, -1)
-            n = np.bincount(number, minlength=many)
+            if not len(at):
+                continue
+            end, h = words.ends(keep, at), words.hash[at]
+            depth, slot = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint64)
+            for step in range(1, max_n + 1):
+                settled = depth == 0
+                if step < max_n and len(heavy):
+                    settled &= heavy[np.searchsorted(heavy, h) % len(heavy)] != h
+                depth[settled], slot[settled] = step, h[settled]
+                if step < max_n:
+                    h, _ = words.longer(at, end, h, step)
+            length = np.minimum(end - at, max_n)
+            codes = [np.where(length > k, words.code[np.minimum(at + k, words.n - 1)] + 1, 0) for k in range(max_n)]
+            first, n, group = _grouped(h)
+            for c in (words.lang[at], *codes):
+                if not np.array_equal(c[first][group], c):  # two suffixes of one hash: told apart by their words
+                    first, n, group = _grouped(_numbered([words.lang[at], *codes]))
+                    break
+            own = (slot[first] % np.uint64(buckets)).astype(np.int64)
+            # by bucket, then about by words: near suffixes are short to write
+            order = np.argsort(own << 42 | np.minimum(codes[0][first], (1 << 21) - 1) << 21 | np.minimum(codes[1][first], (1 << 21) - 1), kind="stable")
+            first, n, own = first[order], n[order], own[order]
             names = pa.array([x.encode().hex().encode() for x in words.langs], pa.large_binary())
-            parts = [words.words.take(pa.array(words.code[at[first]])), names.take(pa.array(words.lang[at[first]]))]
-            for step in range(1, max_n):
-                there = length[first] > step
-                code = words.code[np.minimum(at[first] + step, words.n - 1)]
-                parts.append(words.words.take(pa.array(code, mask=~there)))
-            joined = pc.binary_join_element_wise(*parts, pa.scalar(b"\0", pa.large_binary()), null_handling="skip").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(slot[first].view(np.int64)), joined, pa.array(n)], ["slot", "suffix", "n"])
+            parts = [words.words.take(pa.array(codes[0][first] - 1)), names.take(pa.array(words.lang[at][first]))]
+            parts += [words.words.take(pa.array(c[first] - 1, mask=c[first] == 0)) for c in codes[1:]]
+            joined = pc.binary_join_element_wise(*parts, pa.scalar(b"\0", pa.large_binary()), null_handling="skip")
+            cuts = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
+            blocks = [_pack(depth[first[a:b]], n[a:b], joined.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-    return rows.mapInArrow(scan, "slot long, suffix binary, n long")
+    return rows.mapInArrow(scan, "bucket int, block binary")
 
 
-def _count_prefixes(suffixes: DataFrame, least: int) -> DataFrame:
+def _numbered(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row of columns, equal for equal rows."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = np.unique(out * (int(c.max()) + 1) + c, return_inverse=True)[1]
+    return out
+
+
+@give_back
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to rows: suffix, n, depth."""
+    for batch in batches:
+        for block in batch.column(1):
+            depth, n, sizes, raw = _unpack(block.as_py())
+            ends = np.zeros(len(n) + 1, np.int32)
+            np.cumsum(sizes, out=ends[1:])
+            suffix = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+            yield pa.RecordBatch.from_arrays([suffix, pa.array(n), pa.array(depth.astype(np.int8))], ["suffix", "n", "depth"])
+
+
+class _Stack:
+    """Counts of all prefixes of sorted suffixes, some suffixes at a time.
+
+    Open are the prefixes of the last suffix, shorter ones below longer ones,
+    each with its count so far and how many words make a count whole.
+    """
+
+    def __init__(self, max_n: int, least: int) -> None:
+        self.max_n, self.least = max_n, least
+        self.open: list[list] = []  # prefix, count, depth
+        self.closed: list[tuple[bytes, int]] = []
+
+    def _close(self, prefix: bytes, n: int, words: int, depth: int) -> None:
+        if n >= self.least or words < depth:
+            self.closed.append((prefix, n))
+
+    def push(self, suffixes: pa.Array, n: np.ndarray, depth: np.ndarray) -> None:
+        at = np.frombuffer(suffixes.buffers()[1], np.int32)[suffixes.offset : suffixes.offset + len(suffixes) + 1].astype(np.int64)
+        data = np.frombuffer(suffixes.buffers()[2], np.uint8)
+        begin, size, rows = at[:-1], np.diff(at), len(n)
+        # where each prefix ends: at its parting bytes but the first, which follows the first word, and at the end
+        zeros = np.flatnonzero(data[at[0] : at[-1]] == 0) + at[0]
+        before = np.searchsorted(zeros, at)
+        words = np.diff(before)  # as many as parting bytes, for the language has one
+        # bytes that a suffix has in common with the one before it
+        common = np.zeros(rows, np.int64)
+        least = np.minimum(size[1:], size[:-1])
+        flat = np.zeros(rows, np.int64)
+        np.cumsum(least, out=flat[1:])
+        step = np.arange(int(flat[-1])) - np.repeat(flat[:-1], least)
+        differ = np.append(np.flatnonzero(data[np.repeat(begin[1:], least) + step] != data[np.repeat(begin[:-1], least) + step]), int(flat[-1]))
+        common[1:] = np.minimum(differ[np.searchsorted(differ, flat[:-1])] - flat[:-1], least)
+        total = np.zeros(rows + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        first = data[begin[0] : begin[0] + size[0]].tobytes()
+        kept = 0
+        for words_open, (prefix, *_rest) in enumerate(self.open, 1):
+            if first == prefix or first.startswith(prefix + b"\0"):
+                kept = words_open
+        for gone in range(len(self.open), kept, -1):
+            self._close(self.open[-1][0], self.open[-1][1], gone, self.open.pop()[2])
+        now = []
+        for k in range(1, self.max_n + 1):
+            has = words >= k
+            # the k-th prefix ends before the parting byte k, or with the suffix
+            ends = np.where(words > k, zeros[np.minimum(before[:-1] + k, max(len(zeros) - 1, 0))], at[1:]) - begin
+            same = np.zeros(rows, bool)
+            other = np.append(False, (common[1:] < size[:-1]) & (data[np.minimum(begin[:-1] + common[1:], len(data) - 1)] != 0))
+            same[1:] = (has[1:] & has[:-1]) & ((common[1:] > ends[1:]) | ((common[1:] == ends[1:]) & ~other[1:]))
+            starts = np.append(np.flatnonzero(~same), rows)
+            sums = total[starts[1:]] - total[starts[:-1]]
+            starts = starts[:-1]
+            if k <= kept:
+                self.open[k - 1][1] += int(sums[0])
+                if len(starts) > 1:
+                    prefix, count, deep = self.open[k - 1]
+                    self._close(prefix, count, k, deep)
+            real = has[starts]
+            fresh = real & ((sums >= self.least) | (k < depth[starts]))
+            fresh[-1] = real[-1]
+            fresh[0] &= k > kept
+            for j in np.flatnonzero(fresh).tolist():
+                a = int(begin[starts[j]])
+                prefix = data[a : a + int(ends[starts[j]])].tobytes()
+                if j == len(starts) - 1:
+                    now.append([prefix, int(sums[j]), int(depth[starts[j]])])
+                else:
+                    self._close(prefix, int(sums[j]), k, int(depth[starts[j]]))
+            if len(starts) == 1 and k <= kept:
+                now.append(self.open[k - 1])
+        self.open = now
+
+    def finish(self) -> None:
+        while self.open:
+            prefix, count, deep = self.open.pop()
+            self._close(prefix, count, len(self.open) + 1, deep)
+
+    def take(self) -> pa.RecordBatch:
+        langs, phrases = [], []
+        for prefix, _ in self.closed:
+            word, lang, *more = prefix.split(b"\0")
+            langs.append(bytes.fromhex(lang.decode()).decode())
+            phrases.append(b"\0".join([word, *more]).translate(_RAW))
+        out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([n for _, n in self.closed], pa.int64())], ["lang", "phrase", "f"])
+        self.closed = []
+        return out
+
+
+def _count_prefixes(blocks: DataFrame, least: int, max_n: int) -> DataFrame:
     """Lang, phrase and count of every prefix, in one pass over the sorted suffixes; whole counts under ``least`` are left out, partial ones are not."""
 
     @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the open prefixes: the parts of the last suffix, counts up to here, and from how many words on a count is whole
-        parts: list[bytes] = []
-        counts: list[int] = []
-        whole: list[int] = []
-        langs, phrases, found = [], [], []
-
-        def close(upto: int) -> None:
-            while len(parts) > upto:
-                n, words = counts.pop(), len(parts) - 1
-                if words and (n >= least or words < whole[-1]):
-                    langs.append(bytes.fromhex(parts[1].decode()).decode())
-                    phrases.append(b"\0".join(parts[:1] + parts[2:]).translate(_RAW))
-                    found.append(n)
-                if counts:
-                    counts[-1] += n
-                parts.pop()
-                whole.pop()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(found, pa.int64())], ["lang", "phrase", "f"])
-            langs.clear(), phrases.clear(), found.clear()
-            return out
-
+        stack = _Stack(max_n, least)
         for batch in batches:
-            for slot, suffix, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = suffix.split(b"\0")
-                same = 0
-                for a, b in zip(parts, own):
-                    if a != b:
-                        break
-                    same += 1
-                close(same)
-                for part in own[same:]:
-                    parts.append(part)
-                    counts.append(0)
-                    whole.append(slot & 7)
-                counts[-1] += n
-            if found:
-                yield flush()
-        close(0)
-        yield flush()
-
-    dealt = suffixes.repartition("slot").sortWithinPartitions(F.col("suffix").desc())
+            if batch.num_rows:
+                stack.push(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                yield stack.take()
+        stack.finish()
+        yield stack.take()
+
+    dealt = blocks.repartition("bucket").mapInArrow(_spread, "suffix binary, n long, depth tinyint").sortWithinPartitions(F.col("suffix").desc())
     return dealt.mapInArrow(scan, "lang string, phrase string, f long")
 
 
@@ -242,14 +347,17 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", tex
     survey = scratch.table(_survey(rows, max_n), "collocation-survey")
     sizes = survey.where("kind = 0").select("lang", "n")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    # at most one bit for each bucket
-    often = np.zeros(1 << BUCKET_BITS, bool)
-    often[survey.where(F.col("n") >= least).where("kind = 1").select("key").toPandas()["key"].to_numpy(np.int64)] = True
+    # a bit for each bucket, put together by the executors
+    often = np.zeros(1 << (BUCKET_BITS - 3), np.uint8)
+    bits = survey.where(F.col("n") >= least).where("kind = 1").groupBy(F.bitmap_bucket_number(F.col("key") + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("key") + 1)).alias("bits"))
+    for at, part in bits.collect():
+        often[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
     # at most 1 / HOT_SHARE for each length
     hot = survey.where(F.col("n") >= max(least, total * HOT_SHARE)).where("kind = 2").select("key").toPandas()["key"].to_numpy(np.int64)
     sc = spark.sparkContext
-    frequent, heavy = scratch.broadcast(sc.broadcast(np.packbits(often))), scratch.broadcast(sc.broadcast(np.sort(hot.view(np.uint64))))
-    counted = _count_prefixes(_suffixes(rows, frequent, heavy, max_n), least)
+    frequent, heavy = scratch.broadcast(sc.broadcast(often)), scratch.broadcast(sc.broadcast(np.sort(hot.view(np.uint64))))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = _count_prefixes(_suffixes(rows, frequent, heavy, max_n, buckets), least, max_n)
     counted = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return sizes, scratch.table(counted, "phrase-counts")
 

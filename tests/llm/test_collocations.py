@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from test_scans import ODD, save
 
@@ -68,13 +71,33 @@ def test_hot_prefixes_and_repeated_words(spark):
     assert sorted(tuple(r) for r in collocations(table(spark, own).repartition(7), least=20).collect()) == brute(own, 20)
     survey = C._survey(table(spark, own).select("lang", "text"), 5)
     hot = survey.where("kind = 2").where(F.col("n") > survey.where("kind = 0").agg(F.sum("n")).first()[0] * C.HOT_SHARE).select("key").toPandas()["key"].to_numpy().view("uint64")
-    import numpy as np
-
     sc = spark.sparkContext
-    every = C._suffixes(table(spark, own).select("lang", "text"), sc.broadcast(np.packbits(np.ones(1 << C.BUCKET_BITS, bool))), sc.broadcast(np.sort(hot)), 5)
-    slots = every.groupBy("slot").agg(F.sum("n").alias("words"), F.count("*").alias("rows"), F.countDistinct("suffix").alias("suffixes")).collect()
-    assert len({r.slot & 7 for r in slots}) > 2  # some are dealt by one word, some by more
-    assert sum(r.words for r in slots) == sum(len(t.split()) for _, t in own)
+    blocks = C._suffixes(table(spark, own).select("lang", "text"), sc.broadcast(np.full(1 << (C.BUCKET_BITS - 3), 255, np.uint8)), sc.broadcast(np.sort(hot)), 5, 64)
+    rows = blocks.mapInArrow(C._spread, "suffix binary, n long, depth tinyint").groupBy("depth").agg(F.sum("n").alias("words")).collect()
+    assert len(rows) > 2  # some are dealt by one word, some by more
+    assert sum(r.words for r in rows) == sum(len(t.split()) for _, t in own)
+    dealt = blocks.groupBy("bucket").agg(F.sum(F.length("block")).alias("bytes")).agg(F.max("bytes").alias("most"), F.avg("bytes").alias("mean")).first()
+    assert dealt.most < 12 * dealt.mean
+
+
+@pytest.mark.parametrize("batch", [1, 2, 5, 100_000])
+def test_the_stack_goes_on_from_batch_to_batch(batch):
+    rng = random.Random(batch)
+    words = ["a", "ab", "abc", "b", "\x01", "aa"]
+    rows = sorted({tuple([rng.choice(words), rng.choice(["00", "0011"]), *[rng.choice(words) for _ in range(rng.randrange(0, 5))]]) for _ in range(400)}, key=lambda r: b"\0".join(w.encode() for w in r), reverse=True)
+    n = [rng.randrange(1, 9) for _ in rows]
+    want = Counter()
+    for row, k in zip(rows, n):
+        for m in range(2, len(row) + 1):
+            want[row[:m]] += k
+    for least, depth in ((1, 1), (30, 1), (30, 3)):
+        stack, got = C._Stack(5, least), []
+        for i in range(0, len(rows), batch):
+            part = rows[i : i + batch]
+            stack.push(pa.array([b"\0".join(w.encode() for w in r) for r in part], pa.binary()), np.array(n[i : i + batch]), np.full(len(part), depth, np.int8))
+        stack.finish()
+        got = Counter({tuple(x.decode() for x in p.split(b"\0")): k for p, k in stack.closed})
+        assert len(stack.closed) == len(got) and got == {p: k for p, k in want.items() if k >= least or len(p) - 1 < depth}
 
 
 def test_query_is_brute_force_and_leaves_one_table(spark, tmp_path):
