@@ -11,8 +11,11 @@ kinds are reported only if what base64 or hex holds is well formed:
 - ssh: a public key blob of a known type, or an OpenSSH private key container.
 
 Certificates and other structures are no findings. A key may begin at any
-character of a run, whatever stands before it, and go on over line breaks with
-blanks about them; it must end where the run, or one of its lines, ends.
+character of a run, whatever stands before it, and go on over line breaks; it
+must end where the run, or one of its lines, ends. Line breaks may be written
+as backslash and n, as in JSON, and lines may stand in quotes or behind the
+marks of a comment or a list. Hex may have colons. What a run holds may itself
+be armoured or base64, which is read once more.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -46,12 +50,18 @@ CONTAINER = b"openssh-key-v1\0"
 # the shortest header, {"alg":1}, has 12 characters; a run is tried once, from its beginning
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+))?")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
-_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+# a break between lines: written out, or real, with closing and opening quotes, a joining mark, and marks of a comment or list about it
+_QUOTED = r"""["']?[ \t]*[,+.\\]?[ \t]*\r?\n[ \t]*"""
+_BREAK = rf"""(?:(?:\\r)?\\n(?:{_QUOTED}["']?)?|{_QUOTED}(?:(?:[#>*;|]+|//[ \t]|-[ \t])[ \t]*)?["']?)"""
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_BREAK}[A-Za-z0-9+/_-]+)*")
+_BREAKS, _BREAKS_RAW = re.compile(_BREAK), re.compile(_BREAK.encode())
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::(?:[ \t]*\r?\n[ \t]*)?[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f:])")
+_PAIR = re.compile(r"[0-9A-Fa-f]{2}")
+_INNER = re.compile(rb"[A-Za-z0-9+/_=\s-]{32,}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
 _SHORTEST = 24  # bytes of the shortest structure: 32 characters of base64, 48 of hex
 _GATE = bytes(0x78 if chr(b) in _ALPHABET + "_-" else 0x20 for b in range(256))
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----[A-Za-z0-9+/=\s]+-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----[^-]+-----END \1-----")
 _STARTS = re.compile(rb"(?s)(?=\x30[\x16-\x7f\x81-\x84]|\0\0\0.(?:ssh|ecdsa|sk)-|openssh-key-v1\0)")
 _JSON_STARTS = re.compile(rb"(?=\{[\"\s])")
 
@@ -216,9 +226,23 @@ def _decoded(run: str) -> Iterator[tuple[bytes, int, int, int]]:
                 yield bytes.fromhex(text[: len(text) & ~1]), m.start() + a, 2, 1
 
 
-def _keys(run: str, ends: set[int], hex_ends: set[int]) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, kind and detail of the keys in a run; ``ends`` are the places where one may end."""
+def _keys(run: str, ends: set[int], hex_ends: set[int], again: bool) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, kind and detail of the keys in a run; ``ends`` are the places where one may end.
+
+    With ``again``, what the run holds is also read as text that has keys.
+    """
     for raw, at, chars, group in _decoded(run):
+        if again:
+            inner = [(0, len(raw))] if b"-----BEGIN " in raw else [m.span() for m in _INNER.finditer(raw)]
+            for p, q in inner:
+                # where a line of the run ends, a line of what it holds may end too
+                cuts = sorted({c for e in ends if p < (c := (e - at) * group // chars) < q})
+                text = b"\n".join(raw[a:b] for a, b in zip([p, *cuts], [*cuts, q])).decode("latin-1")
+                breaks = [c - p + i for i, c in enumerate(cuts)]
+                for s in find_secrets(text, again=False):
+                    if s.kind in ("der", "ssh"):
+                        a, b = (p + x - bisect_left(breaks, x) for x in (s.start, s.end))
+                        yield at + a // group * chars, min(at + -(-b * chars // group), len(run)), s.kind, f"encoded {s.detail}"
         for m in _STARTS.finditer(raw):
             if m.start() % group:
                 continue
@@ -232,6 +256,17 @@ def _keys(run: str, ends: set[int], hex_ends: set[int]) -> Iterator[tuple[int, i
                 yield start, end, found[1], found[2]
 
 
+def _colon_keys(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, kind and detail of keys in hex with colons; one ends where its pairs or a line of them end."""
+    for m in _COLONS.finditer(text):
+        pairs = [p.start() for p in _PAIR.finditer(text, m.start(), m.end())]
+        raw = bytes(int(text[p : p + 2], 16) for p in pairs)
+        for s in _STARTS.finditer(raw):
+            found = _key_at(raw, s.start())
+            if found and (found[0] == len(raw) or pairs[found[0]] - pairs[found[0] - 1] > 3):
+                yield pairs[s.start()], pairs[found[0] - 1] + 2, found[1], found[2]
+
+
 def _token_at(header: str, payload: str, encrypted: bool) -> tuple[int, str] | None:
     """Where in ``header`` a token's own header begins, and its algorithm."""
     starts = []
@@ -268,13 +303,16 @@ def _tokens(text: str) -> Iterator[Span]:
 
 def _may_hold_key(raw: bytes) -> bool:
     """Whether some run, read across line breaks, is as long as the shortest structure."""
-    if b"\n" in raw:
-        raw = re.sub(rb"[ \t]*\r?\n[ \t]*", b"", raw)
+    if b"\n" in raw or b"\\n" in raw:
+        raw = _BREAKS_RAW.sub(b"", raw)
     return b"x" * 32 in raw.translate(_GATE)
 
 
-def find_secrets(text: str | None, gates: bool = True) -> list[Span]:
-    """All findings of a text, by start, then by kind; ``gates`` are byte searches that dismiss no text that holds one."""
+def find_secrets(text: str | None, gates: bool = True, again: bool = True) -> list[Span]:
+    """All findings of a text, by start, then by kind; ``gates`` are byte searches that dismiss no text that holds one.
+
+    ``again`` reads what base64 or hex holds as text once more.
+    """
     if not text:
         return []
     raw = text.encode("utf-8", "surrogatepass")
@@ -289,28 +327,45 @@ def find_secrets(text: str | None, gates: bool = True) -> list[Span]:
         tokens = list(_tokens(text))
         out += tokens
         covered = [(t.start, t.end) for t in tokens]
+    armours: list[tuple[int, int, str]] | None = None
+
+    def framed(lo: int, hi: int, kind: str, detail: str) -> Iterator[Span]:
+        nonlocal armours
+        if any(x <= lo and hi <= y for x, y in covered):
+            return
+        if armours is None:
+            armours = [(m.start(), m.end(), m[1]) for m in _ARMOUR.finditer(text)]
+        frame = next(((x, y, f"{name}: {detail}") for x, y, name in armours if x <= lo and hi <= y), (lo, hi, detail))
+        yield Span(frame[0], frame[1], kind, frame[2])
+
+    if not gates or raw.count(b":") >= 23:
+        for found in _colon_keys(text):
+            out += framed(*found)
     if not gates or _may_hold_key(raw):
         out += [Span(m.start(), m.end(), "hex", "") for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
-        armours = [(m.start(), m.end(), m[1]) for m in _ARMOUR.finditer(text)]
         for m in _RUN.finditer(text):
             if m.end() - m.start() < 32:
                 continue
-            # places in the run without its line breaks, and where they are in the text
-            lines = list(_LINE.finditer(text, m.start(), m.end()))
-            run, at, ends = "".join(x[0] for x in lines), [], set()
+            # the run without its breaks: where each line begins in it and in the text, and where lines end
+            run, at, ends, p = [], [], set(), m.start()
             n = 0
-            for x in lines:
-                at.append((n, x.start()))
-                n += len(x[0])
+            for b in [*_BREAKS.finditer(text, m.start(), m.end()), None]:
+                line = text[p : b.start() if b else m.end()]
+                at.append((n, p))
+                run.append(line)
+                n += len(line)
                 ends.add(n)
-            place = lambda i, side: next(b + i - a for a, b in reversed(at) if a < i + side)  # noqa: B023, E731
+                p = b.end() if b else p
+            run = "".join(run)
+            starts = [a for a, _ in at]
+
+            def place(i: int, side: int) -> int:
+                k = bisect_left(starts, i + side) - 1  # noqa: B023
+                return at[k][1] + i - at[k][0]  # noqa: B023
+
             hex_ends = {h.end() for h in _HEX_ANY.finditer(run)} | ends
-            for a, b, kind, detail in _keys(run, ends, hex_ends):
-                lo, hi = place(a, 1), place(b, 0)
-                if any(x <= lo and hi <= y for x, y in covered):
-                    continue
-                frame = next(((x, y, f"{name}: {detail}") for x, y, name in armours if x <= lo and hi <= y), (lo, hi, detail))
-                out.append(Span(frame[0], frame[1], kind, frame[2]))
+            for a, b, kind, detail in _keys(run, ends, hex_ends, again):
+                out += framed(place(a, 1), place(b, 0), kind, detail)
     return sorted(set(out), key=Span.key)
 
 

@@ -227,6 +227,48 @@ def test_keys_are_found_wherever_they_begin(detail):
     assert found(base64.b64encode(raw + b"x").decode()) == [] and found(base64.b64encode(raw[:-1]).decode()) == []
 
 
+@pytest.mark.parametrize("detail", KEYS)
+def test_keys_as_files_and_code_hold_them(detail):
+    raw = KEYS[detail]
+    b64 = base64.b64encode(raw).decode()
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    armour = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----", ""])
+    pairs = [raw.hex()[i : i + 2] for i in range(0, 2 * len(raw), 2)]
+    forms = {
+        "json": json.dumps({"type": "service", "private_key": armour, "id": "x"}),
+        "json, carriage returns": json.dumps({"private_key": armour.replace("\n", "\r\n")}),
+        "bare and escaped": "key=" + "\\n".join(x.rstrip("=") for x in lines) + " end",
+        **{f"behind {mark!r}": "".join(f"{mark}{x}\n" for x in armour.split("\n")) for mark in ("# ", "#", "// ", "   ", "> ", " * ", "; ", "- ", "| ")},
+        "quoted lines": "".join(f'    "{x}"\n' for x in armour.split("\n")),
+        "quoted lines with breaks": "".join(f'    "{x}\\n"\n' for x in armour.split("\n")),
+        "joined by plus": " +\n".join(f"'{x}\\n'" for x in armour.split("\n")),
+        "listed": ",\n".join(f'  "{x}"' for x in lines),
+        "continued": "\\\n".join(lines),
+        "base64 of a file": base64.b64encode(armour.encode()).decode(),
+        "base64 of a file, wrapped": base64.encodebytes(armour.encode()).decode(),
+        "base64 twice": "data: " + base64.b64encode(b64.encode()).decode(),
+        "hex of a file": armour.encode().hex(),
+        "hex with colons": ":".join(pairs),
+        "hex with colons, wrapped": ":\n    ".join(":".join(pairs[i : i + 15]) for i in range(0, len(pairs), 15)).upper(),
+    }
+    for name, text in forms.items():
+        for before, after in (("", ""), ("see\n", "\nand so on"), ("é x: ", "")):
+            got = [s for s in find_secrets(before + text + after) if s.kind in ("der", "ssh") and s.detail.endswith(detail)]
+            assert len(got) >= 1, name
+            assert got == [s for s in find_secrets(before + text + after, gates=False) if s.kind in ("der", "ssh") and s.detail.endswith(detail)]
+            cut = redact(before + text + after)
+            assert lines[0][8:40] not in cut and not [s for s in find_secrets(cut) if s.kind in ("der", "ssh")], name
+
+
+def test_breaks_and_marks_alone_cost_no_more_than_their_length():
+    import time
+
+    for piece in ('"\n', "# \n", "\\n", "ab\\n", ",\n\"a", "AA:", "a:\n", "-----BEGIN A-----\n", " \n", "\t" * 9 + "x", "QUJD\n# ", "+", "// "):
+        start = time.time()
+        find_secrets(piece * (400_000 // len(piece)))
+        assert time.time() - start < 8, piece
+
+
 def test_other_structures_are_no_keys():
     for raw in NO_KEYS:
         assert not {s.kind for t in (base64.b64encode(raw).decode(), raw.hex()) for s in find_secrets(t)} & {"der", "ssh"}
