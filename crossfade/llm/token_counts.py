@@ -39,6 +39,7 @@ _KEY = ("doc_id", "version")
 _ENTRY = "doc_id long, version string, source string, lang string, n_tokens long, alive boolean, seq long, bucket int"
 _DELTA = "source string, lang string, version string, d_docs long, d_tokens long"
 BUCKETS = 32  # of the ledger, by a hash of document and version; fixed for a folder by its first commit
+FILE_ROWS = 2_000_000  # rows of a ledger file, about; a bucket of more has several, each of which is a task's work
 COMPACT_EVERY = 8  # commits after which the ledger and the totals are written anew
 
 
@@ -54,7 +55,7 @@ def _encoding(vocabulary: str):
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, version: str = "byte-bpe-50k", words_version: str = "words", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, version, n_tokens, copy): two rows per document, one of byte-pair tokens, one of words split at blanks.
 
-    Whole texts are encoded; null counts as empty and has 0 tokens. ``copy`` is
+    Ids must be whole numbers. Whole texts are encoded; null counts as empty and has 0 tokens. ``copy`` is
     a digest of the text, equal for exact copies. Missing columns ``source``
     and ``lang`` count as null.
     """
@@ -113,7 +114,19 @@ class TokenRollup:
 
     def batches(self) -> list[str]:
         """Committed batches, oldest first."""
-        return _names(self._log()[0])
+        return [self._read_record(i)["batch"] for i in range(self._log()[1])]
+
+    def _marker(self, batch_id: str):
+        return self._path(f"{self.path}/batches/{batch_id}")
+
+    def _mark(self, log: list[dict]) -> None:
+        """A file by the name of each of the log's batches; without it a batch is known by its record alone."""
+        for record in log:
+            if not self._fs.exists(self._marker(record["batch"])):
+                self._fs.create(self._marker(record["batch"]), True).close()
+
+    def _known(self, batch_id: str, log: list[dict]) -> bool:
+        return any(r["batch"] == batch_id for r in log) or self._fs.exists(self._marker(batch_id))
 
     def _claim(self, seq: int, record: dict) -> bool:
         """Make the commit file of ``seq``, whole, unless it is there already."""
@@ -186,7 +199,7 @@ class TokenRollup:
         new = None
         while True:
             log, seq = self._log()
-            if batch_id in _names(log):
+            if self._known(batch_id, log):
                 scratch.clear()
                 return False
             if new is None:
@@ -223,7 +236,7 @@ class TokenRollup:
             F.col("bucket"),
         )
         # sorted by bucket, a task writes a file for each bucket that it holds; filters on the bucket skip whole files
-        entry.repartition("bucket").write.partitionBy("bucket").parquet(f"{to}/ledger")
+        self._dealt(entry, new.count(), record).write.partitionBy("bucket").parquet(f"{to}/ledger")
         back = self.spark.read.schema(_ENTRY + ", old struct<source:string,lang:string,n_tokens:long>").parquet(f"{to}/ledger")
         plus = F.struct("source", "lang", "version", F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
         minus = F.struct(F.col("old.source").alias("source"), F.col("old.lang").alias("lang"), "version", F.lit(-1).cast("long").alias("d_docs"), (-F.col("old.n_tokens")).alias("d_tokens"))
@@ -232,11 +245,14 @@ class TokenRollup:
         if record["compacted"]:
             after = [*log, record | {"compacted": False}]
             whole = self._ledger(after).select(*_KEY, "source", "lang", "n_tokens", F.lit(True).alias("alive"), F.lit(seq).cast("long").alias("seq"), "bucket")
-            whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{to}/base")
-            self._totals(after).coalesce(1).write.parquet(f"{to}/totals")
-            record["done"] = _names(log)
-
-
-def _names(log: list[dict]) -> list[str]:
-    """The batches of a log: those that its compacted commit lists, and its own."""
-    return [x for r in log for x in [*r.get("done", []), r["batch"]]]
+            totals = self._totals(after)
+            totals.coalesce(1).write.parquet(f"{to}/totals")
+            size = self.spark.read.schema(totals.schema).parquet(f"{to}/totals").agg(F.sum("d_docs")).first()[0] or 0
+            self._dealt(whole, size, record).write.partitionBy("bucket").parquet(f"{to}/base")
+            # whoever reads the log from this record on no longer sees the ones before it
+            self._mark(log)
+
+    def _dealt(self, rows: DataFrame, size: int, record: dict) -> DataFrame:
+        """Rows by bucket, each bucket to as many tasks and files as the number of rows asks for."""
+        shares = -(-size // (record["buckets"] * FILE_ROWS)) or 1
+        return rows.repartition("bucket", F.pmod(F.hash(*_KEY), F.lit(shares)))
