@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, give_back
+from .shared import columns_of, free_name, give_back
 
 MAX_BITS = 1 << 26  # 8 MB
 
@@ -62,12 +62,12 @@ def settle(df: DataFrame, key: Column, marks: DataFrame, always: Column | None =
     keep = free_name(df, "keep")
     marks = marks.select(F.col("mark").alias(mark), F.col("keep").alias(keep))
     maybe = sift(df, key, sent, True, always).withColumn(mark, key)
-    out = sift(df, key, sent, False, always).unionByName(maybe.join(marks, mark, "left_anti").select(*df.columns))
+    out = sift(df, key, sent, False, always).unionByName(maybe.join(marks, mark, "left_anti").select(*columns_of(df)))
     kept = marks.where(keep)
     if kept.isEmpty():
         return out
     # copies meet in part before the shuffle, however many there are
-    return out.unionByName(maybe.join(kept, mark).dropDuplicates([mark]).select(*df.columns))
+    return out.unionByName(maybe.join(kept, mark).dropDuplicates([mark]).select(*columns_of(df)))
 
 
 def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bittable import without
-from .shared import Scratch, free_name, give_back, materialize
+from .shared import Scratch, columns_of, free_name, give_back, materialize
 from .textcols import ALNUM_SPLIT, ALNUM_TRANSLATE, buffers, chunks, mix, scan_words
 
 BROADCAST_BYTES = 12 << 20  # windows in one broadcast, some 60 MB in a worker; more go in slices
@@ -238,10 +238,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", n:
         numbered = _numbered(docs, row)
         hits = materialize(_hits(numbered, row, text_col, table, parts, scratch), "hits-of-all")
         scratch.clear()
-        clean = without(numbered, row, hits.select("id")).select(*docs.columns)
+        clean = without(numbered, row, hits.select("id")).select(*columns_of(docs))
         if mode == "drop":
             return clean
-        hit = numbered.join(hits.select(F.col("id").alias(row), F.col("runs").alias(cut)), row).select(*docs.columns, cut)
+        hit = numbered.join(hits.select(F.col("id").alias(row), F.col("runs").alias(cut)), row).select(*columns_of(docs), cut)
 
         names = docs.columns
 

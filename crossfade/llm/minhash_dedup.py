@@ -268,17 +268,22 @@ def _parts(size: str, weight: str):
     return F.greatest(F.ceil(F.greatest(F.col(size) / F.lit(BLOCK_CLASSES), F.col(weight) / F.lit(BLOCK_SHINGLES))), F.lit(1)).cast("int")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Tiles that compare every class with one leader: the least class of any of its buckets."""
+def _stars(rows: DataFrame, scratch: Scratch, classes: int) -> DataFrame:
+    """Tiles that compare every class with one leader: the least class of any of its buckets.
+
+    What a leader or a bucket has in all is written before it is joined: a join
+    of two scans is shuffled on both sides, so that a hot one can be split.
+    """
     led = rows.where("k <> leader").groupBy("k").agg(F.min("leader").alias("leader"), F.first("n_shingles").alias("n_shingles"))
     counts = led.groupBy("leader").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).select("leader", _parts("size", "weight").alias("parts"))
+    led, counts = scratch.table(led, "led", classes), scratch.table(counts, "leaders", classes)
     block = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int") + 1
     members = led.join(counts, "leader").select(F.col("leader").alias("bucket"), F.lit(0).alias("lo"), block.alias("hi"), block.alias("own"), "k")
     leaders = counts.select(F.col("leader").alias("bucket"), F.lit(0).alias("lo"), F.explode(F.sequence(F.lit(1), "parts")).alias("hi"), F.lit(0).alias("own"), F.col("leader").alias("k"))
     return members.unionByName(leaders).select("*", F.col("k").alias("c"), F.lit(0).alias("band"))
 
 
-def _rest(rows: DataFrame) -> DataFrame:
+def _rest(rows: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
     """Tiles of the buckets that hold several components: of each, all others against all, but its largest component not against itself."""
     counts = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     open_ = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max(F.struct("n", "c", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("components"))
@@ -286,7 +291,7 @@ def _rest(rows: DataFrame) -> DataFrame:
     open_ = open_.withColumns({"n_rest": F.col("n") - F.col("n_main"), "w_rest": F.col("w") - F.col("w_main")})
     whole = _parts("n", "w") == 1
     open_ = open_.select("bucket", "main", F.when(whole, 1).otherwise(_parts("n_rest", "w_rest")).alias("rest"), F.when(whole, 0).otherwise(_parts("n_main", "w_main")).alias("mains"))
-    out = rows.join(open_, "bucket")
+    out = rows.join(scratch.table(open_, "open-buckets", buckets), "bucket")
     in_main = (F.col("mains") > 0) & (F.col("c") == F.col("main"))
     h = F.xxhash64("k")
     own = F.when(in_main, F.col("rest") + F.pmod(h, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
@@ -306,6 +311,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     band = reps.select("k", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
     stats = band.groupBy("bucket").agg(F.min("k").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
     count = reps.count()
+    stats = scratch.table(stats, "bucket-leaders", bands * count // 2)
     shared = scratch.table(band.join(stats, "bucket"), "buckets", bands * count)
     # the sketch, and four bytes of each band; of few classes that share no bucket besides
     sketches = reps.select(
@@ -318,14 +324,14 @@ def linked_classes(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: s
     stars = Scratch(docs.sparkSession)
     confirm = _Confirm(docs, reps, sketches, stars, id_col, text_col, width, percent, bands * rows)
     # a tile's links are a forest of its rows
-    links = confirm.links(_stars(shared))
+    links = confirm.links(_stars(shared, stars, count))
     first = components(links, confirm.tiles)
     stars.clear()
     drop_shuffles(docs.sparkSession)
     confirm.scratch = scratch
     known = first.select(F.col("node.k").alias("k"), F.col("component.k").alias("c"))
     placed = shared.join(known, "k", "left").select("bucket", "band", "k", "n_shingles", F.coalesce("c", "k").alias("c"))
-    more = confirm.links(_rest(placed))
+    more = confirm.links(_rest(placed, scratch, bands * count // 2))
     return components(more.union(first.where("node <> component")), confirm.tiles + count)
 
 
@@ -358,7 +364,7 @@ def near_duplicates(
 
     Null and empty texts have no shingles and are linked with nothing. A null
     id is no component's id: such a row takes the smallest other id of its
-    component (null, if none) and isn't kept. Repeated rows are documents of
+    component (null, if none) and isn't kept; other ids must be whole numbers. Repeated rows are documents of
     their own; those with one id are kept together. Other columns of ``docs``
     are ignored. An empty table gives an empty result.
     """

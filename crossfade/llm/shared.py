@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +63,11 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int
     return write_table(df, new_path(df.sparkSession, name), rows, per_task)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
