@@ -19,6 +19,8 @@ from .sources.storage import Folder
 #: Labels that are looked for, best first, where none are named.
 LABELS = ("labels.csv", "data/labels.csv", "data/examples/labels.csv", "data/examples/matched_labels.csv")
 
+AS_READ = "row_as_read"  # the column of a label's place in its file
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="crossfade", description=__doc__)
@@ -29,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--version", default="v1")
     c.add_argument("--cache", default=".dataset_cache")
     c.add_argument("--rebuild", action="store_true")
+    c.add_argument("--draws", action="store_true", help="also publish the rows in the order of their draws, for samples that read a part")
     b = sub.add_parser("labels", help="match pages of playlist items (playlist_id, page, body) to the catalog")
     b.add_argument("pages", help="JSON lines")
     b.add_argument("--catalog", default="catalog")
@@ -59,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--report", default="evaluation.md")
     e.add_argument("--per-split", help="a CSV file for the figures of every request")
     e.add_argument("--recommendations", help="a CSV file for everything shown")
+    e.add_argument("--skipped", help="a CSV file for every request that was left out, and why")
     e.add_argument("--readme", help="a README with a marked place for the short table")
     tuning = TuningConfig()
     t.add_argument("--trials", type=int, default=tuning.num_trials)
@@ -76,7 +80,10 @@ def main(args: list[str] | None = None) -> None:
 
 def _catalog(spark: SparkSession, a: argparse.Namespace) -> None:
     merged = K.merged_catalog(spark, a.inputs, a.cache, a.rebuild)
-    print(K.publish_catalog(merged, a.folder, a.version), f"{S.csv_rows(spark, a.inputs)} rows read, {merged.count()} kept")
+    artifact = K.publish_catalog(merged, a.folder, a.version)
+    if a.draws:
+        K.publish_draws(spark, artifact)
+    print(artifact, f"{S.csv_rows(spark, a.inputs)} rows read, {merged.count()} kept")
 
 
 def _labels(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -93,7 +100,7 @@ def _given(spark: SparkSession, a: argparse.Namespace):
     path = a.labels or S.first_existing(LABELS)
     if path is None:
         raise SystemExit(f"no labels: none of {', '.join(LABELS)} is there")
-    return S.current_artifact(a.catalog, a.catalog_path), S.read_csv(spark, Folder(spark, path).uri), path
+    return S.current_artifact(a.catalog, a.catalog_path), S.read_csv(spark, Folder(spark, path).uri, AS_READ), path
 
 
 def _config(a: argparse.Namespace, **more) -> BenchmarkConfig:
@@ -105,7 +112,7 @@ def _config(a: argparse.Namespace, **more) -> BenchmarkConfig:
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     artifact, raw, path = _given(spark, a)
     facts = label_facts(raw) | {"path": path, "sha256": K.sha256_file(spark, path)}
-    labels = normalize_memberships(raw, a.playlist_col)
+    labels = normalize_memberships(raw, a.playlist_col, AS_READ).drop(AS_READ)
     only = S.read_id_filter(spark, a.only) if a.only else None
     if only is not None:
         labels = filter_playlists(labels, only)
@@ -126,6 +133,8 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
         K.write_csv(result.per_split.orderBy("playlist_id", "split_id", "strategy"), a.per_split)
     if a.recommendations:
         K.write_csv(result.recommendations.orderBy("playlist_id", "split_id", "strategy", "rank"), a.recommendations)
+    if a.skipped:
+        K.write_csv(result.skipped.orderBy("playlist_id", "split_id"), a.skipped)
     if a.readme:
         P.update_readme(a.readme, data, a.report)
     result.release()
@@ -134,7 +143,7 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 def _tune(spark: SparkSession, a: argparse.Namespace) -> None:
     artifact, raw, _ = _given(spark, a)
     cfg = TuningConfig(num_trials=a.trials, test_fraction=a.test_fraction, weight_min=a.least_weight, weight_max=a.most_weight, min_playlists=a.min_playlists, benchmark=_config(a))
-    found = tune(S.read_catalog(spark, artifact), normalize_memberships(raw, a.playlist_col), cfg)
+    found = tune(S.read_catalog(spark, artifact), normalize_memberships(raw, a.playlist_col, AS_READ).drop(AS_READ), cfg)
     K.write_text(found.to_json() + "\n", a.output)
 
 

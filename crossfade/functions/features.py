@@ -54,42 +54,54 @@ def with_transformed(df: DataFrame, features: Sequence[str] = FEATURES) -> DataF
 
 
 SKETCH = 10_000  # of a quantile sketch: ranks are off by one part in so many
+GATHERED = 50_000  # values of a column that are brought together for its median, at most
 
 
 def wide_medians(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """One row of exact medians, {name: column}, that gathers a few thousandths of the values at most.
-
-    A mergeable sketch gives two values close about the median. A second pass
-    counts what lies below and at them and gathers what lies strictly between,
-    from which the ranks of the median are picked. A value that many rows share
-    is only counted.
+    """One row of exact medians, {name: column}, for which a bounded number of values is gathered.
+
+    A mergeable sketch gives two values close about the median. Counts of what
+    lies below, at and between them say where the median's ranks are, and as
+    long as more than ``GATHERED`` may lie between, a sketch of those alone
+    moves the two closer, to about a thousandth at a time. The scans for that
+    run here and now and bring a few numbers to the driver; the last one, which
+    gathers what is left between, runs when the row is asked for. A value that
+    many rows share is only counted.
     """
     off = 4 / SKETCH
-    ends = df.agg(*[F.percentile_approx(c, F.array(F.lit(0.5 - off), F.lit(0.5 + off)), F.lit(SKETCH)).alias(f"e_{k}") for k, c in columns.items()])
-    wide = df.crossJoin(F.broadcast(ends))
+    around = lambda x, q: F.percentile_approx(x, F.array(*[F.lit(min(1.0, max(0.0, q + o))) for o in (-off, off)]), F.lit(SKETCH))
+    first = df.agg(*[a for k, c in columns.items() for a in (around(c, 0.5).alias(f"e_{k}"), F.count(c).alias(f"n_{k}"))]).first()
+    size = {k: first[f"n_{k}"] for k in columns if first[f"n_{k}"]}
+    ends = {k: tuple(first[f"e_{k}"]) for k in size}
+    # ranks are off by no more than one part in SKETCH on either side
+    most = {k: size[k] * 10 / SKETCH + 2 for k in size}
+    between = lambda k: (F.col(columns[k]) > ends[k][0]) & (F.col(columns[k]) < ends[k][1])
+    while wide := [k for k in size if most[k] > GATHERED]:
+        counts = df.agg(*[a for k in wide for a in (F.count_if(F.col(columns[k]) <= ends[k][0]).alias(f"below_{k}"), F.count_if(between(k)).alias(f"in_{k}"))]).first()
+        left = {k: (size[k] - 1) / 2 - counts[f"below_{k}"] for k in wide}
+        some = [k for k in wide if counts[f"in_{k}"] > GATHERED]
+        most |= {k: counts[f"in_{k}"] for k in wide}
+        if some:
+            nearer = df.agg(*[around(F.when(between(k), F.col(columns[k])), left[k] / counts[f"in_{k}"]).alias(f"e_{k}") for k in some]).first()
+            for k in some:
+                # an end that may be beyond a rank of the median stays as it was
+                low, high = nearer[f"e_{k}"]
+                q = left[k] / counts[f"in_{k}"]
+                ends[k] = (low if q > off else ends[k][0], high if q < 1 - off else ends[k][1])
+                most[k] = counts[f"in_{k}"] * 10 / SKETCH + 2
     parts = []
-    for k, c in columns.items():
-        lo, hi, x = F.col(f"e_{k}")[0], F.col(f"e_{k}")[1], F.col(c)
-        parts += [
-            F.count(x).alias(f"n_{k}"),
-            F.count_if(x < lo).alias(f"below_{k}"),
-            F.count_if(x == lo).alias(f"lo_{k}"),
-            F.collect_list(F.when((x > lo) & (x < hi), x)).alias(f"between_{k}"),
-            F.first(f"e_{k}", ignorenulls=True).alias(f"e_{k}"),
-        ]
-    out = wide.agg(*parts)
-
-    def at(k: str, rank: Column) -> Column:
-        """The value of a rank from 0."""
-        left = rank - F.col(f"below_{k}") - F.col(f"lo_{k}")
-        between = F.array_sort(F.col(f"between_{k}"))
-        return F.when(left < 0, F.col(f"e_{k}")[0]).when(left < F.size(f"between_{k}"), F.get(between, left.cast("int"))).otherwise(F.col(f"e_{k}")[1])
+    for k in size:
+        x, (lo, hi) = F.col(columns[k]), ends[k]
+        parts += [F.count_if(x < lo).alias(f"below_{k}"), F.count_if(x == lo).alias(f"lo_{k}"), F.collect_list(F.when(between(k), x)).alias(f"between_{k}")]
+    out = df.agg(F.lit(1).alias("one"), *parts)
 
-    def middle(k: str) -> Column:
-        n = F.col(f"n_{k}")
-        return (at(k, F.floor((n - 1) / 2)) + at(k, F.floor(n / 2))) / 2
+    def at(k: str, rank: int) -> Column:
+        """The value of a rank from 0."""
+        left = F.lit(rank) - F.col(f"below_{k}") - F.col(f"lo_{k}")
+        return F.when(left < 0, F.lit(ends[k][0])).when(left < F.size(f"between_{k}"), F.get(F.array_sort(f"between_{k}"), left.cast("int"))).otherwise(F.lit(ends[k][1]))
 
-    return out.select(*[F.when(F.col(f"n_{k}") > 0, middle(k)).alias(k) for k in columns])
+    middle = lambda k: (at(k, (size[k] - 1) // 2) + at(k, size[k] // 2)) / 2
+    return out.select(*[(middle(k) if k in size else F.lit(None).cast("double")).alias(k) for k in columns])
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:

@@ -1,14 +1,15 @@
 """Text cleaning and canonical forms as column expressions.
 
-Only three steps need Python: the compatibility fold and the case fold of texts
-beyond ASCII, and the parsing of serialised lists. All are Arrow UDFs whose
-input is null for the rows that don't need them.
+Only two steps need Python: the case fold of lists beyond ASCII and the parsing
+of serialised lists. Both are Arrow UDFs whose input is null for the rows that
+don't need them.
 """
 
 from __future__ import annotations
 
 import ast
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,9 +21,33 @@ from ..schema import MATCH_VARIANTS, SETTING_RANGE, TITLE_VARIANTS
 _ANY = "|".join(TITLE_VARIANTS)
 
 
-@F.pandas_udf(StringType())
-def _fold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+@cache
+def _fold_steps() -> list[tuple[str, str]]:
+    """What each character beyond ASCII leaves of itself, as (characters, first letters), (characters, second letters) and so on.
+
+    From the compatibility decomposition of every code point: letters stay,
+    marks go, and a ligature or a unit gives several letters.
+    """
+    left = {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if plain:
+            left[chr(code)] = plain
+    steps = []
+    for k in range(max(map(len, left.values()))):
+        has = [c for c in left if len(left[c]) > k]
+        steps.append(("".join(has), "".join(left[c][k] for c in has)))
+    return steps
+
+
+def _fold(c: Column) -> Column:
+    (chars, letters), *more = _fold_steps()
+    ascii_ = "".join(map(chr, range(0x80)))  # without a letter in the places behind the first
+    pieces = lambda ch: F.concat(F.translate(ch, chars, letters), *[F.translate(ch, several + ascii_, then) for several, then in more])
+    several = F.array_join(F.transform(F.split(c, ""), pieces), "")
+    # most texts have no character of several letters: one translation of the whole will do
+    plain = F.when(F.length(F.translate(c, more[0][0], "")) == F.length(c), F.translate(c, chars, letters)).otherwise(several)
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -53,7 +78,7 @@ def fold_ascii(c: Column) -> Column:
     """Accents folded, whatever is left beyond ASCII dropped; null becomes empty."""
     c = F.coalesce(c, F.lit(""))
     foreign = c.rlike(r"[^\x00-\x7F]")
-    return F.when(foreign, _fold(F.when(foreign, c))).otherwise(c)
+    return F.when(foreign, _fold(c)).otherwise(c)
 
 
 def _squeeze(c: Column) -> Column:

@@ -9,7 +9,7 @@ forms go along with the text that they belong to.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions.features import numeric
 from ..schema import DEDUPE_BUCKET_MS, DURATION_TOLERANCE_MS
 from ..sources.tables import map_header, text_column
+from .durations import fold_in_order
 
 # fixed values: the columns of the merged catalog
 UNIT_FEATURES = ("danceability", "energy", "valence", "speechiness", "acousticness", "instrumentalness", "liveness")
@@ -64,13 +65,18 @@ def normalize(df: DataFrame, known: Column | None = None, columns: Mapping[str,
     return df.select(*[fields[c].alias(c) for c in COLUMNS], (order if order is not None else F.monotonically_increasing_id()).alias("ord"))
 
 
+def _order(df: DataFrame, table: int) -> Column:
+    """The order of rows over all tables: by table, then by its own ``ord``, or as it happens to be read."""
+    return F.lit(table << 50) + (F.col("ord").cast("long") if "ord" in df.columns else F.monotonically_increasing_id())
+
+
 def known_names(frames: Sequence[DataFrame]) -> DataFrame:
     """(key, name) of artists whose own name has commas, from columns that hold one artist or a list; the first spelling stays."""
     parts = []
     for i, df in enumerate(frames):
         name = map_header(df.columns)["artists"]
         if name and name.lower() != "artist_names":
-            found = df.select(F.explode(T.parse_artists(text_column(df, name), name)).alias("name"), (F.lit(i << 40) + F.monotonically_increasing_id()).alias("ord"))
+            found = df.select(F.explode(T.parse_artists(text_column(df, name), name)).alias("name"), _order(df, i).alias("ord"))
             parts.append(found.withColumn("parts", T.split_names(F.col("name"))).where("size(parts) > 1").select(T.name_key(F.col("parts")).alias("key"), "name", "ord"))
     if not parts:
         return frames[0].sparkSession.createDataFrame([], "key string, name string") if frames else None
@@ -105,7 +111,7 @@ def union_normalized(frames: Sequence[DataFrame], known: DataFrame | None = None
     parts = []
     for i, df in enumerate(frames):
         columns = map_header(df.columns)
-        order = F.lit(i << 50) + (F.col("ord").cast("long") if "ord" in df.columns else F.monotonically_increasing_id())
+        order = _order(df, i)
         wide, names = with_known(df, known) if known is not None else (df, None)
         parts.append(normalize(wide, names, columns, order))
     return reduce(DataFrame.unionByName, parts)
@@ -131,12 +137,19 @@ def _with_form(text: str, form: str, size: Column) -> Column:
     return F.max_by(F.struct(text, form), F.when(size > 0, F.struct(size, -F.col("ord"))))
 
 
-def merge_by(rows: DataFrame, key: Sequence[Column], step: int) -> DataFrame:
-    """Rows of one key as one row; rows without a key follow, unchanged, behind all merged ones."""
+def merge_by(rows: DataFrame, key: Sequence[Column], step: int, ranged: bool = False) -> DataFrame:
+    """Rows of one key as one row; rows without a key follow, unchanged, behind all merged ones.
+
+    All of it is one aggregation, which gathers the durations of a key in one
+    row. With ``ranged`` none are gathered: keys whose durations lie apart are
+    folded by ranges of rows (see ``durations``), for which ``rows`` are read
+    again; they should then be a table.
+    """
     present = F.coalesce(reduce(lambda a, b: a & b, [k.isNotNull() for k in key]), F.lit(False))
     names = [f"_k{i}" for i in range(len(key))]
     marked = rows.select("*", *[F.when(present, k).alias(n) for n, k in zip(names, key, strict=True)], F.when(~present, F.col("ord")).alias("_own"))
     firsts = ["track_id", "isrc", *UNIT_FEATURES, *OTHER_FEATURES]
+    gathered = fold_durations(F.collect_list(F.when(F.col("duration_ms").isNotNull(), F.struct("ord", F.col("duration_ms").alias("d")))))
     out = marked.groupBy(*names, "_own").agg(
         *[_first(c).alias(c) for c in firsts],
         _with_form("title_raw", "title_canon", F.char_length("title_raw")).alias("_title"),
@@ -147,7 +160,7 @@ def merge_by(rows: DataFrame, key: Sequence[Column], step: int) -> DataFrame:
         F.max("popularity").alias("popularity"),
         F.bool_or("explicit").alias("explicit"),
         F.max("release_year").alias("release_year"),
-        fold_durations(F.collect_list(F.when(F.col("duration_ms").isNotNull(), F.struct("ord", F.col("duration_ms").alias("d"))))).alias("duration_ms"),
+        *([F.min("duration_ms").alias("_low"), F.max("duration_ms").alias("duration_ms")] if ranged else [gathered.alias("duration_ms")]),
         F.min("ord").alias("ord"),
     )
     out = out.withColumns(
@@ -159,23 +172,29 @@ def merge_by(rows: DataFrame, key: Sequence[Column], step: int) -> DataFrame:
             "ord": F.when(F.col("_own").isNotNull(), F.col("ord") + F.lit(_PASS[step])).otherwise(F.col("ord")),
         }
     )
+    if not ranged:
+        return out.select(*COLUMNS, "ord")
+    # durations that are all within the tolerance end at the longest; only of other keys does their order matter
+    apart = out.where(F.col("duration_ms") - F.col("_low") > DURATION_TOLERANCE_MS).select(*names)
+    folded = fold_in_order(marked.select(*names, "ord", "duration_ms").join(apart, names, "left_semi"), names, "ord", "duration_ms", "_folded")
+    out = out.join(folded, names, "left").withColumn("duration_ms", F.coalesce("_folded", "duration_ms"))
     return out.select(*COLUMNS, "ord")
 
 
-def merge_by_id(rows: DataFrame) -> DataFrame:
-    return merge_by(rows, [F.col("track_id")], 0)
+def merge_by_id(rows: DataFrame, ranged: bool = False) -> DataFrame:
+    return merge_by(rows, [F.col("track_id")], 0, ranged)
 
 
-def merge_by_isrc(rows: DataFrame) -> DataFrame:
-    return merge_by(rows, [F.col("isrc")], 1)
+def merge_by_isrc(rows: DataFrame, ranged: bool = False) -> DataFrame:
+    return merge_by(rows, [F.col("isrc")], 1, ranged)
 
 
-def merge_by_canon(rows: DataFrame, bucket_ms: int = DEDUPE_BUCKET_MS) -> DataFrame:
+def merge_by_canon(rows: DataFrame, bucket_ms: int = DEDUPE_BUCKET_MS, ranged: bool = False) -> DataFrame:
     """By canonical title, artist and duration bucket (rounded half to even); an empty name or no duration is no key."""
     if bucket_ms <= 0:
         raise ValueError("the bucket must be longer than zero")
     bucket = F.rint(F.col("duration_ms") / F.lit(bucket_ms)).cast("long")
-    return merge_by(rows, [F.nullif("title_canon", F.lit("")), F.nullif("artist_primary_canon", F.lit("")), bucket], 2)
+    return merge_by(rows, [F.nullif("title_canon", F.lit("")), F.nullif("artist_primary_canon", F.lit("")), bucket], 2, ranged)
 
 
 def drop_repeats(rows: DataFrame) -> DataFrame:
@@ -184,10 +203,18 @@ def drop_repeats(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge_tables(frames: Sequence[DataFrame], bucket_ms: int = DEDUPE_BUCKET_MS) -> DataFrame:
-    """All passes; the result still has ``ord``, the order of its rows."""
-    rows = union_normalized(frames)
-    return drop_repeats(merge_by_canon(merge_by_isrc(merge_by_id(rows)), bucket_ms))
+def merge_tables(frames: Sequence[DataFrame], bucket_ms: int = DEDUPE_BUCKET_MS, write: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """All passes; the result still has ``ord``, the order of its rows.
+
+    ``write`` writes a pass's rows under a name and reads them back. With it no
+    key's rows are gathered, however many there are; without it the passes are one plan.
+    """
+    keep = write or (lambda rows, name: rows)
+    ranged = write is not None
+    rows = keep(union_normalized(frames), "normalized")
+    rows = keep(merge_by_id(rows, ranged), "by-id")
+    rows = keep(merge_by_isrc(rows, ranged), "by-isrc")
+    return drop_repeats(merge_by_canon(rows, bucket_ms, ranged))
 
 
 def reduction_rate(raw: Column, merged: Column) -> Column:

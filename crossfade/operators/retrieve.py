@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_key
 from ..schema import CANDIDATE_LIMIT, CatalogError
 
+DRAW = "draw"  # the column of a table in the order of its draws
+SLACK = 1.3  # more rows are read than would do on average, so that one bound mostly does
+PUSHED_IDS = 64  # ids that go to the scan as comparisons, so that it skips what can't hold them
 LIST_BOUND = 50_000  # ids or artists sent along as one broadcast table; more are joined by a shuffle
 
 
@@ -62,11 +66,43 @@ def count_candidates(catalog: DataFrame, **bounds) -> int:
     return filter_candidates(catalog, **bounds).count()
 
 
+def _draw(df: DataFrame, seed: int | str) -> Column:
+    key = F.coalesce(F.col("track_id"), *([F.col("title_canon")] if "title_canon" in df.columns else []), F.lit(""))
+    return draw_key(seed, key)
+
+
 def bounded_sample(candidates: DataFrame, limit: int = CANDIDATE_LIMIT, seed: int | str = 0) -> DataFrame:
     """A reproducible sample of at most ``limit`` rows: a top-k, not a sort."""
-    names = candidates.columns
-    key = F.coalesce(F.col("track_id"), *([F.col("title_canon")] if "title_canon" in names else []), F.lit(""))
-    return candidates.orderBy(draw_key(seed, key), "track_id").limit(limit)
+    return candidates.orderBy(_draw(candidates, seed), "track_id").limit(limit)
+
+
+def in_order_of_draws(catalog: DataFrame, seed: int | str = 0) -> DataFrame:
+    """The catalog with its draws, ranged and sorted by them: as a table, it lets a sample read a part alone."""
+    return catalog.withColumn(DRAW, _draw(catalog, seed)).repartitionByRange(DRAW).sortWithinPartitions(DRAW)
+
+
+def ordered_sample(ordered: DataFrame, limit: int, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``bounded_sample`` takes of ``choose(catalog)``, from a table in the order of its draws.
+
+    A bound on the draw goes to the scan, which skips what lies beyond. It is
+    estimated from the number of rows, and widened by what was found below it
+    until enough are; with all draws below it, it is the whole.
+    """
+    total, share, found = ordered.count(), 0.0, 0
+    while found < limit and share < 1:
+        # of so many rows as were found below the last bound, or of all if none was tried
+        rate = found / (total * share) if share else 1.0
+        share = min(1.0, max(2 * share, SLACK * limit / (max(rate, 1e-9) * max(total, 1))))
+        below = ordered.where(F.col(DRAW) < f"{int(share * (1 << 52)):013x}") if share < 1 else ordered
+        found = choose(below).limit(limit).count()
+    return choose(below).orderBy(DRAW, "track_id").limit(limit).drop(DRAW)
+
+
+def _with_ids(catalog: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows that may have one of some ids; of few of them as comparisons that a scan can take over, each for itself."""
+    if not 0 < len(ids) <= PUSHED_IDS:
+        return catalog
+    return catalog.where(reduce(lambda a, b: a | b, [F.col("track_id") == v for v in ids]))
 
 
 def load_tracks(catalog: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -74,7 +110,7 @@ def load_tracks(catalog: DataFrame, ids: Sequence[str]) -> DataFrame:
     wanted = ordered_distinct(ids)
     spark = catalog.sparkSession
     asked = spark.createDataFrame([(v, i) for i, v in enumerate(wanted)], "track_id string, asked int")
-    return catalog.join(F.broadcast(asked) if len(wanted) <= LIST_BOUND else asked, "track_id").orderBy("asked").drop("asked")
+    return _with_ids(catalog, wanted).join(F.broadcast(asked) if len(wanted) <= LIST_BOUND else asked, "track_id").orderBy("asked").drop("asked")
 
 
 def load_seeds(catalog: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -122,12 +158,15 @@ def prepare(
     limit: int = CANDIDATE_LIMIT,
     fit_on: str = "candidates",
     seen: DataFrame | None = None,
+    ordered: DataFrame | None = None,
 ) -> Prepared:
     """The pool for one request: bounds, exclusions, the bounded sample.
 
     With fewer than ``top_n`` candidates the lower popularity bound is dropped,
     and nothing else. ``fit_on`` tells what the scaler sees: the pool, or the
     whole ``catalog``. ``seen`` (track_id) is a list of any length to leave out.
+    ``ordered`` is the same catalog as a table in the order of its draws, of
+    which the sample reads a part.
     """
     if fit_on not in ("candidates", "catalog"):
         raise ValueError(f"unknown scaler source: {fit_on}")
@@ -137,10 +176,13 @@ def prepare(
 
     def pool(bound: float | None) -> DataFrame:
         # at most ``limit`` rows, read by the count, the fits and the scores
-        rows = filter_candidates(catalog, ids, artists, bound, None, year_range)
-        if seen is not None:
-            rows = rows.where("track_id is not null").join(seen.select("track_id"), "track_id", "left_anti").select(*rows.columns)
-        return bounded_sample(rows, limit).persist()
+        def choose(source: DataFrame) -> DataFrame:
+            rows = filter_candidates(source, ids, artists, bound, None, year_range)
+            if seen is not None:
+                rows = rows.where("track_id is not null").join(seen.select("track_id"), "track_id", "left_anti").select(*rows.columns)
+            return rows
+
+        return (bounded_sample(choose(catalog), limit) if ordered is None else ordered_sample(ordered, limit, choose)).persist()
 
     bound = min_popularity
     candidates = pool(bound)

@@ -167,9 +167,14 @@ FROM (SELECT *, row_number() OVER (ORDER BY score DESC, track_id)::INTEGER AS ra
 
 
 
-def _values(column: str, values) -> str:
-    rows = ", ".join("('" + v.replace("'", "''") + "')" for v in values)
-    return f"(VALUES {rows}) AS v({column})"
+def _form(key: str, fill: str, forms) -> str:
+    """By a row's key one of the forms, filled."""
+    quoted = ", ".join("'" + f.replace("'", "''") + "'" for f in forms)
+    return f"replace(([{quoted}])[{key} % {len(forms)} + 1], '{{}}', {fill}::VARCHAR)"
+
+
+def _formed(table: str, key: str, fill: str, column: str, forms) -> str:
+    return f"(SELECT {key}, {fill}, {_form(key, fill, forms)} AS {column} FROM {table})"
 
 
 # merge
@@ -328,7 +333,7 @@ _FILTER = "coalesce(popularity, 0) >= 20 AND track_id NOT IN ('1', '2') AND arti
 
 
 def oracle_sql() -> dict[str, str]:
-    from .queries import ARTIST_FIELDS, EDGE_TITLES
+    from .queries import ARTIST_FIELDS, ARTIST_NAMES, BOOLEANS, EDGE_TITLES, PLAYLIST_REFERENCES
 
     cat = f"WITH {TRACKS}"
     lab = f"WITH {MEMBERSHIPS}"
@@ -339,11 +344,9 @@ def oracle_sql() -> dict[str, str]:
   ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, track_id) AS r FROM s QUALIFY r <= 30),
   drawn AS (SELECT *, row_number() OVER (ORDER BY -ln(greatest({UNIT.format("'3:' || track_id")}, 1e-300)) / exp(-(r - 1) / 10), track_id) AS k FROM ranked)
 SELECT row_number() OVER (ORDER BY r)::INTEGER AS rank, track_id, {r6('score')} AS score FROM drawn WHERE k <= 10"""
-    many = {"Tyler, The Creator, Kali Uchis": "Tyler, The Creator|Kali Uchis", "Solo": "Solo", " A , B ,, C": "A|B|C", "['X', ' Y ']": "X|Y", "Earth, Wind, Fire": "Earth, Wind, Fire", "": "",
-            "Fire, Earth, Wind, Fire, Water": "Fire|Earth, Wind, Fire|Water", "Crosby, Stills": "Crosby|Stills"}
-    one = {f: ("X|Y" if f.startswith("[") else f.strip()) for f in ARTIST_FIELDS}
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    parsed = ", ".join(f"({q(f)}, {q(many[f])}, {q(one[f])})" for f in ARTIST_FIELDS)
+    names, as_name, as_text = zip(*ARTIST_NAMES)
+    fields, many, one = zip(*ARTIST_FIELDS)
+    brand = lambda forms, fill="p_brand": _form("p_partkey", fill, forms)
     return {
         "catalog_scan": f"{cat} SELECT track_id, title_raw, title_canon, artist_primary_canon, popularity, release_year, duration_ms, {each('round(@, 6) + 0.0::DOUBLE AS @', [f for f in FEATURES if f != 'duration_ms'])} FROM catalog",
         "typed_projection": f"{cat} SELECT track_id, release_year::SMALLINT AS release_year, duration_ms, {each('round(@::FLOAT::DOUBLE, 6) + 0.0::DOUBLE AS @', ['popularity', 'energy', 'tempo', 'loudness'])} FROM catalog",
@@ -356,14 +359,14 @@ SELECT row_number() OVER (ORDER BY r)::INTEGER AS rank, track_id, {r6('score')}
         "exclude_same_artist": f"{cat}, {MEMBERSHIPS}, {SEEDS} SELECT track_id, artist_primary_canon FROM catalog WHERE coalesce(popularity, 0) >= 20 AND track_id NOT IN (SELECT track_id FROM seeds) AND artist_primary_canon NOT IN (SELECT artist_primary_canon FROM seeds)",
         "seen_exclusion": f"{cat} SELECT track_id FROM catalog WHERE coalesce(popularity, 0) >= 20 AND track_id NOT IN (SELECT (user_id * 3)::VARCHAR FROM events WHERE event_type = 'view')",
         "canon_title": f"WITH {ITEMS} SELECT DISTINCT title, {canon('title')} AS canon FROM raw_items",
-        "canon_title_edges": f"SELECT title, {canon('title')} AS canon FROM {_values('title', EDGE_TITLES)}",
-        "canon_artist": "SELECT * FROM (VALUES ('Beyoncé', 'beyonce', 'beyonce'), ('  The   Band ', 'the band', 'the band'), ('Tyler, The Creator', 'tyler, the creator', 'tyler'), ('AC/DC', 'ac/dc', 'ac/dc'), ('', '', ''), ('[''Björk'', ''X'']', '[''bjork'', ''x'']', 'bjork'), ('Sigur Rós, Guest', 'sigur ros, guest', 'sigur ros')) AS v(name, as_name, as_text)",
-        "parse_artists": f"SELECT * FROM (VALUES {parsed}) AS v(field, many, one)",
-        "parse_bool": "SELECT v, CASE WHEN lower(trim(v)) IN ('true', '1', 'yes', '1.0') THEN true WHEN lower(trim(v)) IN ('false', '0', 'no', '0.0') THEN false END AS b FROM " + _values("v", ["True", " yes ", "1", "0", "FALSE", "no", "maybe", "", "1.0"]),
-        "playlist_id_extract": "SELECT v, coalesce(nullif(regexp_extract(trim(v), 'playlist[/:]([A-Za-z0-9]+)', 1), ''), nullif(regexp_extract(trim(v), '^([A-Za-z0-9]+)$', 1), '')) AS id FROM " + _values("v", ["https://open.example/playlist/AbC123?si=x", "service:playlist:Zz9", "37i9dQ", "not a playlist!", "https://x/playlist/", " 5Q "]),
+        "canon_title_edges": f"SELECT p_partkey, title, {canon('title')} AS canon FROM {_formed('part', 'p_partkey', 'p_name', 'title', EDGE_TITLES)}",
+        "canon_artist": f"SELECT p_partkey, {brand(names)} AS name, {brand(as_name, 'lower(p_brand)')} AS as_name, {brand(as_text, 'lower(p_brand)')} AS as_text FROM part",
+        "parse_artists": f"SELECT p_partkey, {brand(fields)} AS field, {brand(many)} AS many, {brand(one)} AS one FROM part",
+        "parse_bool": f"SELECT o_orderkey, v, CASE WHEN lower(trim(v)) IN ('true', '1', 'yes', '1.0') THEN true WHEN lower(trim(v)) IN ('false', '0', 'no', '0.0') THEN false END AS b FROM {_formed('orders', 'o_orderkey', 'o_orderstatus', 'v', BOOLEANS)}",
+        "playlist_id_extract": f"SELECT c_custkey, v, coalesce(nullif(regexp_extract(trim(v), 'playlist[/:]([A-Za-z0-9]+)', 1), ''), nullif(regexp_extract(trim(v), '^([A-Za-z0-9]+)$', 1), '')) AS id FROM {_formed('customer', 'c_custkey', 'c_nationkey', 'v', PLAYLIST_REFERENCES)}",
         "artist_display": f"WITH {ITEMS} SELECT DISTINCT artist AS first, artist || ', Guest' AS shown, 'Unknown artist' AS unknown FROM raw_items",
         "track_uris": f"WITH {ITEMS} SELECT DISTINCT 'track:' || source_track_id AS uri FROM raw_items WHERE source_track_id IS NOT NULL",
-        "setting_scale": "SELECT setting, round((greatest(1, least(10, setting)) - 5.5) / 9, 6) + 0.0::DOUBLE AS shift FROM (SELECT unnest([0.0, 1.0, 3.25, 5.5, 10.0, 12.0])::DOUBLE AS setting)",
+        "setting_scale": "SELECT setting, round((greatest(1, least(10, setting)) - 5.5) / 9, 6) + 0.0::DOUBLE AS shift FROM (SELECT DISTINCT (l_quantity - 2) / 4 AS setting FROM lineitem)",
         "source_identity": f"WITH {ITEMS} SELECT substr(item_key, 1, 1) AS kind, count(*) AS n, count(DISTINCT item_key) AS n_keys FROM keyed GROUP BY 1",
         "normalize_rows": _merged("", "norm"),
         "known_comma_artists": "SELECT DISTINCT lower(p_brand) || '|the ' || lower(p_type) AS key, p_brand || ', The ' || p_type AS name FROM part",

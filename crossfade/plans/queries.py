@@ -77,11 +77,14 @@ def point_lookup(spark, d):
 
 def fallback_candidates(spark, d):
     p = C.prepare(*_request(spark, d), TOP, min_popularity=101)
+    _KEPT.append(p.candidates)
     return p.candidates.select("track_id", F.lit(p.min_popularity is None).alias("bound_dropped"))
 
 
 def exclude_same_artist(spark, d):
-    return C.prepare(*_request(spark, d), TOP, same_artist_exclusion=True).candidates.select("track_id", "artist_primary_canon")
+    p = C.prepare(*_request(spark, d), TOP, same_artist_exclusion=True)
+    _KEPT.append(p.candidates)
+    return p.candidates.select("track_id", "artist_primary_canon")
 
 
 def seen_exclusion(spark, d):
@@ -103,37 +106,57 @@ EDGE_TITLES = (
 )
 
 
-def _values(spark, column: str, values) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("string") for v in values])).alias(column))
+def _formed(spark, d, name: str, key: str, fill: str, column: str, forms) -> DataFrame:
+    """A table's rows with a text each: by its key one of ``forms``, filled with another column."""
+    form = F.get(F.array(*[F.lit(f) for f in forms]), (F.col(key) % len(forms)).cast("int"))
+    return S.table(spark, d, name).select(key, F.col(fill), F.replace(form, F.lit("{}"), F.col(fill).cast("string")).alias(column))
 
 
 def canon_title_edges(spark, d):
-    return _values(spark, "title", EDGE_TITLES).select("title", T.canon_title(F.col("title")).alias("canon"))
+    return _formed(spark, d, "part", "p_partkey", "p_name", "title", EDGE_TITLES).select("p_partkey", "title", T.canon_title(F.col("title")).alias("canon"))
+
+
+#: Names, their canonical form as one name, and as a text of several.
+ARTIST_NAMES = (
+    ("{}", "{}", "{}"), ("  The   {} ", "the {}", "the {}"), ("{} é Björk", "{} e bjork", "{} e bjork"), ("{}, The Creator", "{}, the creator", "{}"),
+    ("AC/{}", "ac/{}", "ac/{}"), ("['{}', 'X']", "['{}', 'x']", "{}"), ("", "", ""), ("ﬁ{}½", "fi{}12", "fi{}12"),
+)
 
 
 def canon_artist(spark, d):
-    names = _values(spark, "name", ["Beyoncé", "  The   Band ", "Tyler, The Creator", "AC/DC", "", "['Björk', 'X']", "Sigur Rós, Guest"])
-    return names.select("name", T.canon_artist(F.array("name")).alias("as_name"), T.canon_artist_text(F.col("name")).alias("as_text"))
+    names = _formed(spark, d, "part", "p_partkey", "p_brand", "name", [n for n, *_ in ARTIST_NAMES])
+    return names.select("p_partkey", "name", T.canon_artist(F.array("name")).alias("as_name"), T.canon_artist_text(F.col("name")).alias("as_text"))
 
 
-ARTIST_FIELDS = ("Tyler, The Creator, Kali Uchis", "Solo", " A , B ,, C", "['X', ' Y ']", "Earth, Wind, Fire", "", "Fire, Earth, Wind, Fire, Water", "Crosby, Stills")
+#: Artist fields, the names in them as a list where some names have commas, and as one name.
+ARTIST_FIELDS = (
+    ("{}, The Creator, Kali Uchis", "{}, The Creator|Kali Uchis", "{}, The Creator, Kali Uchis"), ("Solo {}", "Solo {}", "Solo {}"), (" A , {} ,, C", "A|{}|C", "A , {} ,, C"), ("['X', ' {} ']", "X|{}", "X|{}"),
+    ("Earth, Wind, {}", "Earth, Wind, {}", "Earth, Wind, {}"), ("", "", ""), ("{}, Earth, Wind, {}, Water", "{}|Earth, Wind, {}|Water", "{}, Earth, Wind, {}, Water"), ("Crosby, {}", "Crosby|{}", "Crosby, {}"),
+)
 
 
 def parse_artists(spark, d):
-    known = F.create_map(*[F.lit(v) for v in ("tyler\x1fthe creator", "Tyler, The Creator", "earth\x1fwind\x1ffire", "Earth, Wind, Fire", "earth\x1fwind", "Earth, Wind")])
-    rows = _values(spark, "field", ARTIST_FIELDS)
-    return rows.select(
-        "field", F.array_join(T.parse_artists(F.col("field"), "artist_names", known), "|").alias("many"), F.array_join(T.parse_artists(F.col("field"), "artist_name"), "|").alias("one")
-    )
+    """Fields of several artists, with names that have commas known from a column of single names."""
+    brand = F.col("p_brand")
+    single = F.explode(F.array(F.concat(brand, F.lit(", The Creator")), F.concat(F.lit("Earth, Wind, "), brand), F.lit("Earth, Wind")))
+    known = G.known_names([S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), single.alias("artist_name"))])
+    rows, names = G.with_known(_formed(spark, d, "part", "p_partkey", "p_brand", "artist_names", [f for f, *_ in ARTIST_FIELDS]), known)
+    field = F.col("artist_names")
+    return rows.select("p_partkey", field.alias("field"), F.array_join(T.parse_artists(field, "artist_names", names), "|").alias("many"), F.array_join(T.parse_artists(field, "artist_name"), "|").alias("one"))
+
+
+BOOLEANS = ("True", " yes ", "1", "0", "FALSE", "no", "maybe", "", "1.0", "{}")
 
 
 def parse_bool(spark, d):
-    return _values(spark, "v", ["True", " yes ", "1", "0", "FALSE", "no", "maybe", "", "1.0"]).select("v", T.parse_bool(F.col("v")).alias("b"))
+    return _formed(spark, d, "orders", "o_orderkey", "o_orderstatus", "v", BOOLEANS).select("o_orderkey", "v", T.parse_bool(F.col("v")).alias("b"))
+
+
+PLAYLIST_REFERENCES = ("https://open.example/playlist/AbC{}?si=x", "service:playlist:Zz{}", "37i9dQ{}", "not playlist {}!", "https://x/playlist/", " {}Q ")
 
 
 def playlist_id_extract(spark, d):
-    urls = ["https://open.example/playlist/AbC123?si=x", "service:playlist:Zz9", "37i9dQ", "not a playlist!", "https://x/playlist/", " 5Q "]
-    return _values(spark, "v", urls).select("v", T.playlist_id(F.col("v")).alias("id"))
+    return _formed(spark, d, "customer", "c_custkey", "c_nationkey", "v", PLAYLIST_REFERENCES).select("c_custkey", "v", T.playlist_id(F.col("v")).alias("id"))
 
 
 def artist_display(spark, d):
@@ -145,7 +168,8 @@ def track_uris(spark, d):
 
 
 def setting_scale(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.0, 1.0, 3.25, 5.5, 10.0, 12.0)])).alias("setting"))
+    """Quantities as settings of a slider, beyond both of its ends too."""
+    rows = S.table(spark, d, "lineitem").select(((F.col("l_quantity") - 2) / 4).alias("setting")).distinct()
     return rows.select("setting", r6(T.setting_to_adjustment(F.col("setting"))).alias("shift"))
 
 
@@ -173,7 +197,8 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def dedupe_by_id(spark, d):
-    return _merged(G.merge_by_id(G.union_normalized(S.raw_tables(spark, d))))
+    """Durations that lie apart are folded by ranges of rows."""
+    return _merged(G.merge_by_id(G.union_normalized(S.raw_tables(spark, d)), ranged=True))
 
 
 def dedupe_by_isrc(spark, d):
@@ -259,9 +284,20 @@ def special_transforms(spark, d):
     return _named(X.with_transformed(S.catalog(spark, d)), "track_id", **{f: f"t_{f}" for f in ("tempo", "loudness", "duration_ms")})
 
 
+_KEPT: list[DataFrame] = []
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A derived table that one query reads several times, kept until the next query keeps one."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    _KEPT.append(df.persist())
+    return df
+
+
 def _transformed(spark, d) -> DataFrame:
     """The derived catalog, kept: medians, moments and rows all read it."""
-    return X.with_transformed(S.catalog(spark, d).persist())
+    return X.with_transformed(_kept(S.catalog(spark, d)))
 
 
 def scaler_stats(spark, d):
@@ -307,14 +343,23 @@ def profile_mean(spark, d):
 
 def _request(spark, d) -> tuple[DataFrame, DataFrame]:
     """The catalog and the five seeds of the user; the pool, the fits and the scores all read them."""
-    catalog = S.catalog(spark, d).persist()
+    catalog = _kept(S.catalog(spark, d))
     ids = S.memberships(spark, d).where((F.col("playlist_id") == USER) & F.col("matched")).orderBy("position").limit(5)
     return catalog, C.load_tracks(catalog, [r[0] for r in ids.select("catalog_track_id").collect()])
 
 
 def _prepared(spark, d):
     catalog, seeds = _request(spark, d)
-    return C.prepare(catalog, seeds, TOP, 20), seeds
+    prepared = C.prepare(catalog, seeds, TOP, 20)
+    _KEPT.append(prepared.candidates)
+    return prepared, seeds
+
+
+def _delivered(found) -> DataFrame:
+    """The few rows of a recommendation, as they are sent; its pool is given back."""
+    rows = found.rows.sparkSession.createDataFrame(found.rows.collect(), found.rows.schema)
+    found.release()
+    return rows
 
 
 def _scores(spark, d, policy: Policy, adjustments=None) -> DataFrame:
@@ -358,7 +403,7 @@ def explanations(spark, d):
 
 
 def _top(spark, d, policy, adjustments=None) -> DataFrame:
-    rows = recommend(*_request(spark, d), TOP, policy, adjustments).rows
+    rows = _delivered(recommend(*_request(spark, d), TOP, policy, adjustments))
     return rows.select("rank", "track_id", r6("similarity").alias("similarity"), r6("score").alias("score"))
 
 
@@ -408,7 +453,7 @@ def _benchmark(spark, d) -> DataFrame:
     """All seven strategies on every playlist and split."""
     cfg = BenchmarkConfig(num_splits=SPLITS, bootstrap_samples=100, seed=SEED, pca_components=AXES)
     asked, _ = R.requests(S.memberships(spark, d), cfg.seed_size, cfg.num_splits, cfg.seed)
-    return B.score_requests(asked, S.catalog(spark, d).persist(), DEFAULT_STRATEGIES, cfg)
+    return B.score_requests(asked, _kept(S.catalog(spark, d)), DEFAULT_STRATEGIES, cfg)
 
 
 def benchmark_recommendations(spark, d):
@@ -470,22 +515,26 @@ def diagnostics(spark, d):
     return K.diagnostics(recs, ["playlist_id"], TOP, F.col("energy")).select("playlist_id", *[r6(c).alias(c) for c in ("fill_rate", "artist_diversity", "artist_duplication_rate", "avg_similarity", "avg_recommendation_popularity")])
 
 
-LABELS_BOUND = 10_000  # labels whose mean vectors go along as one row
+LABELS_BLOCK = 10_000  # labels whose mean vectors are broadcast at a time
 
 
-def embedding_cosine(spark, d):
-    """Vectors against the mean vector of each label: the label that fits best."""
+def embedding_cosine(spark, d, block: int = LABELS_BLOCK):
+    """Vectors against the mean vector of each label: the label that fits best. Labels go in blocks, one after the other, and each row keeps its best so far."""
     e = S.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
-    means = means.limit(LABELS_BOUND + 1).groupBy().agg(F.collect_list(F.struct("label", "m")).alias("means"), F.when(F.count("*") > LABELS_BOUND, F.raise_error(F.lit("too many labels"))).alias("checked"))
+    blocks = -(-e.select("label").distinct().count() // block) or 1
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.sqrt(dot(a, a))
     fit = lambda m: F.round(F.coalesce(F.try_divide(dot(F.col("v"), m["m"]), size(F.col("v")) * size(m["m"])), F.lit(0.0)), 6)
     # the best by cosine, then by label: structs compare by their fields in order
     best = F.array_max(F.transform("means", lambda m: F.struct(fit(m).alias("cosine"), (-m["label"]).alias("l"))))
-    both = e.crossJoin(F.broadcast(means.where("checked is null"))).select("vec_id", best.alias("b"))
-    return both.select("vec_id", (-F.col("b.l")).alias("label"), (F.col("b.cosine") + 0.0).alias("cosine"))
+    out = e.select("vec_id", "v", F.lit(None).cast("struct<cosine:double,l:bigint>").alias("b"))
+    for k in range(blocks):
+        part = means.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k) if blocks > 1 else means
+        part = part.groupBy().agg(F.collect_list(F.struct("label", "m")).alias("means"))
+        out = out.crossJoin(F.broadcast(part)).select("vec_id", "v", F.greatest("b", best.cast("struct<cosine:double,l:bigint>")).alias("b"))
+    return out.select("vec_id", (-F.col("b.l")).alias("label"), (F.col("b.cosine") + 0.0).alias("cosine"))
 
 
 def hourly_events(spark, d):

@@ -7,7 +7,7 @@ import json
 import math
 import re
 from collections.abc import Callable, Sequence
-from pathlib import Path
+from functools import singledispatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,8 @@ ROW_GROUP = 122_880  # rows of a published row group; fixed value
 
 
 def sha256_file(spark: SparkSession, path: str) -> str:
-    return Folder(spark, path).digests().first().sha256
+    found = Folder(spark, path).digests().first()
+    return found.sha256 if found else hashlib.sha256().hexdigest()  # an empty file has no lines
 
 
 def sha256_table(spark: SparkSession, path: str) -> str:
@@ -41,6 +42,9 @@ def publish_catalog(catalog: DataFrame, folder: str, version: str) -> str:
     The table is first written under a hidden name; an empty one is refused,
     and then nothing but that changes. The artifact of the same content is
     used again. Readers follow ``CURRENT``, which is replaced in one step.
+
+    Rows are ranged and sorted by id, with a Bloom filter of the ids of each
+    row group, so that a search for some ids skips most files, row groups and pages.
     """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", version):
         raise ValueError(f"not a version: {version!r}; letters, digits, '-' and '_' only")
@@ -48,7 +52,9 @@ def publish_catalog(catalog: DataFrame, folder: str, version: str) -> str:
     shelf.make()
     hidden = shelf.aside(version)
     try:
-        deployed(catalog).write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP).parquet(shelf.of(hidden))
+        rows = deployed(catalog).repartitionByRange("track_id").sortWithinPartitions("track_id")
+        options = {"compression": "zstd", "parquet.block.row.count.limit": ROW_GROUP, "parquet.bloom.filter.enabled#track_id": "true", "parquet.bloom.filter.expected.ndv#track_id": ROW_GROUP}
+        rows.write.options(**options).parquet(shelf.of(hidden))
         if spark.read.parquet(shelf.of(hidden)).isEmpty():
             raise CatalogError("there are no rows to publish")
         artifact = f"catalog-{version}-{sha256_table(spark, shelf.of(hidden))[:16]}.parquet"
@@ -60,22 +66,46 @@ def publish_catalog(catalog: DataFrame, folder: str, version: str) -> str:
     return f"{folder.rstrip('/')}/{artifact}"
 
 
+def publish_draws(spark: SparkSession, artifact: str, seed: int = 0) -> str:
+    """Beside an artifact, the same rows in the order of their draws, for samples that read a part; once for each seed."""
+    from ..operators.retrieve import in_order_of_draws
+
+    shelf, name = file_of(spark, artifact)
+    ordered = f"{name}.draws-{seed}"
+    if not shelf.has(ordered):
+        hidden = shelf.aside(ordered)
+        try:
+            in_order_of_draws(spark.read.parquet(shelf.of(name)), seed).write.options(compression="zstd", **{"parquet.block.row.count.limit": ROW_GROUP}).parquet(shelf.of(hidden))
+            shelf.move(hidden, ordered)
+        finally:
+            shelf.drop(hidden)
+    return f"{artifact}.draws-{seed}"
+
+
 def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
     """Of input files by path, size and time of change, in any order."""
     inputs = sorted(Folder(spark, p).status() for p in paths)
     return hashlib.sha256(json.dumps([MERGE_SCHEMA_VERSION, inputs]).encode()).hexdigest()[:16]
 
 
-def cached(spark: SparkSession, paths: Sequence[str], folder: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """The table built from files, kept under their fingerprint; a failed build leaves nothing behind."""
+def cached(spark: SparkSession, paths: Sequence[str], folder: str, build: Callable[[Callable[[DataFrame, str], DataFrame]], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The table built from files, kept under their fingerprint; a failed build leaves nothing behind.
+
+    ``build`` is given a way to write what it makes in between, which goes with the build.
+    """
     shelf, name = Folder(spark, folder), f"merged_{fingerprint(spark, paths)}.parquet"
     shelf.make()
     if rebuild or not shelf.has(f"{name}/_SUCCESS"):
         hidden = shelf.aside("merged")
+
+        def write(rows: DataFrame, part: str) -> DataFrame:
+            rows.write.parquet(shelf.of(f"{hidden}/{part}"))
+            return spark.read.schema(rows.schema).parquet(shelf.of(f"{hidden}/{part}"))
+
         try:
-            build().write.parquet(shelf.of(hidden))
+            build(write).write.parquet(shelf.of(f"{hidden}/whole"))
             shelf.drop(name)
-            shelf.move(hidden, name)  # another builder's table of the same files will do as well
+            shelf.move(f"{hidden}/whole", name)  # another builder's table of the same files will do as well
         finally:
             shelf.drop(hidden)
     return spark.read.parquet(shelf.of(name))
@@ -86,7 +116,10 @@ def merged_catalog(spark: SparkSession, paths: Sequence[str], folder: str = ".da
     from ..operators.merge import COLUMNS, merge_tables
     from .tables import read_csv
 
-    return cached(spark, paths, folder, lambda: merge_tables([read_csv(spark, p) for p in paths]).select(*COLUMNS), rebuild)
+    def build(write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        return merge_tables([read_csv(spark, Folder(spark, p).uri, "ord") for p in paths], write=write).select(*COLUMNS)
+
+    return cached(spark, paths, folder, build, rebuild)
 
 
 def catalog_bundle(spark: SparkSession, folder: str, raw_paths: Sequence[str] | None = None, cache: str = ".dataset_cache") -> DataFrame:
@@ -118,36 +151,48 @@ def send_playlist(rows: DataFrame, create: Callable[[], str], add: Callable[[str
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, of a table small enough for it; arrays become JSON."""
-    flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+    """One CSV file with a header, in the order of ``df``; arrays become JSON.
+
+    The executors write its parts side by side, an ordered table by ranges;
+    the parts are joined byte by byte in the file system.
+    """
+    flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
     shelf, name = file_of(df.sparkSession, path)
     hidden = shelf.aside(name)
+    head = ",".join('"' + c.replace('"', '""') + '"' if re.search(r'[",\r\n]', c) else c for c in df.columns) + "\n"
     try:
-        flat.coalesce(1).write.csv(shelf.of(hidden), header=True, quote='"', escape='"')
-        part = next((n for n in Folder(df.sparkSession, shelf.of(hidden)).names() if n.startswith("part-")), None)
-        if part is None:  # no rows, no part file: the header alone
-            shelf.write(name, ",".join(df.columns) + "\n")
-        else:
-            shelf.move(f"{hidden}/{part}", name, replace=True)
+        flat.write.csv(shelf.of(hidden), quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        parts = [n for n in Folder(df.sparkSession, shelf.of(hidden)).names() if n.startswith("part-")]
+        shelf.join([f"{hidden}/{n}" for n in parts], name, head)
     finally:
         shelf.drop(hidden)
 
 
-def json_safe(value):
-    """With null in place of what JSON has no number for."""
-    if isinstance(value, dict):
-        return {str(k): json_safe(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [json_safe(v) for v in value]
-    if isinstance(value, float) and not math.isfinite(value):
-        return None
-    if hasattr(value, "item"):
-        return json_safe(value.item())
-    return str(value) if isinstance(value, Path) else value
+@singledispatch
+def jsonable(value):
+    """What JSON can hold in place of a payload's value; texts, whole numbers, booleans and null stand as they are."""
+    return value
+
+
+@jsonable.register
+def _(value: float):
+    # NaN and the infinities are no JSON numbers
+    return value if math.isfinite(value) else None
+
+
+@jsonable.register(list)
+@jsonable.register(tuple)
+def _(value):
+    return [*map(jsonable, value)]
+
+
+@jsonable.register
+def _(value: dict):
+    return dict(zip(map(str, value), map(jsonable, value.values())))
 
 
 def write_json(payload: dict, path: str, sort_keys: bool = False) -> str:
-    return write_text(json.dumps(json_safe(payload), indent=2, sort_keys=sort_keys, allow_nan=False) + "\n", path)
+    return write_text(json.dumps(jsonable(payload), indent=2, sort_keys=sort_keys, allow_nan=False) + "\n", path)
 
 
 def write_text(text: str, path: str) -> str:

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator, Sequence
+from typing import TypeVar
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import CatalogError
+from .records import csv_table
 from .storage import Folder, file_of
 
+T = TypeVar("T")
+
 # fixed values: texts of a CSV cell that stand for a missing value
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -29,15 +34,21 @@ PART_NAMES = {"duration": "duration", "explicit": "explicit", "popularity": "pop
 PLAIN_NAMES = ("danceability", "energy", "valence", "speechiness", "acousticness", "instrumentalness", "liveness", "loudness", "tempo", "key", "mode")
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All columns as strings; the usual tokens for a missing value become null."""
-    df = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, multiLine=True, escape='"', quote='"')
-    return df.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+def read_csv(spark: SparkSession, paths: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """All columns as strings; the usual tokens for a missing value become null.
+
+    Files are read in splits, quoted line breaks or not. ``order`` names a
+    column for the place of a row as read, which no splitting changes.
+    """
+    columns = csv_header(spark, paths if isinstance(paths, str) else list(paths))
+    # a column of that name in the files gives way
+    df = csv_table(spark, paths, [f"_{c}" if c == order else c for c in columns], order)
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in columns if c != order], *[order] * (order is not None))
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
+def csv_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     """The column names alone; no rows are read."""
-    return spark.read.csv(path, header=True).columns
+    return spark.read.csv(path, header=True, quote='"', escape='"').columns
 
 
 def csv_rows(spark: SparkSession, paths: Sequence[str]) -> int:
@@ -54,15 +65,23 @@ def map_header(columns: Sequence[str]) -> dict[str, str | None]:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The catalog at a path; a read that fails is tried once more, for a table may be replaced meanwhile.
+    """The catalog at a path; a read that fails is tried once more, for a table may be replaced meanwhile."""
+    return with_catalog(spark, path, lambda catalog: catalog)
+
+
+def with_catalog(spark: SparkSession, path: str, query: Callable[[DataFrame], T]) -> T:
+    """What ``query`` makes of the catalog at a path.
 
-    Failures of single tasks are Spark's to repeat (``spark.task.maxFailures``).
+    A query that runs to its end inside, as a count does, is tried once more
+    if it fails, with the table's files listed anew: a table that is replaced
+    between its reading and its use has other files. Failures of single tasks
+    are Spark's to repeat (``spark.task.maxFailures``).
     """
     uri = Folder(spark, path).uri
     for last in (False, True):
         try:
-            return spark.read.parquet(uri)
-        except Exception as e:
+            return query(spark.read.parquet(uri))
+        except (PySparkException, Py4JJavaError) as e:
             if last:
                 raise CatalogError(f"can't read the catalog at {path}: {e}") from e
             spark.catalog.refreshByPath(uri)
@@ -74,8 +93,8 @@ def empty_like(df: DataFrame) -> DataFrame:
 
 
 def row_count(spark: SparkSession, path: str) -> int:
-    """Rows of a Parquet table, from its footers."""
-    return spark.read.option("aggregatePushdown", "true").parquet(path).count()
+    """Rows of a Parquet table: a count that reads no column, so that footers answer it."""
+    return spark.read.parquet(path).count()
 
 
 ITEM_TYPE = "id string, name string, artists array<struct<name:string>>, duration_ms long"
@@ -193,8 +212,8 @@ def current_artifact(folder: str, override: str | None = None) -> str:
 
 
 def first_existing(paths: Sequence[str]) -> str | None:
-    """The first path that exists."""
-    return next((p for p in paths if os.path.exists(p)), None)
+    """The first path that exists, on any file system."""
+    return next((p for p in paths if Folder(SparkSession.active(), p).there()), None)
 
 
 def text_column(df: DataFrame, name: str | None, kind: str = "string") -> Column:

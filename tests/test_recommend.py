@@ -182,13 +182,9 @@ def test_overlap_of_playlists(spark):
     assert got == [("a", "c", 5)] and len(L.pairwise_jaccard(df, 0.5).collect()) == 3 == len(L.pairwise_jaccard(df).collect())
     a = L.audit(df).first()
     assert (a.num_playlists, a.near_duplicate_pairs, a.max_pairwise_jaccard, a.benchmark_ready) == (5, 1, 1.0, False) and len(L.audit_warnings(a)) == 2
-    L.PAIRS_BOUND, before = 0, L.PAIRS_BOUND  # by steps of similarity
-    try:
-        assert L.audit(df).first() == a and L.audit(df.where("playlist_id in ('a', 'd')")).first().max_pairwise_jaccard == 0
-        low = df.where("playlist_id = 'a' or source_track_id = '6'")
-        assert L.audit(low).first().max_pairwise_jaccard == 0 and L.audit(df.where("playlist_id = 'a' or source_track_id in ('4', '6')")).first().max_pairwise_jaccard == 0.5
-    finally:
-        L.PAIRS_BOUND = before
+    assert L.audit(df.where("playlist_id in ('a', 'd')")).first().max_pairwise_jaccard == 0
+    low = df.where("playlist_id = 'a' or source_track_id = '6'")
+    assert L.audit(low).first().max_pairwise_jaccard == 0 and L.audit(df.where("playlist_id = 'a' or source_track_id in ('4', '6')")).first().max_pairwise_jaccard == 0.5
     assert L.audit(df.limit(0)).first().num_playlists == 0
 
 
@@ -266,6 +262,7 @@ def test_benchmark_end_to_end(spark, tmp_path):
     assert min(r.matched_recall_ceiling for r in per if r.playlist_id == "p0") < 1
     assert [tuple(r) for r in B.evaluate(big(spark), playlists(spark), cfg).summary.collect()] == [tuple(r) for r in res.summary.collect()]
     data = P.payload(res, cfg, DEFAULT_STRATEGIES)
+    assert data["num_skipped"] == res.skipped.count() == len(data["skipped"]) and data["generated_at_utc"].endswith("+00:00") and all(s["description"] for s in data["strategies"])
     assert data["status"] == "benchmark" and json.loads(json.dumps(data, allow_nan=False))
     text = P.render(data)
     assert "| weighted_cosine |" in text and "95% CI" in text
