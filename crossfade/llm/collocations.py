@@ -34,7 +34,7 @@ BUCKET_BITS = 26
 #: A prefix with more than this share of all words is shuffled by longer prefixes.
 HOT_SHARE = 1 / 4096
 #: Bytes of text whose equal suffixes go as one.
-RUN = 1 << 22
+RUN = 1 << 20
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD = T._table(lambda c: c not in b" \t" + _PIECE_ENDS, lower=True)
@@ -66,7 +66,7 @@ class _Words:
         place = {name: i for i, name in enumerate(self.langs)}
         self.lang = np.repeat(np.array([place[x] for x in langs], np.int64), of_doc)
         self.hash = T.mix(hashes + np.array([_name_hash(x) for x in self.langs], np.uint64)[self.lang])
-        marks = np.zeros(hi - lo + 1, np.int64)
+        marks = np.zeros(hi - lo + 1, np.int32)
         np.cumsum(_IS_END[data[lo:hi]], out=marks[1:])
         self.fresh = np.ones(self.n, bool)
         self.fresh[1:] = marks[first[1:] - lo] != marks[last[:-1] - lo]
@@ -151,7 +151,7 @@ def _pack(slot: np.ndarray, n: np.ndarray, suffixes: pa.Array) -> bytes:
     begin = int(np.frombuffer(suffixes.buffers()[1], np.int64)[suffixes.offset])
     raw = np.frombuffer(suffixes.buffers()[2], np.uint8)[begin : begin + int(sizes.sum(dtype=np.int64))]
     head = np.array([len(n)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, n, sizes, slot, raw)))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in (head, n, sizes, slot, raw)))
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ class _Stack:
         return out
 
 
-def _count_prefixes(blocks: DataFrame, least: int, max_n: int) -> DataFrame:
+def _count_prefixes(blocks: DataFrame, least: int, max_n: int, buckets: int) -> DataFrame:
     """Lang, phrase and count of every prefix, in one pass over the sorted suffixes; whole counts under ``least`` are left out, partial ones are not."""
 
     @give_back
@@ -331,7 +331,7 @@ def _count_prefixes(blocks: DataFrame, least: int, max_n: int) -> DataFrame:
         stack.finish()
         yield stack.take()
 
-    dealt = blocks.repartition("bucket").mapInArrow(_spread, "suffix binary, n long, depth tinyint").sortWithinPartitions(F.col("suffix").desc())
+    dealt = blocks.repartitionById(buckets, "bucket").mapInArrow(_spread, "suffix binary, n long, depth tinyint").sortWithinPartitions(F.col("suffix").desc())
     return dealt.mapInArrow(scan, "lang string, phrase string, f long")
 
 
@@ -356,8 +356,9 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", tex
     hot = survey.where(F.col("n") >= max(least, total * HOT_SHARE)).where("kind = 2").select("key").toPandas()["key"].to_numpy(np.int64)
     sc = spark.sparkContext
     frequent, heavy = scratch.broadcast(sc.broadcast(often)), scratch.broadcast(sc.broadcast(np.sort(hot.view(np.uint64))))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = _count_prefixes(_suffixes(rows, frequent, heavy, max_n, buckets), least, max_n)
+    # a bucket is a partition, and a block is what a run of text has for it
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = _count_prefixes(_suffixes(rows, frequent, heavy, max_n, buckets), least, max_n, buckets)
     counted = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return sizes, scratch.table(counted, "phrase-counts")
 

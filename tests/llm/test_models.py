@@ -175,6 +175,37 @@ def test_packing_query_holds_every_word(spark, tmp_path):
         assert sum(k for _, k in at) == n and [a for a, _ in at] == list(range(0, max(n, 1), 1024))
 
 
+def test_packing_query_is_brute_force(spark, tmp_path):
+    """Longest first, then by row and piece, each piece into the least sufficient room of the compatible bins, of equal rooms into any."""
+    from test_scans import re
+
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 3, 200, 500, rng.randrange(1, 2600)]))) for _ in range(150)] + ["same text", "Same  TEXT", None, "x " * 5000]
+    df = spark.createDataFrame([(i, t, rng.choice(["a", "b", "c", None, f"s{i}"])) for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    out = {(r.doc_id, r.piece): r for r in op2_best_fit_packing(spark, save(spark, tmp_path, documents=df)).collect()}
+    pieces, seen = [], {}
+    for i, t in enumerate(texts):
+        own = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        key = seen.setdefault(tuple(w.lower() for w in own), i)
+        for k in range(0, max(len(own), 1), 1024):
+            pieces.append((-min(len(own) - k, 1024), i, k // 1024, key))
+    assert set(out) == {(i, k) for _, i, k, _ in pieces}
+    state = {}
+    for size, i, k, key in sorted(pieces):
+        r, size = out[i, k], -size
+        assert (r.n_words, r.start) == (size, 1024 * k)
+        if not size:
+            assert r.bin is None
+            continue
+        fits = {b: 1024 - used for b, (used, sources, keys) in state.items() if 1024 - used >= size and r.source not in sources and key not in keys}
+        if r.bin in state:
+            assert fits[r.bin] == min(fits.values()) and r.offset == state[r.bin][0]
+        else:
+            assert not fits and r.offset == 0 and r.bin == len(state)
+        used, sources, keys = state.get(r.bin, (0, set(), set()))
+        state[r.bin] = (used + size, sources | ({r.source} - {None}), keys | {key})
+
+
 def test_packing_in_shards_with_repeated_rows(spark):
     rows = [(1, "s", 30, 5)] * 50 + [(i, None, 10, None) for i in range(100)] + [(None, "t", 0, None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, n_words long, cluster long")
