@@ -37,6 +37,8 @@ def sift(df: DataFrame, key: Column, sent, found: bool, always: Column | None =
     h = F.xxhash64(key)
     hashed = h if always is None else F.when(~always, h)
 
+    names = df.columns
+
     @give_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -45,9 +47,11 @@ def sift(df: DataFrame, key: Column, sent, found: bool, always: Column | None =
             h = column.fill_null(0).to_numpy().view(np.uint64)
             hit = (table[(h >> np.uint64(6)) & np.uint64(len(table) - 1)] >> (h & np.uint64(63))) & np.uint64(1)
             hit = (hit == 1) & column.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(hit == found))
+            yield batch.select(list(range(batch.num_columns - 1))).rename_columns(names).filter(pa.array(hit == found))
 
-    return df.select("*", hashed.alias(free_name(df, "bit_hash"))).mapInArrow(scan, df.schema)
+    # under plain names, for Spark would read a dot or a backtick in a name as syntax
+    plain = df.select("*", hashed.alias(free_name(df, "bit_hash"))).toDF(*[f"c{i}" for i in range(len(names) + 1)])
+    return plain.mapInArrow(scan, df.schema)
 
 
 def settle(df: DataFrame, key: Column, marks: DataFrame, always: Column | None = None) -> DataFrame:
