@@ -286,6 +286,25 @@ def test_a_title_of_very_many_rows_matches_within_its_band(spark):
     assert "share" in text and "bin" in text and "Cartesian" not in text
 
 
+def test_items_without_an_id_are_no_single_tasks(spark):
+    """Of 30,000 items two thirds have no id: dealt by what they are joined by, no partition has many more than its share, and each item is read once."""
+    catalog = spark.range(500).select(F.col("id").cast("string").alias("track_id"), F.format_string("Song %d", F.col("id")).alias("title_raw"), F.format_string("song %d", F.col("id")).alias("title_canon"), F.lit("band").alias("artist_primary_canon"), F.lit(1).alias("popularity"), F.lit(2000).alias("release_year"), F.lit(100_000).alias("duration_ms"))
+    k = F.col("id")
+    rows = spark.range(30_000).select((k % 100).cast("string").alias("playlist_id"), k.alias("position"), F.when(k % 3 == 0, (k % 600).cast("string")).alias("source_track_id"), F.format_string("Song %d", k % 600).alias("title"), F.array(F.lit("Band")).alias("artists"), F.when(k % 2 == 0, 101_999).alias("duration_ms"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        items = M.identify(rows)
+        sizes = [len(p) for p in M.match_by_id(items, catalog).select("position").rdd.glom().collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 30_000 / 2
+        got = {r.position: r.catalog_track_id for r in M.match_items(items, catalog).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+    assert got == {i: str(i % 600) if i % 600 < 500 else None for i in range(30_000)}
+
+
 # text
 
 
