@@ -374,3 +374,38 @@ def test_playlist_requests(spark):
     assert [len(u) for _, u in sent] == [100, 100, 50] and [u for _, us in sent for u in us] == [f"track:t{i}" for i in range(1, 251)]
     with pytest.raises(NoMatchesError):
         send_playlist(rows.limit(0), lambda: "new", lambda p, uris: None)
+
+
+def test_only_rows_that_may_be_given_are_scored(monkeypatch):
+    """Of 4,000 candidates few are scored for a request, and the best ones are those of scoring all."""
+    import numpy as np
+    import pyarrow as pa
+
+    from crossfade.schema import FEATURES, STEERABLE
+
+    rng = np.random.default_rng(3)
+    t = rng.normal(size=(4000, len(FEATURES)))
+    t[rng.random(t.shape) < 0.03] = np.nan
+    t[100:110] = t[100]  # ties
+    rows = [{"track_id": f"t{i:05d}", "artist_primary_canon": f"a{i % 50}", "popularity": float(i % 90), "t": list(x), "r": list(rng.random(len(STEERABLE)))} for i, x in enumerate(np.where(np.isnan(t), None, t).tolist())]
+    kind = pa.schema([("track_id", pa.string()), ("artist_primary_canon", pa.string()), ("popularity", pa.float64()), ("t", pa.list_(pa.float64())), ("r", pa.list_(pa.float64()))])
+    pool = B.Pool(pa.Table.from_pylist(rows, kind))
+    seen = []
+    plain = B._Measure.similarity
+    monkeypatch.setattr(B._Measure, "similarity", lambda self, pool, rows: (seen.append(len(rows)), plain(self, pool, rows))[1])
+    for components in (None, 3, len(FEATURES)):
+        cfg = BenchmarkConfig(num_splits=1, pca_components=components or 5)
+        weights = {f: 0.5 + 0.1 * i for i, f in enumerate(FEATURES)}
+        strategy = Strategy("s", Policy("weighted_cosine", weights, use_pca=components is not None), {"energy": 0.3})
+        asked = [B._prepared({"playlist_id": str(p), "split_id": 0, "seeds": [{"track_id": rows[i]["track_id"], "artist": "x", "t": rows[i]["t"], "r": rows[i]["r"]} for i in range(p, p + 5)], "positives": [], "num_positives": 0}, pool, None, None, cfg)[1] for p in (0, 98, 700)]
+        bounds, measures = B._bounds(pool, asked, B._kind(strategy, cfg), None)
+        for q, bound, measure in zip(asked, bounds, measures):
+            free = np.delete(np.arange(pool.size), q.gone)
+            sim = plain(measure, pool, free)
+            assert (bound[free] >= sim).all()
+            own = np.median(q.seeds_r[:, 0])
+            score = np.round(np.round(sim, 9) - 0.2 * np.abs(pool.r[free, 0] - min(1.0, own + 0.3 * 0.7)), 9)
+            want = free[np.lexsort((pool.by_id[free], -score))[:10]]
+            seen.clear()
+            got, _, _ = B._choose(pool, q, strategy, bound, measure, cfg)
+            assert got.tolist() == want.tolist() and sum(seen) < pool.size / 4
