@@ -410,3 +410,15 @@ def test_a_sample_reads_a_part_of_a_table_in_the_order_of_draws(spark, tmp_path,
     assert sorted(r.track_id for r in pools[0].candidates.collect()) == sorted(r.track_id for r in pools[1].candidates.collect()) and pools[0].pool_size == pools[1].pool_size == 700
     for p in pools:
         p.release()
+
+
+def test_draws_are_parted_once_whatever_the_number_of_blocks():
+    """Draws of a resample by block of values: one row a block that has any, each draw once, as the md5 rule has them."""
+    import pyarrow as pa
+
+    names = ["strategy", "metric", "b", "n", "first", "last"]
+    rows = pa.RecordBatch.from_pylist([dict(zip(names, ("s", "m", 3, 1000, 200, 799), strict=True))])
+    got = pa.Table.from_batches(list(K._parted(iter([rows]), 7, 4))).to_pylist()
+    want = sorted(int(int(hashlib.md5(f"7:s:m:3:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) * 1000) for i in range(200, 800))
+    assert [r["block"] * 4 + x for r in got for x in r["at"]] == want
+    assert len(got) == len({r["block"] for r in got}) == len({w // 4 for w in want})
