@@ -76,7 +76,9 @@ def known_names(frames: Sequence[DataFrame]) -> DataFrame:
     for i, df in enumerate(frames):
         name = map_header(df.columns)["artists"]
         if name and name.lower() != "artist_names":
-            found = df.select(F.explode(T.parse_artists(text_column(df, name), name)).alias("name"), _order(df, i).alias("ord"))
+            # each text is parsed once, however many rows have it
+            texts = df.select(text_column(df, name).alias("text"), _order(df, i).alias("ord")).groupBy("text").agg(F.min("ord").alias("ord"))
+            found = texts.select(F.explode(T.parse_artists(F.col("text"), name)).alias("name"), "ord")
             parts.append(found.withColumn("parts", T.split_names(F.col("name"))).where("size(parts) > 1").select(T.name_key(F.col("parts")).alias("key"), "name", "ord"))
     if not parts:
         return frames[0].sparkSession.createDataFrame([], "key string, name string") if frames else None
@@ -90,6 +92,8 @@ def with_known(df: DataFrame, known: DataFrame) -> tuple[DataFrame, Column | Non
         return df, None
     entries = F.map_from_entries(F.collect_list(F.struct("key", "name")))
     few = known.limit(KNOWN_BOUND + 1).collect()
+    if not few:
+        return df, None
     if len(few) <= KNOWN_BOUND:
         # as literal rows, so that no plan derives them again
         rows = df.sparkSession.createDataFrame([({r["key"]: r["name"] for r in few},)], "_known map<string,string>")
@@ -105,15 +109,24 @@ def with_known(df: DataFrame, known: DataFrame) -> tuple[DataFrame, Column | Non
     return rows.join(maps, "_row", "left").withColumn("_known", F.coalesce("_known", none)), F.col("_known")
 
 
+def dealt(df: DataFrame, table: int = 0) -> DataFrame:
+    """A raw table with its order over all tables, dealt out by it.
+
+    A file of one block is one task's to read, however many rows it has; its
+    texts needn't be.
+    """
+    return df.withColumn("_order", _order(df, table)).repartition("_order")
+
+
 def union_normalized(frames: Sequence[DataFrame], known: DataFrame | None = None) -> DataFrame:
     """All tables in the canonical schema, in the order of tables, then rows."""
     known = known if known is not None else known_names(frames)
     parts = []
     for i, df in enumerate(frames):
         columns = map_header(df.columns)
-        order = _order(df, i)
-        wide, names = with_known(df, known) if known is not None else (df, None)
-        parts.append(normalize(wide, names, columns, order))
+        rows = dealt(df, i)
+        wide, names = with_known(rows, known) if known is not None else (rows, None)
+        parts.append(normalize(wide, names, columns, F.col("_order")))
     return reduce(DataFrame.unionByName, parts)
 
 
