@@ -41,7 +41,9 @@ def normalize(df: DataFrame, known: Column | None = None, columns: Mapping[str,
     """One raw table in the canonical schema, with its order ``ord``; ``known`` is a map of names with commas."""
     m = columns or map_header(df.columns)
     col = lambda f: text_column(df, m.get(f))
-    artists = T.parse_artists(col("artists"), m.get("artists") or "", known)
+    # a column of its own, worked out once for the list and for the first name's form
+    df = df.withColumn("_artists", T.parse_artists(col("artists"), m.get("artists") or "", known))
+    artists = F.col("_artists")
     title = F.coalesce(T.strip(col("name")), F.lit(""))
     tempo = numeric(col("tempo"))
     fields = {

@@ -256,3 +256,22 @@ def test_a_known_name_is_its_first_spelling_of_many_rows(spark):
     listed = spark.createDataFrame([("A, EARTH , WIND, b",), ("Earth",), (None,), ("",)], "artist_names string")
     rows, names = G.with_known(listed, known)
     assert [r[0] for r in rows.select(T.parse_artists(F.col("artist_names"), "artist_names", names)).collect()] == [["A", "earth, Wind", "b"], ["Earth"], [], []]
+
+
+def test_a_list_that_many_rows_share_is_parsed_once(monkeypatch):
+    import pandas as pd
+
+    calls, parse = [], T.ast.literal_eval
+    monkeypatch.setattr(T.ast, "literal_eval", lambda x: calls.append(x) or parse(x))
+    texts = ["['a', ' b ']", None, "[1", "['a', ' b ']", "[]"] * 100
+    assert list(T._literal_list.func(pd.Series(texts, dtype=object))) == [["a", "b"], None, None, ["a", "b"], []] * 100
+    assert sorted(calls) == ["['a', ' b ']", "[1", "[]"]
+
+
+def test_artists_are_worked_out_once_for_the_list_and_its_first_name(spark):
+    rows = spark.createDataFrame([("1", "t", " B , c")], "track_id string, name string, artist_names string")
+    out = G.normalize(rows)
+    assert [(r.artists_raw, r.artist_primary_canon) for r in out.collect()] == [(["B", "c"], "b")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the text is split at its commas in one place
+    assert plan.count(", ,, -1)") == 1
