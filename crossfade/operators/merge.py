@@ -29,6 +29,7 @@ COLUMNS = (
     "danceability", "energy", "valence", "speechiness", "acousticness", "instrumentalness", "liveness", "loudness", "tempo", "key", "mode",
 )
 KNOWN_BOUND = 20_000  # names with commas that go along as one broadcast map; more are looked up by a join
+GATHERED = 10_000  # durations of one key that are gathered in one row, at most
 _PASS = (1 << 58, 1 << 59, 1 << 60)  # added to the order of rows without a key, pass by pass
 
 
@@ -152,16 +153,25 @@ def _with_form(text: str, form: str, size: Column) -> Column:
     return F.max_by(F.struct(text, form), F.when(size > 0, F.struct(size, -F.col("ord"))))
 
 
+def _most(rows: DataFrame, key: Sequence[Column], present: Column) -> int:
+    """The most rows that a key has; those without one don't count."""
+    # a key is told by its hash: two that share one count as one, which is never less
+    counts = rows.select(F.when(present, F.xxhash64(*key)).alias("h")).groupBy("h").agg(F.count("h").alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def merge_by(rows: DataFrame, key: Sequence[Column], step: int, ranged: bool = False) -> DataFrame:
     """Rows of one key as one row; rows without a key follow, unchanged, behind all merged ones.
 
     All of it is one aggregation, which gathers the durations of a key in one
-    row. With ``ranged`` none are gathered: keys whose durations lie apart are
-    folded by ranges of rows (see ``durations``), for which ``rows`` are read
-    again; they should then be a table.
+    row. With ``ranged`` the rows of each key are counted first, here and now.
+    If a key has more than ``GATHERED``, none are gathered: keys whose durations
+    lie apart are folded by ranges of rows (see ``durations``), for which
+    ``rows`` are read again; they should then be a table.
     """
     present = F.coalesce(reduce(lambda a, b: a & b, [k.isNotNull() for k in key]), F.lit(False))
     names = [f"_k{i}" for i in range(len(key))]
+    ranged = ranged and _most(rows, key, present) > GATHERED
     marked = rows.select("*", *[F.when(present, k).alias(n) for n, k in zip(names, key, strict=True)], F.when(~present, F.col("ord")).alias("_own"))
     firsts = ["track_id", "isrc", *UNIT_FEATURES, *OTHER_FEATURES]
     gathered = fold_durations(F.collect_list(F.when(F.col("duration_ms").isNotNull(), F.struct("ord", F.col("duration_ms").alias("d")))))

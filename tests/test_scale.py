@@ -205,6 +205,24 @@ def test_very_many_rows_of_one_entity(spark):
     assert got == fold(values) and time.time() - start < 120
 
 
+def test_rows_are_read_once_more_only_for_keys_of_very_many_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, None, None, "a", "b", "c", "d"]), "t", str(rng.choice([100_000, 101_500, 103_000, 109_000])), "x", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "track_id string, name string, duration_ms string, artist_name string, ord long")
+    merged = lambda: G.merge_by_id(G.union_normalized([df]), ranged=True)
+    few = merged()
+    assert "MapInArrow" not in plan(few) and plan(few).count("Scan ExistingRDD") == 1
+    most = max(sum(r[0] == k for r in rows) for k in "abcd")
+    monkeypatch.setattr(G, "GATHERED", most - 1)
+    many = merged()
+    assert "MapInArrow" in plan(many) and "collect_list(struct(ord" not in plan(many)
+    durations = lambda d: sorted((r.track_id, r.duration_ms) for r in d.where("track_id is not null").collect())
+    assert durations(few) == durations(many) == [(k, fold([int(r[2]) for r in rows if r[0] == k])) for k in "abcd"]
+    # rows without a key are no key's rows, however many there are
+    monkeypatch.setattr(G, "GATHERED", most)
+    assert sum(r[0] is None for r in rows) > most and "MapInArrow" not in plan(merged())
+
+
 # medians
 
 
