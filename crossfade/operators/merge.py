@@ -35,7 +35,8 @@ _PASS = (1 << 58, 1 << 59, 1 << 60)  # added to the order of rows without a key,
 
 def whole(c: Column) -> Column:
     """A number cut to an integer; null for anything else."""
-    return F.when(F.abs(numeric(c)) < 2_000_000_000, numeric(c).cast("long").cast("int"))
+    d = c.try_cast("double")  # no NaN is less than the bound
+    return F.when(F.abs(d) < 2_000_000_000, d.cast("long").cast("int"))
 
 
 def normalize(df: DataFrame, known: Column | None = None, columns: Mapping[str, str | None] | None = None, order: Column | None = None) -> DataFrame:
@@ -116,9 +117,11 @@ def dealt(df: DataFrame, table: int = 0) -> DataFrame:
     """A raw table with its order over all tables, dealt out by it.
 
     A file of one block is one task's to read, however many rows it has; its
-    texts needn't be.
+    texts needn't be. There are as many parts as a shuffle has: adaptive plans
+    would bring together what is small, however long its texts take.
     """
-    return df.withColumn("_order", _order(df, table)).repartition("_order")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_order", _order(df, table)).repartition(parts, "_order")
 
 
 def union_normalized(frames: Sequence[DataFrame], known: DataFrame | None = None) -> DataFrame:
