@@ -463,3 +463,28 @@ def test_draws_are_parted_once_whatever_the_number_of_blocks():
     want = sorted(int(int(hashlib.md5(f"7:s:m:3:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) * 1000) for i in range(200, 800))
     assert [r["block"] * 4 + x for r in got for x in r["at"]] == want
     assert len(got) == len({r["block"] for r in got}) == len({w // 4 for w in want})
+
+
+def test_many_draws_are_those_of_one_by_one():
+    import hashlib
+
+    from crossfade.functions.draws import units
+
+    for head in ("0:a:ndcg_at_k:3:", "0:weighted_cosine_pca_steered:avg_recommendation_popularity:49:", "x" * 64, "é" * 70):
+        for first, last in ((0, 300), (99_950, 100_200), (7, 7), (3, 2)):
+            one = [int(hashlib.md5(f"{head}{i}".encode()).hexdigest()[:13], 16) / (1 << 52) for i in range(first, last + 1)]
+            assert units(head, first, last).tolist() == one
+
+
+def test_resamples_of_a_metric_are_no_single_task_and_shuffle_no_draws(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from crossfade.operators import metrics as K
+
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("playlist_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("strategy"), (F.col("id") % 97 / 97).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 11 / 7).alias("y"))
+    read = lambda: {(r.strategy, r.metric): tuple(round(v, 9) for v in r[2:]) for r in K.bootstrap(rows, ("x", "y"), 20, 0.9, 5).collect()}
+    whole = read()
+    plan = K.bootstrap(rows, ("x", "y"), 20, 0.9, 5)._jdf.queryExecution().toString()
+    assert "array<int>" not in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(K, "WHOLE", 100)
+    assert read() == whole and len(whole) == 4
